@@ -131,9 +131,15 @@ SHARED = {
         select c_custkey source_id, (c_custkey * 137507 % 360000) / 1e3 ra,
           (c_custkey * 7919 % 17900) / 1e2 - 89.5e0 dec from customer""",
     "v_sky2": """
-        select s_suppkey cat_id, concat('cat-', cast(s_suppkey as string)) main_id,
+        select s_suppkey * 2 cat_id, concat('cat-', cast(s_suppkey as string), '-a') main_id,
           (s_suppkey * 7 * 137507 % 360000) / 1e3 + (s_suppkey % 5) / 36e2 ra,
-          (s_suppkey * 7 * 7919 % 17900) / 1e2 - 89.5e0 dec, s_nationkey % 2 kind from supplier""",
+          (s_suppkey * 7 * 7919 % 17900) / 1e2 - 89.5e0 dec,
+          case when s_suppkey % 2 = 0 then s_suppkey else null end listed_id, s_nationkey from supplier
+        union all
+        select s_suppkey * 2 + 1, concat('cat-', cast(s_suppkey as string), '-b'),
+          (s_suppkey * 7 * 137507 % 360000) / 1e3 - (s_suppkey % 3) / 5e3,
+          (s_suppkey * 7 * 7919 % 17900) / 1e2 - 89.5e0 + (s_suppkey % 4) / 72e2,
+          cast(null as bigint), s_nationkey from supplier""",
     "v_tilelog": """
         select event_id, concat('t', cast(user_id % 40 as string)) tile_id,
           case event_type when 'error' then 'failed' when 'signup' then 'running' else 'completed' end status,

@@ -9,6 +9,7 @@ MODULES = (
     "column_queries",
     "filter_queries",
     "join_queries",
+    "join_queries",
 )
 
 
