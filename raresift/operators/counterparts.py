@@ -13,9 +13,8 @@ SELECTION_RULE = "most_ab_bands,most_a_bands,least_error_sum,id"
 def best_counterpart(raw: DataFrame) -> DataFrame:
     """Most good bands, then best bands, then least total error, then id.
 
-    The winner and the number of candidates come from one combining aggregate
-    over all rows. Alternatives are gathered only for sources that have more
-    than one candidate, and as an aggregate of their own.
+    Winner and candidate count come from one combining aggregate, so a source
+    with very many candidates never meets in one task.
     """
     payload = [c for c in raw.columns if c != "source_id"]
     errors = sum(F.coalesce(F.col(c), F.lit(float("inf"))) for c in ("J_error", "H_error", "Ks_error"))
@@ -26,20 +25,29 @@ def best_counterpart(raw: DataFrame) -> DataFrame:
         F.coalesce("tmass_id", F.lit("")).alias("id"),
         F.struct(*payload).alias("row"),
     )
-    alternatives = F.struct(*ALTERNATIVE_FIELDS)
     grouped = raw.groupBy("source_id").agg(
-        F.min(order).alias("best"),
-        F.count(F.lit(1)).alias("tmass_candidate_count"),
-        F.sort_array(F.collect_list(alternatives)).alias("all_rows"),
+        F.min(order).alias("best"), F.count(F.lit(1)).alias("tmass_candidate_count")
     )
     return grouped.select(
-        "source_id",
-        F.col("best.row.*"),
-        "tmass_candidate_count",
-        F.when(F.col("tmass_candidate_count") > 1, F.col("all_rows")).alias("alternatives"),
-    ).withColumns(
-        {
-            "tmass_alternatives_json": F.to_json("alternatives"),
-            "tmass_selection_rule": F.lit(SELECTION_RULE),
-        }
+        "source_id", F.col("best.row.*"), "tmass_candidate_count", F.lit(SELECTION_RULE).alias("tmass_selection_rule")
+    )
+
+
+def alternative_rows(raw: DataFrame) -> DataFrame:
+    """Every candidate of the sources that have more than one, as plain rows."""
+    multiple = raw.groupBy("source_id").count().where("count > 1").select("source_id")
+    return raw.join(multiple, "source_id", "left_semi").select("source_id", *ALTERNATIVE_FIELDS)
+
+
+def alternatives_json(raw: DataFrame, *, max_inline: int = 1000) -> DataFrame:
+    """The candidates of a source as one JSON text, for sources with at most ``max_inline`` of them.
+
+    Larger groups would be a cell of unbounded size; their candidates are whole
+    in :func:`alternative_rows`.
+    """
+    sized = raw.groupBy("source_id").count().where(f"count > 1 and count <= {int(max_inline)}").select("source_id")
+    return (
+        raw.join(sized, "source_id", "left_semi")
+        .groupBy("source_id")
+        .agg(F.to_json(F.sort_array(F.collect_list(F.struct(*ALTERNATIVE_FIELDS)))).alias("tmass_alternatives_json"))
     )

@@ -9,7 +9,9 @@ MODULES = (
     "column_queries",
     "filter_queries",
     "join_queries",
+    "locus_queries",
     "join_queries",
+    "locus_queries",
 )
 
 

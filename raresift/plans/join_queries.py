@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from raresift.functions import hashing, photometry as ph, text
-from raresift.operators import dedup, joins, ranking, zone_join
+from raresift.operators import counterparts, dedup, joins, ranking, zone_join
 from raresift.operators.ordered import global_rank
 from raresift.plans.rank_queries import _CONSENSUS, _FUSED, _OPPS, _RANKS, MODELS, TOP, _opportunities, _ranks
 from raresift.plans.registry import query
@@ -429,21 +429,25 @@ def _letters_sql(letters):
         coalesce(J_error, 'Infinity'::double) + coalesce(H_error, 'Infinity'::double)
           + coalesce(Ks_error, 'Infinity'::double) err, count(*) over (partition by source_id) n from v_ir),
     o as (select *, row_number() over (partition by source_id order by ab desc, a desc, err, tmass_id, J, H, Ks,
-        J_error nulls first) rn, case when n > 1 then list(tmass_id) over (partition by source_id) end alt from r)
-    select source_id, tmass_id, J, H, Ks, tmass_quality, n tmass_candidate_count,
-      array_to_string(list_sort(alt), ',') alternatives from o where rn = 1""",
+        J_error nulls first) rn from r)
+    select source_id, tmass_id, J, H, Ks, tmass_quality, n tmass_candidate_count from o where rn = 1""",
 )
 def dd_02(t):
-    return dedup_counterparts(t.ir).select(
-        "source_id", "tmass_id", "J", "H", "Ks", "tmass_quality", "tmass_candidate_count",
-        F.array_join(F.sort_array(F.col("alternatives.tmass_id")), ",").alias("alternatives"),
+    return counterparts.best_counterpart(t.ir).select(
+        "source_id", "tmass_id", "J", "H", "Ks", "tmass_quality", "tmass_candidate_count"
     )
 
 
-def dedup_counterparts(ir):
-    from raresift.operators.counterparts import best_counterpart
-
-    return best_counterpart(ir)
+@query(
+    "dd_02_alternatives",
+    """select source_id, array_to_string(list_sort(list(tmass_id)), ',') alternatives from v_ir group by source_id
+    having count(*) between 2 and 1000""",
+)
+def dd_02_alternatives(t):
+    rows = F.from_json("tmass_alternatives_json", "array<struct<tmass_id:string>>")
+    return counterparts.alternatives_json(t.ir).select(
+        "source_id", F.array_join(F.sort_array(rows["tmass_id"]), ",").alias("alternatives")
+    )
 
 
 @query(
