@@ -39,8 +39,8 @@ def score_steps(pred: DataFrame, by: Sequence[str]) -> DataFrame:
         order=[F.desc("score")],
         totals={"tp": F.col("pos"), "fp": F.col("neg"), "step": F.lit(1).cast("long")},
     )
-    totals = distinct.groupBy(*by).agg(
-        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.count(F.lit(1)).alias("steps")
+    totals = steps.groupBy(*by).agg(
+        F.max("tp").alias("positives"), F.max("fp").alias("negatives"), F.max("step").alias("steps")
     ).where("positives > 0 and negatives > 0")
     return steps.join(totals, by)
 

@@ -26,7 +26,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     placed = running_totals(counts, by=by, order=[F.asc(value)], totals={"__upto": F.col("__n")})
-    sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
+    sizes = placed.groupBy(*by).agg(F.max("__upto").alias("__total"))
     if by:
         same = [F.col(f"s.{c}").eqNullSafe(F.col(f"v.{c}")) for c in by]
         rule = same[0]

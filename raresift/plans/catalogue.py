@@ -10,8 +10,10 @@ MODULES = (
     "filter_queries",
     "join_queries",
     "locus_queries",
+    "audit_queries",
     "join_queries",
     "locus_queries",
+    "audit_queries",
 )
 
 
