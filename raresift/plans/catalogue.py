@@ -11,9 +11,11 @@ MODULES = (
     "join_queries",
     "locus_queries",
     "audit_queries",
+    "tile_queries",
     "join_queries",
     "locus_queries",
     "audit_queries",
+    "tile_queries",
 )
 
 
