@@ -72,10 +72,14 @@ class Band:
     def name(self) -> str:
         return f"{self.x}__{self.y}"
 
+    def margin_text(self, prefix: str = "t_") -> str:
+        """The margin as expression text: one call builds it, however many bands there are."""
+        line = f"{self.intercept!r}D + {self.slope!r}D * {prefix}{self.x}"
+        return f"({self.threshold!r}D - abs({prefix}{self.y} - ({line})))"
+
     def margin(self, prefix: str = "t_") -> Column:
         """Distance inside the band; negative outside, NULL when a colour is missing."""
-        line = F.lit(self.intercept) + F.lit(self.slope) * F.col(prefix + self.x)
-        return F.lit(self.threshold) - F.abs(F.col(prefix + self.y) - line)
+        return F.expr(self.margin_text(prefix))
 
 
 @dataclass(frozen=True)
@@ -287,8 +291,20 @@ def annotate_plane(df: DataFrame, fit: Mapping, *, k_sigma: float = 2.0, method:
 
 
 def with_transformed(df: DataFrame, colours: Sequence[str] = PLANE_COLOURS) -> DataFrame:
-    """The transformed colours, computed once and shared by every band."""
-    return df.withColumns({f"t_{c}": signed_log1p(F.col(c)) for c in colours})
+    """The transformed colours, computed once and shared by every band.
+
+    ``t_`` columns keep NULL. ``z_`` columns read 0 instead and go together
+    with ``planes_valid``: without NULL checks the code of many bands stays
+    small enough to be compiled.
+    """
+    plain = {f"t_{c}": signed_log1p(F.col(c)) for c in colours}
+    filled = {f"z_{c}": F.coalesce(F.col(f"t_{c}"), F.lit(0.0)) for c in colours}
+    present = all_true([F.col(c).isNotNull() for c in colours])
+    return df.withColumns(plain).withColumns({**filled, "planes_valid": present})
+
+
+def _helpers(colours: Sequence[str] = PLANE_COLOURS) -> list[str]:
+    return [*(f"t_{c}" for c in colours), *(f"z_{c}" for c in colours), "planes_valid"]
 
 
 def annotate_bands(df: DataFrame, bands: Sequence[Band], *, min_outlier_planes: int = 2) -> DataFrame:
@@ -324,21 +340,30 @@ def annotate_bands(df: DataFrame, bands: Sequence[Band], *, min_outlier_planes:
     outlier = F.col("color_locus_outlier_plane_count") >= min_outlier_planes
     return counted.withColumns(
         {"color_locus_outlier": outlier, "color_locus_keep": F.col("color_locus_valid") & ~outlier}
-    ).drop(*[f"t_{c}" for c in {c for b in bands for c in (b.x, b.y)}])
+    ).drop(*_helpers([c for c in {c for b in bands for c in (b.x, b.y)}]))
 
 
 def band_rules(bands: Sequence[Band], *, min_outlier_planes: int) -> tuple[Column, Column, Column]:
     """(valid, outlier count, keep) over columns made by :func:`with_transformed`."""
-    valid = all_true([F.col(f"t_{b.x}").isNotNull() & F.col(f"t_{b.y}").isNotNull() for b in bands])
-    count = sum((F.coalesce(b.margin() < 0, F.lit(False)).cast("int") for b in bands), F.lit(0))
-    return valid, count, valid & (count < min_outlier_planes)
+    used = sorted({c for b in bands for c in (b.x, b.y)})
+    valid = " and ".join(f"t_{c} is not null" for c in used)
+    count = " + ".join(f"if({b.margin_text()} < 0, 1, 0)" for b in bands)
+    return F.expr(valid), F.expr(count), F.expr(f"({valid}) and ({count}) < {int(min_outlier_planes)}")
+
+
+def keep_all_planes(bands: Sequence[Band], *, min_outlier_planes: int) -> Column:
+    """The keep rule alone, over ``z_`` columns, for bands that use every plane colour."""
+    count = " + ".join(f"if({b.margin_text('z_')} < 0, 1, 0)" for b in bands)
+    return F.expr(f"planes_valid and ({count}) < {int(min_outlier_planes)}")
 
 
 # ---- variant masks ----------------------------------------------------------------
 
 
-def _or_bits(flags: Mapping[str, Column], schema: MaskSchema) -> Column:
+def _or_bits(flags: Mapping[str, Column | str], schema: MaskSchema) -> Column:
     # Bits are disjoint, so the OR is a sum.
+    if all(isinstance(rule, str) for rule in flags.values()):
+        return F.expr(" + ".join(f"if({flags[v]}, {1 << b if b < 63 else -(1 << 63)}L, 0L)" for v, b in schema.bits))
     return sum(
         (F.when(flags[v], F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
          for v, b in schema.bits),
@@ -382,16 +407,16 @@ def evaluate_union(
     judged = with_transformed(colours).withColumns(
         {
             **{
-                f"exact_locus_keep__{v}": band_rules(loci[v], min_outlier_planes=min_outlier_planes)[2]
+                f"exact_locus_keep__{v}": keep_all_planes(loci[v], min_outlier_planes=min_outlier_planes)
                 for v, _ in schema.bits
             },
             **{f"quality_keep__{f}": variant_photometry(f"{f}_photometry") for f in FAMILIES},
             **{f"astrometry_keep__{s}": variant_astrometry(f"strict_{s}") for s in _subsets(schema)},
         }
     )
-    locus = {v: F.col(f"exact_locus_keep__{v}") for v, _ in schema.bits}
-    quality = {v: F.col(f"quality_keep__{v.split('_', 1)[0]}") for v, _ in schema.bits}
-    astro = {v: F.col(f"astrometry_keep__{v.split('_', 1)[1]}") for v, _ in schema.bits}
+    locus = {v: f"exact_locus_keep__{v}" for v, _ in schema.bits}
+    quality = {v: f"quality_keep__{v.split('_', 1)[0]}" for v, _ in schema.bits}
+    astro = {v: f"astrometry_keep__{v.split('_', 1)[1]}" for v, _ in schema.bits}
     masked = judged.withColumns(
         {
             "exact_locus_variant_mask": _or_bits(locus, schema),
@@ -415,7 +440,7 @@ def evaluate_union(
     else:
         out = out.drop(*[f"exact_locus_keep__{v}" for v, _ in schema.bits])
     return out.drop(
-        *[f"t_{c}" for c in PLANE_COLOURS],
+        *_helpers(),
         *[f"quality_keep__{f}" for f in FAMILIES],
         *[f"astrometry_keep__{s}" for s in _subsets(schema)],
     )
@@ -449,9 +474,7 @@ def legacy_keep(df: DataFrame, bands: Sequence[Band], *, min_outlier_planes: int
     complete = all_true([F.col(c).isNotNull() for c in LOCAL_COLOURS])
     _, count, _ = band_rules(bands, min_outlier_planes=min_outlier_planes)
     counted = colours.withColumn("color_locus_outlier_plane_count", count)
-    return counted.where(complete & (F.col("color_locus_outlier_plane_count") < min_outlier_planes)).drop(
-        *[f"t_{c}" for c in PLANE_COLOURS]
-    )
+    return counted.where(complete & (F.col("color_locus_outlier_plane_count") < min_outlier_planes)).drop(*_helpers())
 
 
 def compare_policies(
@@ -504,4 +527,4 @@ def compare_policies(
             "aggregate_not_exact_variant": wide & ~variant,
             "aggregated_boundary_distance": F.least(*margins),
         }
-    ).drop(*[f"t_{c}" for c in PLANE_COLOURS])
+    ).drop(*_helpers())

@@ -82,3 +82,28 @@ def average_rank(df: DataFrame, value: str, *, by: Sequence[str] = (), name: str
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
     return df.join(ranked, same, "left").select(*df.columns, name)
+
+
+def percentile_ranks(df: DataFrame, key: str, metrics: Mapping[str, tuple[str, bool]]) -> DataFrame:
+    """Average rank over the non-NULL count of several columns at once; NULL values get 0.
+
+    ``metrics`` maps the output name to (column, descending). All columns are
+    stacked into one long frame, so there is one ordered scan for all of them.
+    """
+    rows = F.array(*[
+        F.struct(
+            F.lit(name).alias("metric"),
+            (-F.col(column) if descending else F.col(column)).cast("double").alias("value"),
+        )
+        for name, (column, descending) in metrics.items()
+    ])
+    long = df.select(key, F.inline(rows)).where(F.col("value").isNotNull())
+    ranked = average_rank(long, "value", by=["metric"], name="__rank")
+    sizes = long.groupBy("metric").agg(F.count(F.lit(1)).alias("__size"))
+    wide = (
+        ranked.join(sizes, "metric")
+        .groupBy(key)
+        .pivot("metric", list(metrics))
+        .agg(F.max(F.col("__rank") / F.col("__size")))
+    )
+    return df.join(wide, key, "left").withColumns({name: F.coalesce(F.col(name), F.lit(0.0)) for name in metrics})

@@ -12,10 +12,14 @@ MODULES = (
     "locus_queries",
     "audit_queries",
     "tile_queries",
+    "sample_queries",
+    "model_queries",
     "join_queries",
     "locus_queries",
     "audit_queries",
     "tile_queries",
+    "sample_queries",
+    "model_queries",
 )
 
 

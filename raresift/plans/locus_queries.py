@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from raresift.functions import photometry as ph
 from raresift.operators import locus
-from raresift.operators.quantiles import exact_quantiles, mad_sigma, spearman
+from raresift.operators.quantiles import exact_quantiles, mad_sigma, spearman_pairs
 from raresift.plans.filter_queries import COLOUR_SQL, REQUIRED, _NOT_NULL, astrometry_sql, quality_sql, signed
 from raresift.plans.registry import query
 
@@ -379,10 +379,15 @@ def ag_22(t):
         rows.agg(F.avg("residual").alias("residual_mean")),
         exact_quantiles(rows, "residual", [0.5], names=["residual_median"]),
         mad_sigma(rows, "residual", name="residual_sigma_mad"),
-        spearman(complete, "size", "fitted", "abs_residual_fitted"),
-        spearman(complete, "size", "x", "abs_residual_x"),
-        spearman(complete, "residual", "fitted", "residual_fitted"),
-        spearman(complete, "residual", "x", "residual_x"),
+        spearman_pairs(
+            complete,
+            {
+                "abs_residual_fitted": ("size", "fitted"),
+                "abs_residual_x": ("size", "x"),
+                "residual_fitted": ("residual", "fitted"),
+                "residual_x": ("residual", "x"),
+            },
+        ),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -198,7 +198,8 @@ def src_01(t):
 )
 def src_02(t):
     path = scratch(t, "pool")
-    columns = ["source_id", "tile_id", "passes_any_exact_variant", "known_source_exclusion", "compatible_variant_mask"]
+    band = F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string"))
+    columns = ["source_id", band.alias("tile_id"), "passes_any_exact_variant", "known_source_exclusion", "compatible_variant_mask"]
     landing.write_tiles(acquired(t).select(*columns), path)
     views = landing.pool_views(t.spark, path, t.tiles)
     out = None
@@ -241,15 +242,12 @@ def src_05(t):
 
 @query(
     "src_06_write_check",
-    f"""select {TILE_OF} tile_id, count(*) planned_rows, count(*) n_rows, count(distinct source_id) n_sources, true write_ok
+    f"""select concat('t', cast(cast(floor(ra / 3e1) as bigint) as string)) tile_id, count(*) planned_rows, count(*) n_rows, count(distinct source_id) n_sources, true write_ok
     from v_core group by 1""",
 )
 def src_06(t):
     path = scratch(t, "tiles")
-    tile = F.concat(
-        F.lit("t"), F.floor(F.col("ra") / 10.0).cast("string"), F.lit("_"),
-        F.floor((F.col("dec") + 90.0) / 10.0).cast("string"),
-    )
+    tile = F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string"))
     rows = t.core.select("source_id", "G", "BP", tile.alias("tile_id"))
     landing.write_tiles(rows, path)
     return landing.write_check(rows, landing.written_counts(t.spark, path))
