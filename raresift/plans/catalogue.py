@@ -14,12 +14,16 @@ MODULES = (
     "tile_queries",
     "sample_queries",
     "model_queries",
+    "stream_queries",
+    "job_queries",
     "join_queries",
     "locus_queries",
     "audit_queries",
     "tile_queries",
     "sample_queries",
     "model_queries",
+    "stream_queries",
+    "job_queries",
 )
 
 
