@@ -29,8 +29,7 @@ _MODELS = """lateral view inline(array(
       struct('m3' result_id, 8 variant_bit, 'relaxed_photometry' dataset_variant, 'xgboost' model, 256 bit_value))) m"""
 _PRED = """
         select m.result_id, m.dataset_variant, m.model, l.source_id, l.target,
-          round((BUCKET(concat(m.result_id, ':', cast(l.source_id as string))) % 10000) / 1e4 * 0.6e0
-                + 0.4e0 * l.target, 3) score,
+          (BUCKET(concat(m.result_id, ':', cast(l.source_id as string))) % 600 + 400 * l.target) / 1e3 score,
           0.5e0 threshold
         from v_label l"""
 _SCORES = """
