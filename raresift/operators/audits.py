@@ -149,11 +149,12 @@ POLICY_NAMES = {
 }
 
 
-def policy_counts(rows: DataFrame, by: Sequence[str | Column]) -> DataFrame:
-    """Acquired rows and the count of each policy flag per group."""
+def policy_counts(rows: DataFrame, by: Sequence[str | Column], *extra: Column) -> DataFrame:
+    """Acquired rows, the count of each policy flag and any ``extra`` aggregates per group."""
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("acquisition_rows"),
         *[F.count_if(flag).alias(POLICY_NAMES.get(flag, flag)) for flag in POLICY_FLAGS],
+        *extra,
     )
 
 
@@ -231,15 +232,22 @@ def extinction_bin(column: str) -> Column:
     )
 
 
-def strata_summary(rows: DataFrame, dimensions: Mapping[str, str]) -> DataFrame:
-    """One pass with GROUPING SETS over single dimensions; ``dimension`` names the set."""
+def strata_summary(rows: DataFrame, dimensions: Mapping[str, str], *, lookup: DataFrame | None = None) -> DataFrame:
+    """One pass with GROUPING SETS over single dimensions; ``dimension`` names the set.
+
+    ``lookup`` may add dimensions known per region; it meets the folded counts
+    and not the rows.
+    """
     columns = list(dimensions.values())
+    own = [c for c in columns if lookup is None or c not in lookup.columns]
     # Fold to (all strata, region) first: the expansion then copies a small table.
     flags = ["aggregated_locus_keep", "passes_any_exact_variant", "exact_variant_not_aggregate",
              "aggregate_not_exact_variant"]
-    folded = rows.groupBy(*columns, "region").agg(
+    folded = rows.groupBy(*own, "region").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(f).alias(f) for f in flags]
     )
+    if lookup is not None:
+        folded = folded.join(lookup, "region")
     sets = folded.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns]).agg(
         F.grouping_id().alias("gid"),
         F.count_distinct("region").alias("region_count"),

@@ -34,6 +34,7 @@ def top_per_group(
         .drop("__r", "__salt")
         .withColumn(rank, F.row_number().over(outer))
         .where(F.col(rank) <= limit)
+        .withColumn(rank, F.col(rank).cast("long"))
     )
 
 

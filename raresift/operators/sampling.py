@@ -91,7 +91,11 @@ def largest_remainder(counts: DataFrame, target_n: int) -> DataFrame:
 
 
 def sample_by_strata(df: DataFrame, *, target_n: int, columns: Sequence[str], bins: int = 4, seed: int = 42) -> DataFrame:
-    """Exactly ``target_n`` rows with the strata kept in proportion, chosen by a stable hash."""
+    """Exactly ``target_n`` rows with the strata kept in proportion, chosen by a stable hash.
+
+    Edges, quotas and ranks each read the rows, which are therefore written once.
+    """
+    df = cut_lineage(df)
     tagged = df.withColumn("stratum", colour_stratum(stratum_edges(df, columns, bins)))
     quotas = largest_remainder(tagged.groupBy("stratum").count(), target_n).select("stratum", "quota")
     hashed = tagged.withColumn("__h", md5_number(F.concat(F.lit(f"{seed}:"), F.col("source_id").cast("string"))))
@@ -110,7 +114,7 @@ def reduce_negatives(
     size = {row["target"]: row["count"] for row in counts}
     positives, negatives = size.get(1, 0), size.get(0, 0)
     wanted = negatives if ratio is None else min(negatives, ratio * positives)
-    negative_rows = train.where("target = 0")
+    negative_rows = train.where("target = 0").select("source_id", *columns)
     if wanted < negatives:
         kept = sample_by_strata(negative_rows, target_n=wanted, columns=columns, bins=bins, seed=seed).select("source_id")
         mark = kept.withColumn("__kept", F.lit(True))

@@ -277,11 +277,12 @@ def density_strata(counts):
     from g join dens using (region)""",
 )
 def ag_14a(t):
-    rows = sources(t)
-    counts = density_strata(audits.with_policy_ratios(audits.policy_counts(rows, ["region"])))
-    extinction = rows.groupBy("region").agg(F.count("ag").alias("ag_available_rows"))
-    middle = exact_quantiles(rows, "ag", [0.5], by=["region"], names=["ag_median"])
-    out = counts.join(extinction, "region").join(middle, "region", "left").withColumn("ag_median", F.round("ag_median", 6))
+    # The median depends on the acquired columns only, so it skips the policy verdicts.
+    measured = t.core.select(F.concat(F.lit("reg"), F.col("region_no").cast("string")).alias("region"), "ag")
+    middle = exact_quantiles(measured, "ag", [0.5], by=["region"], names=["ag_median"])
+    counts = audits.policy_counts(sources(t), ["region"], F.count("ag").alias("ag_available_rows"))
+    counts = density_strata(audits.with_policy_ratios(counts))
+    out = counts.join(middle, "region", "left").withColumn("ag_median", F.round("ag_median", 6))
     return out.withColumn(
         "ag_stratum",
         F.when(F.col("ag_available_rows") / F.col("acquisition_rows") < 0.1, "insufficient_coverage")
@@ -380,10 +381,11 @@ _DIMENSIONS = {"disk_zone": "disk_zone", "latitude": "latitude_stratum", "densit
     + " union all ".join(_stratum_sql(n, c) for n, c in _DIMENSIONS.items()),
 )
 def ag_14g(t):
-    rows = sources(t)
-    per_region = rows.groupBy("region").agg(F.count(F.lit(1)).alias("acquisition_rows"))
+    # Region sizes need no verdicts either.
+    region = F.concat(F.lit("reg"), F.col("region_no").cast("string"))
+    per_region = t.core.groupBy(region.alias("region")).agg(F.count(F.lit(1)).alias("acquisition_rows"))
     strata = density_strata(per_region).select("region", "density_stratum")
-    return audits.strata_summary(rows.join(strata, "region"), _DIMENSIONS)
+    return audits.strata_summary(sources(t), _DIMENSIONS, lookup=strata)
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from raresift.operators import curves, ranking
 from raresift.operators.ordered import average_rank, global_rank
 from raresift.plans.registry import query
+from raresift.session import cut_lineage
 
 # The explicit model selection: (result_id, variant bit), a handful of literals.
 MODELS = (
@@ -38,6 +39,11 @@ def _ranks(t):
     return ranking.model_ranks(t.scores, limit=TOP)
 
 
+def _ranks_once(t):
+    """The short lists, at most TOP rows per model, written once where several steps read them."""
+    return cut_lineage(_ranks(t))
+
+
 @query("wn_01_model_top_n", f"with {_RANKS} select result_id, source_id, score, model_rank from ranks")
 def wn_01(t):
     return _ranks(t).select("result_id", "source_id", "score", "model_rank")
@@ -74,7 +80,7 @@ def wn_02(t):
 
 
 def _opportunities(t):
-    ranks = _ranks(t)
+    ranks = _ranks_once(t)
     consensus = ranking.rrf_consensus(ranks)
     sources = t.elig.join(consensus.select("source_id"), "source_id", "left_semi")
     return consensus, ranking.model_opportunities(sources, MODELS, ranks, limit=TOP)

@@ -10,7 +10,7 @@ from raresift.plans.locus_queries import LOCI, SCHEMA, UNION_SQL
 from raresift.plans.model_queries import _OFFERS_SQL, LINEAR, POOL
 from raresift.plans.registry import query
 from raresift.plans.tile_queries import scratch
-from raresift.streaming import flows
+from raresift.streaming import flows, stale
 
 
 def _land(t, df, name, files=3):
@@ -112,6 +112,22 @@ def str_05(t):
     )
 
 
+@query(
+    "str_05_stale_timers",
+    """with st as (select tile_id, ts, status from (select *, row_number() over (partition by tile_id order by epoch_ms(ts) desc, event_id desc) rn
+      from v_tilelog) where rn = 1)
+    select tile_id, epoch_ms(ts) updated_at_ms, 'failed' status from st where status = 'running'
+      and ts + interval '30 minutes' <= (select max(ts) - interval '1 hour' from events)""",
+)
+def str_05_timers(t):
+    log = t.tilelog.withColumn("ts", F.col("ts").cast("timestamp")).drop("bytes")
+    folder, sink = _land(t, log, "land", files=1), scratch(t, "sink")
+    stream = flows.event_time(flows.landed(t.spark, folder, log.schema), "ts", "1 hour").withColumn("ms", F.unix_millis("ts"))
+    with stale.rocksdb_state(t.spark):
+        flows.run_available(stale.stale_tiles(stream, quiet_minutes=30), sink, scratch(t, "ckpt"))
+    return t.spark.read.schema(stale.OUTPUT).parquet(sink)
+
+
 @query(
     "str_06_score_stream",
     f"with {_OFFERS_SQL} select result_id, count(*) rows_scored, count(*) filter (where raw >= threshold) rows_positive from offers where raw is not null group by 1",

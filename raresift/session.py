@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def local_session(cores: str = "*", app: str = "raresift", shuffle_partitions: int = 8) -> SparkSession:
@@ -53,9 +54,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/raresift-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def proven_small(df: DataFrame, max_rows: int = 100_000) -> bool:
     """True when ``df`` is known, by a bounded count, to have at most ``max_rows`` rows."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def release_intermediates(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote; call it when no frame needs them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed

@@ -18,6 +18,9 @@ import __spark_entry__ as entry  # noqa: E402
 from raresift.plans.analogues import BASE_TABLES  # noqa: E402
 
 
+TYPES = "--types" in sys.argv
+
+
 def canonical(value):
     if value is None:
         return None
@@ -43,6 +46,11 @@ def compare(spark_df, con, sql):
     want = cursor.fetchall()
     if sorted(got_cols) != sorted(want_cols):
         return f"columns {sorted(got_cols)} != {sorted(want_cols)}", len(want)
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+    have = dict(spark_df.dtypes)
+    odd = {d[0]: (have[d[0]], str(d[1])) for d in cursor.description if kinds.get(str(d[1])) != have[d[0]]}
+    if odd and TYPES:
+        print("  types:", odd, flush=True)
     got = [tuple(r) for r in spark_df.collect()]
     gi = sorted(range(len(got_cols)), key=lambda i: got_cols[i])
     wi = sorted(range(len(want_cols)), key=lambda i: want_cols[i])
@@ -69,7 +77,7 @@ def duck(sf_dir):
 def main():
     from raresift.session import local_session
 
-    sf_dir, prefixes = sys.argv[1], sys.argv[2:]
+    sf_dir, prefixes = sys.argv[1], [a for a in sys.argv[2:] if a != "--types"]
     spark = local_session("8")
     con = duck(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
