@@ -1,8 +1,8 @@
 """Exact quantiles and robust statistics for columns of any length.
 
 The built-in ``percentile`` keeps every distinct value of a group in one
-buffer. Here values are counted first, the counts are accumulated over range
-partitions, and only the two neighbours of each quantile are kept.
+buffer. Here a sketch narrows each quantile to a bracket first, and only the
+values inside the brackets are counted and accumulated over range partitions.
 """
 
 from __future__ import annotations
@@ -12,43 +12,77 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from raresift.operators.ordered import percentile_ranks, running_totals
+from raresift.session import cut_lineage
+
+
+_ACCURACY = 10_000  # rank error of the sketch is at most n / _ACCURACY
+_SLACK = 3.0 / _ACCURACY
+_SMALL = 20_000  # groups up to this size are taken whole
+
+
+def _same_group(left: str, right: str, by: Sequence[str]) -> Column:
+    rule = F.lit(True)
+    for c in by:
+        rule = rule & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return rule
 
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], *, by: Sequence[str] = (), names: Sequence[str] | None = None
 ) -> DataFrame:
-    """Linear-interpolation quantiles per group, one column per probability. NULL and NaN are left out."""
+    """Linear-interpolation quantiles per group, one column per probability. NULL and NaN are left out.
+
+    A mergeable sketch first brackets every quantile between two data values.
+    The second pass counts what lies below a bracket and keeps distinct values
+    only inside it, so about a thousandth of the rows is shuffled, and the exact
+    neighbours are read off the accumulated counts.
+    """
     by = list(by)
     names = list(names or [f"p{round(p * 1000):03d}" for p in probs])
+    clean = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).cast("double").alias("__v"))
+    cuts = [c for p in probs for c in (max(p - _SLACK, 0.0), min(p + _SLACK, 1.0))]
+    stats = clean.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__total"),
+        F.min("__v").alias("__min"),
+        F.max("__v").alias("__max"),
+        F.percentile_approx("__v", cuts, _ACCURACY).alias("__cuts"),
+    )
+    whole = F.col("__total") <= _SMALL
+    bracket = []
+    for i, p in enumerate(probs):
+        low = F.when(whole | F.lit(p - _SLACK <= 0), F.col("__min")).otherwise(F.get("__cuts", F.lit(2 * i)))
+        high = F.when(whole | F.lit(p + _SLACK >= 1), F.col("__max")).otherwise(F.get("__cuts", F.lit(2 * i + 1)))
+        bracket.append(F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high")))
+    small = cut_lineage(stats.select(*by, "__total", F.array(*bracket).alias("__brackets")))
+    joined = (
+        clean.alias("v").join(small.alias("s"), _same_group("v", "s", by)).select("v.*", "__total", "__brackets")
+        if by
+        else clean.join(F.broadcast(small))  # one row
+    )
+    # NULL stands for "below the bracket" and sorts first.
     counts = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(value))
-        .groupBy(*by, value)
+        joined.select(*by, "__total", "__v", F.explode("__brackets").alias("b"))
+        .where(F.col("__v") <= F.col("b.high"))
+        .groupBy(*by, "__total", F.col("b.i").alias("__i"), F.when(F.col("__v") >= F.col("b.low"), F.col("__v")).alias("__x"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    placed = running_totals(counts, by=by, order=[F.asc(value)], totals={"__upto": F.col("__n")})
-    sizes = placed.groupBy(*by).agg(F.max("__upto").alias("__total"))
-    if by:
-        same = [F.col(f"s.{c}").eqNullSafe(F.col(f"v.{c}")) for c in by]
-        rule = same[0]
-        for extra in same[1:]:
-            rule = rule & extra
-        joined = placed.alias("v").join(sizes.alias("s"), rule).select("v.*", "__total")
-    else:
-        joined = placed.join(F.broadcast(sizes))  # one row
+    placed = running_totals(
+        counts, by=[*by, "__i"], order=[F.asc_nulls_first("__x")], totals={"__upto": F.col("__n")}
+    )
     first = F.col("__upto") - F.col("__n")
-
-    def at(index: Column) -> Column:
-        return F.max(F.when((index >= first) & (index < F.col("__upto")), F.col(value)))
-
     picks = []
-    for name, p in zip(names, probs):
+    for i, (name, p) in enumerate(zip(names, probs)):
         position = F.lit(float(p)) * (F.col("__total") - 1)
+
+        def at(index: Column) -> Column:
+            return F.max(F.when((F.col("__i") == i) & (index >= first) & (index < F.col("__upto")), F.col("__x")))
+
         picks += [
             at(F.floor(position)).alias(f"__lo_{name}"),
             at(F.ceil(position)).alias(f"__hi_{name}"),
             F.max(position - F.floor(position)).alias(f"__f_{name}"),
         ]
-    found = joined.groupBy(*by).agg(*picks)
+    found = placed.groupBy(*by).agg(*picks)
     return found.select(
         *by,
         *[

@@ -114,9 +114,9 @@ def str_05(t):
 
 @query(
     "str_05_stale_timers",
-    """with st as (select tile_id, ts, status from (select *, row_number() over (partition by tile_id order by epoch_ms(ts) desc, event_id desc) rn
+    """with st as (select tile_id, ts, status from (select *, row_number() over (partition by tile_id order by epoch_us(ts) // 1000 desc, event_id desc) rn
       from v_tilelog) where rn = 1)
-    select tile_id, epoch_ms(ts) updated_at_ms, 'failed' status from st where status = 'running'
+    select tile_id, epoch_us(ts) // 1000 updated_at_ms, 'failed' status from st where status = 'running'
       and ts + interval '30 minutes' <= (select max(ts) - interval '1 hour' from events)""",
 )
 def str_05_timers(t):

@@ -78,6 +78,20 @@ def test_quantiles_match_numpy_with_a_dominant_value(spark):
         assert sigma[g] == pytest.approx(1.4826 * np.median(np.abs(part - np.median(part))))
 
 
+@pytest.mark.parametrize("kind", ["smooth", "hot"])
+def test_quantiles_of_long_columns_are_exact(spark, kind):
+    """Long enough for the sketched brackets, with one value holding a third of the rows."""
+    rows = spark.range(120_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0.25)).otherwise(F.rand(3)).alias("hot"), F.rand(7).alias("smooth")
+    ).select(F.col(kind).alias("v"), (F.rand(1) < 0.1).alias("g"))
+    rows = spark.createDataFrame(rows.toPandas()).cache()
+    probs = [0.0, 0.001, 0.25, 0.4, 0.5, 0.975, 1.0]
+    local = rows.toPandas()
+    assert list(exact_quantiles(rows, "v", probs).first()) == pytest.approx(np.quantile(local["v"], probs), abs=1e-15)
+    for r in exact_quantiles(rows, "v", probs, by=["g"]).collect():
+        assert list(r)[1:] == pytest.approx(np.quantile(local[local.g == r.g]["v"], probs), abs=1e-15)
+
+
 def test_zero_mad_falls_back_to_the_deviation(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (1.0,), (5.0,)], "v double")
     assert mad_sigma(df, "v").first()[0] == pytest.approx(np.std([1, 1, 1, 5]))
