@@ -30,6 +30,7 @@ from raresift.functions.photometry import (
 )
 from raresift.operators.quantiles import exact_quantiles, mad_sigma
 from raresift.operators.ranking import has_bit
+from raresift.session import cut_lineage
 
 # Candidate planes (x colour, y colour).
 PLANES = (
@@ -177,16 +178,19 @@ def fit_planes(
     """
     long = _long_planes(df, planes, transform, by)
     keys = [*by, "x", "y"]
-    lines = long.groupBy(*keys).agg(
+    lines = cut_lineage(long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("tx").alias("n"),
         F.regr_slope("ty", "tx").alias("slope"),
         F.regr_intercept("ty", "tx").alias("intercept"),
         F.regr_r2("ty", "tx").alias("r2"),
-    ).withColumn("positive_fraction", F.col("n") / F.col("rows"))
+    ).withColumn("positive_fraction", F.col("n") / F.col("rows")))
     fitted = lines.where(F.col("positive_fraction") >= min_fraction)
-    residuals = long.where(F.col("tx").isNotNull()).join(fitted.select(*keys, "slope", "intercept"), keys).select(
-        *keys, (F.col("ty") - (F.col("intercept") + F.col("slope") * F.col("tx"))).alias("residual")
+    # Three quantile passes read the residuals, so they are written once: keys and one number.
+    residuals = cut_lineage(
+        long.where(F.col("tx").isNotNull()).join(fitted.select(*keys, "slope", "intercept"), keys).select(
+            *keys, (F.col("ty") - (F.col("intercept") + F.col("slope") * F.col("tx"))).alias("residual")
+        )
     )
     sigma = mad_sigma(residuals, "residual", by=keys)
     tail = exact_quantiles(
