@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from raresift.llm import byte_cnn, secret_scan
+from raresift.llm import bitmap_bpe, byte_cnn, certified_packing, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": _over("documents", secret_scan.secret_report),
         "op2_language_id": _over("documents", byte_cnn.languages),
+        "op7_bitmap_bpe": _over("documents", lambda docs: bitmap_bpe.round_trip_digests(
+            docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)),
+        "op9_certified_packing": _over("documents", lambda docs: certified_packing.pack_sequences(
+            docs, public_tokenizers.path("word_bpe_49k.json"))),
     }
 
 
