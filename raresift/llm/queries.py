@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from raresift.llm import bitmap_bpe, byte_cnn, certified_packing, secret_scan
+from raresift.llm import (
+    bitmap_bpe, byte_cnn, certified_packing, collision_ann, covering_simhash, kd_shards, norm_topk, secret_scan,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +22,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": _over("documents", secret_scan.secret_report),
         "op2_language_id": _over("documents", byte_cnn.languages),
+        "op3_kd_shards": _over("documents", kd_shards.shard_report),
+        "op4_collision_ann": _over("embeddings", collision_ann.nearest),
+        "op5_norm_topk": _over("embeddings", norm_topk.largest_products),
+        "op6_covering_simhash": _over("documents", covering_simhash.simhash_components),
         "op7_bitmap_bpe": _over("documents", lambda docs: bitmap_bpe.round_trip_digests(
             docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)),
         "op9_certified_packing": _over("documents", lambda docs: certified_packing.pack_sequences(
@@ -29,4 +35,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB texts of the queries that SQL can express; the others are tested against brute force in ``tests/llm``."""
-    return {}
+    return {"op5_norm_topk": norm_topk.ORACLE}
