@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from raresift.llm import (
-    bitmap_bpe, byte_cnn, certified_packing, collision_ann, covering_simhash, fuzzy_lines, kd_shards, norm_topk, secret_scan,
+    bitmap_bpe, byte_cnn, certified_packing, collision_ann, covering_simhash, fuzzy_lines, kd_shards, norm_topk, prefix_free,
+    secret_scan,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op6_covering_simhash": _over("documents", covering_simhash.simhash_components),
         "op7_bitmap_bpe": _over("documents", lambda docs: bitmap_bpe.round_trip_digests(
             docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)),
+        "op8_prefix_free": _over("documents", prefix_free.repeat_report),
         "op9_certified_packing": _over("documents", lambda docs: certified_packing.pack_sequences(
             docs, public_tokenizers.path("word_bpe_49k.json"))),
         "op10_fuzzy_lines": _over("documents", fuzzy_lines.line_report),
