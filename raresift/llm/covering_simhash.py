@@ -45,15 +45,16 @@ def fingerprint(text: str | None, size: int = 3, chunk: int = 1 << 16) -> bytes:
 
 
 def fingerprints(docs: DataFrame, *, size: int = 3) -> DataFrame:
-    """doc_id and print (a signed 64-bit fingerprint) of every row; only the id and the text are read."""
+    """doc_id, text_hash and print (a signed 64-bit fingerprint) of every row; only the id and the text are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = b"".join(fingerprint(t.as_py(), size) for t in batch.column(1))
             prints = pa.array(np.frombuffer(found, ">i8").astype(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), prints], ["doc_id", "text_hash", "print"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, print long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, print long")
 
 
 def _signed(mask: int) -> Column:
@@ -79,11 +80,12 @@ def close_pairs(prints: DataFrame, *, radius: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, print, component_id for every row: the smallest doc_id reachable over links within ``radius`` bits.
+    """doc_id, text_hash, print, component_id for every row: the smallest doc_id reachable over links within ``radius`` bits.
 
     Rows with the same fingerprint, equal texts among them, are folded to one before anything is compared. Texts without
     words (NULL, empty, white space) share fingerprint zero and are linked like others. A NULL id is kept and never
-    names a component unless all ids in it are NULL. Columns other than doc_id and text are not read.
+    names a component unless all ids in it are NULL; ``text_hash`` tells rows apart that have no id or share one. Columns
+    other than doc_id and text are not read.
     """
     found = cut_lineage(fingerprints(docs, size=size))
     distinct = cut_lineage(found.groupBy("print").agg(F.min("doc_id").alias("least")))
@@ -93,7 +95,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 3) -> DataF
     )
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = cut_lineage(named.join(names, "component").select(F.col("print").alias("of"), "component_id"))
-    return found.join(ids, F.col("print") == F.col("of")).select("doc_id", "print", "component_id")
+    return found.join(ids, F.col("print") == F.col("of")).select("doc_id", "text_hash", "print", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:

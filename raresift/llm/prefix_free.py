@@ -31,10 +31,10 @@ _BLOCK = 1 << 20  # window starts that are parsed at a time
 
 def rolling_hash(data: np.ndarray) -> np.ndarray:
     """A mixed 64-bit hash of the ``GRAM`` bytes at every position, by doubling the length."""
-    base, value, length = np.uint64(0x9E3779B97F4A7C15), data.astype(np.uint64) + np.uint64(1), 1
+    base, value, length = 0x9E3779B97F4A7C15, data.astype(np.uint64) + np.uint64(1), 1
     while length < GRAM:
-        value = value[:-length] * base + value[length:]
-        base, length = base * base, 2 * length
+        value = value[:-length] * np.uint64(base) + value[length:]
+        base, length = base * base % (1 << 64), 2 * length
     value ^= value >> np.uint64(29)
     value *= np.uint64(0xBF58476D1CE4E5B9)
     value ^= value >> np.uint64(32)
@@ -91,7 +91,7 @@ def _bytes_of(text: str | None) -> bytes:
 
 def _keys(docs: DataFrame, span: int) -> DataFrame:
     """The hash of the context that every window of a phrase holds, for all phrases of all texts."""
-    after = span - GRAM - BEFORE - (span - GRAM - 2 * BEFORE) + GRAM
+    after = BEFORE + GRAM  # as the trigger lies at least BEFORE bytes before the end of its window, too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +111,7 @@ def _phrase_rows(docs: DataFrame, span: int) -> DataFrame:
     ``content`` hashes all bytes of the phrase's windows. ``place`` holds, from the high bits, a tag of the text (which
     tells rows apart that share a doc_id), the trigger's position, and how far before it the first and last window begin.
     """
-    after = span - GRAM - BEFORE - (span - GRAM - 2 * BEFORE) + GRAM
+    after = BEFORE + GRAM  # as the trigger lies at least BEFORE bytes before the end of its window, too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
