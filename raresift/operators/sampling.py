@@ -138,14 +138,24 @@ def stable_sample(df: DataFrame, n: int, *, seed: int = 42, key: str = "source_i
 
 # ---- robust refits ------------------------------------------------------------------
 
-# Cumulative Poisson(1) probabilities.
-_POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
+_DRAWS = 1 << 30  # resolution of the uniform hash
+
+
+def _poisson_steps() -> list[float]:
+    """Cumulative Poisson(1) probabilities, down to a tail that no drawn number can reach."""
+    steps, term, total, k = [], math.exp(-1.0), 0.0, 0
+    while 1.0 - total > 0.5 / _DRAWS:
+        total += term
+        steps.append(total)
+        k += 1
+        term /= k
+    return steps
 
 
 def bootstrap_weights(df: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(rep, w) copies of each row with Poisson(1) weights from a hash; zero weights vanish."""
-    u = F.pmod(F.xxhash64("source_id", "rep", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    weight = sum((F.when(u > p, 1).otherwise(0) for p in _POISSON), F.lit(0))
+    u = F.pmod(F.xxhash64("source_id", "rep", F.lit(seed)), F.lit(_DRAWS)) / F.lit(float(_DRAWS))
+    weight = sum((F.when(u > p, 1).otherwise(0) for p in _poisson_steps()), F.lit(0))
     spread = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     return spread.withColumn("w", weight).where("w > 0")
 
@@ -229,52 +239,48 @@ def fold_stability(rows: DataFrame, x: str, y: str, fits: Mapping[int, tuple]) -
 # ---- nearest neighbours and oversampling ------------------------------------------------
 
 
-def nearest_neighbours(query: DataFrame, base: DataFrame, features: Sequence[str], k: int, *, slice_rows: int = 20_000) -> DataFrame:
-    """Exact k nearest other rows: (source_id, neighbour_id, neighbour label, distance).
+def nearest_neighbours(query: DataFrame, base: DataFrame, features: Sequence[str], k: int, *, block_rows: int = 8192) -> DataFrame:
+    """Exact k nearest other rows: (source_id, neighbour_id, neighbour_target, distance, place).
 
-    ``base`` is taken in hash slices of bounded size; each slice is shipped to
-    the tasks holding ``query``, which emit only their k best. The survivors of
-    all slices are then cut to k. Memory stays bounded for any ``base``, at one
-    pass over ``query`` per slice.
+    Both sides are dealt to blocks of about ``block_rows`` rows by a hash of the
+    id. Every query block meets every base block once, in a task that holds just
+    these two and emits k rows per query row; the survivors are then cut to k.
+    Nothing passes through the driver. ``query`` is the reduced training set, so
+    the number of block pairs stays small.
     """
-    columns = ["source_id", "target", *features]
-    total = base.count()
-    slices = max(1, math.ceil(total / slice_rows))
-    sc = query.sparkSession.sparkContext
-    schema = "source_id long, neighbour_id long, neighbour_target int, distance double"
-    found = None
-    for s in range(slices):
-        part = base.where(F.pmod(F.xxhash64("source_id"), F.lit(slices)) == s).select(*columns).toPandas()
-        if part.empty:
-            continue
-        packed = sc.broadcast((part["source_id"].to_numpy(), part["target"].to_numpy(), part[list(features)].to_numpy(float)))
-
-        def best(batches, packed=packed):
-            ids, labels, points = packed.value
-            norms = (points**2).sum(axis=1)
-            for batch in batches:
-                q = batch[list(features)].to_numpy(float)
-                own = batch["source_id"].to_numpy()
-                for lo in range(0, len(q), 1024):
-                    block, block_ids = q[lo:lo + 1024], own[lo:lo + 1024]
-                    gap = (block**2).sum(axis=1)[:, None] + norms[None, :] - 2.0 * block @ points.T
-                    gap[block_ids[:, None] == ids[None, :]] = np.inf
-                    take = min(k, len(ids))
-                    near = np.argpartition(gap, take - 1, axis=1)[:, :take]
-                    picked = np.take_along_axis(gap, near, axis=1)
-                    out = pd.DataFrame(
-                        {
-                            "source_id": np.repeat(block_ids, take),
-                            "neighbour_id": ids[near].ravel(),
-                            "neighbour_target": labels[near].ravel().astype("int32"),
-                            "distance": np.sqrt(np.maximum(picked, 0.0)).ravel(),
-                        }
-                    )
-                    yield out[np.isfinite(out["distance"])]
-
-        one = query.select("source_id", *features).mapInPandas(best, schema)
-        found = one if found is None else found.unionByName(one)
-    order = W.partitionBy("source_id").orderBy("distance", "neighbour_id")  # at most k * slices rows each
+    columns = list(features)
+    base_blocks, query_blocks = (max(1, math.ceil(df.count() / block_rows)) for df in (base, query))
+    block = lambda n: F.pmod(F.xxhash64("source_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Both sides may come from one frame; fresh names keep their columns apart when they are grouped together.
+    fresh = lambda *names: [F.col(n).alias(n) for n in names]
+    left = base.select(*fresh("source_id", "target", *columns), block(base_blocks).alias("bb"), each(query_blocks).alias("qb"))
+    right = query.select(*fresh("source_id", *columns), block(query_blocks).alias("qb"), each(base_blocks).alias("bb"))
+
+    def best(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        names = ["source_id", "neighbour_id", "neighbour_target", "distance"]
+        if points.empty or asked.empty:
+            return pd.DataFrame(columns=names)
+        ids, labels, spots = points["source_id"].to_numpy(), points["target"].to_numpy(), points[columns].to_numpy(float)
+        take, parts = min(k + 1, len(ids)), []  # the row itself may be among them
+        for at in range(0, len(asked), 512):
+            part = asked.iloc[at:at + 512]
+            own, q = part["source_id"].to_numpy(), part[columns].to_numpy(float)
+            gap = (q**2).sum(axis=1)[:, None] + (spots**2).sum(axis=1)[None, :] - 2.0 * q @ spots.T
+            gap[own[:, None] == ids[None, :]] = np.inf
+            near = np.argpartition(gap, take - 1, axis=1)[:, :take]
+            exact = np.sqrt(((spots[near] - q[:, None, :]) ** 2).sum(axis=2))
+            frame = pd.DataFrame({
+                "source_id": np.repeat(own, take), "neighbour_id": ids[near].ravel(),
+                "neighbour_target": labels[near].ravel(), "distance": exact.ravel(),
+            })
+            parts.append(frame[frame["source_id"] != frame["neighbour_id"]])
+        return pd.concat(parts)[names]
+
+    found = left.groupBy("bb", "qb").cogroup(right.groupBy("bb", "qb")).applyInPandas(
+        best, "source_id long, neighbour_id long, neighbour_target int, distance double"
+    )
+    order = W.partitionBy("source_id").orderBy("distance", "neighbour_id")  # at most k + 1 rows per base block
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
@@ -325,11 +331,11 @@ def smote(df: DataFrame, features: Sequence[str], *, k: int = 3, seed: int = 42)
 
 
 def drop_edited(df: DataFrame, features: Sequence[str], *, k: int = 3) -> DataFrame:
-    """Edited nearest neighbours: rows that lose the vote of their k nearest are removed."""
-    votes = nearest_neighbours(df, df, features, k).join(df.select("source_id", "target"), "source_id").groupBy("source_id").agg(
-        F.count_if(F.col("neighbour_target") != F.col("target")).alias("against"), F.count(F.lit(1)).alias("n")
+    """Edited nearest neighbours: a row stays only if all of its k nearest rows are of its class."""
+    against = nearest_neighbours(df, df, features, k).join(df.select("source_id", "target"), "source_id").where(
+        F.col("neighbour_target") != F.col("target")
     )
-    return df.join(votes.where(F.col("against") * 2 > F.col("n")).select("source_id"), "source_id", "left_anti")
+    return df.join(against.select("source_id").distinct(), "source_id", "left_anti")
 
 
 def drop_tomek_links(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -159,6 +159,31 @@ def sm_08(t):
     )
 
 
+_TRAIN = f"""{_MODEL}, sp as (select *, (BUCKET(concat('42:', cast(source_id as string))) % 10000) < 2000 hold from lab),
+    neg as (select * from sp where not hold and target = 0), {_NEG_HEADS}, {_NEG_TAGGED},
+    {_QUOTA.replace('{target}', '(select 10e0 * count(*) from sp where not hold and target = 1)')},
+    train as (select sp.target, sp.G, sp.BP, sp.RP from sp left join (select source_id from pick where place <= quota) p
+      on p.source_id = sp.source_id where not hold and (sp.target = 1 or p.source_id is not null)
+      and sp.G is not null and sp.BP is not null and sp.RP is not null)"""
+
+
+@query(
+    "sm_08_smote_classes",
+    f"""with {_TRAIN}, c as (select target, count(*) n, min(G) lo, max(G) hi from train group by target)
+    select target, (select max(n) from c) n, n originals, true inside from c""",
+)
+def sm_08_classes(t):
+    """Classes are equal, originals are kept, and synthetic rows stay within the range of their class."""
+    rows = training_rows(t)
+    grown = sampling.resample(rows, "smote", _STRATA)
+    ends = rows.groupBy("target").agg(F.min("G").alias("lo"), F.max("G").alias("hi"))
+    made = grown.groupBy("target").agg(
+        F.count(F.lit(1)).alias("n"), F.count("source_id").alias("originals"), F.min("G").alias("g_min"), F.max("G").alias("g_max")
+    )
+    inside = (F.col("g_min") >= F.col("lo")) & (F.col("g_max") <= F.col("hi"))
+    return made.join(ends, "target").select("target", "n", "originals", inside.alias("inside"))
+
+
 @query("sm_08_smote_enn")
 def sm_08_enn(t):
     return sampling.resample(training_rows(t), "smote_enn", _STRATA).groupBy("target").agg(F.count(F.lit(1)).alias("n"))

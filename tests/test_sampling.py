@@ -55,8 +55,8 @@ def test_constant_and_missing_columns_in_strata(spark):
     assert got[1] == "all|missing" and all(v.startswith("all|") for v in got.values())
 
 
-def test_neighbours_equal_brute_force_across_slices(rows):
-    got = sampling.nearest_neighbours(rows, rows, ["a", "b"], 3, slice_rows=50).toPandas()
+def test_neighbours_equal_brute_force_across_blocks(rows):
+    got = sampling.nearest_neighbours(rows, rows, ["a", "b"], 3, block_rows=50).toPandas()
     data = rows.toPandas().set_index("source_id")
     points = data[["a", "b"]].to_numpy()
     for i in (0, 57, 219):
@@ -98,3 +98,30 @@ def test_reduction_splits_are_whole(rows):
     assert train[0] == 2 * train[1]
     everything = sampling.reduce_negatives(rows, ratio=None, columns=["a", "b"])
     assert everything.where("modeling_split = 'threshold_calibration'").isEmpty()
+
+
+def test_editing_removes_a_row_unless_all_neighbours_agree(spark):
+    # One of the three nearest of row 3 is of the other class: a majority would keep it.
+    table = [(1, 0, 0.0), (2, 0, 1.0), (3, 0, 2.1), (4, 1, 3.0), (5, 1, 10.0), (6, 1, 11.0), (7, 1, 12.0), (8, 1, 13.5)]
+    df = spark.createDataFrame(table, "source_id long, target int, a double")
+    kept = {r.source_id for r in sampling.drop_edited(df, ["a"], k=3).collect()}
+    assert kept == {5, 6, 7, 8}
+
+
+def test_tomek_links_are_mutual_nearest_pairs_of_two_classes(spark):
+    table = [(1, 0, 0.0), (2, 1, 0.5), (3, 1, 5.0), (4, 1, 5.2), (5, 0, 9.0)]
+    df = spark.createDataFrame(table, "source_id long, target int, a double")
+    assert {r.source_id for r in sampling.drop_tomek_links(df, ["a"]).collect()} == {3, 4, 5}
+
+
+def test_neighbours_do_not_depend_on_the_blocks(rows):
+    one = sampling.nearest_neighbours(rows, rows, ["a", "b"], 3).collect()
+    many = sampling.nearest_neighbours(rows, rows, ["a", "b"], 3, block_rows=40).collect()
+    key = lambda found: sorted((r.source_id, r.place, r.neighbour_id) for r in found)
+    assert key(one) == key(many) and len(one) == 660
+
+
+def test_bootstrap_weights_reach_the_tail(spark):
+    weights = sampling.bootstrap_weights(spark.range(300_000).withColumnRenamed("id", "source_id"), 8, 3)
+    top, mean = weights.agg(F.max("w"), F.sum("w") / F.lit(2_400_000.0)).first()
+    assert top >= 8 and abs(mean - 1) < 0.01
