@@ -38,12 +38,11 @@ def str_01(t):
 def str_02(t):
     log = t.tilelog.withColumn("ts", F.col("ts").cast("timestamp"))
     folder = scratch(t, "land")
-    for _ in range(2):  # every row arrives twice
+    for _ in range(2):  # every row arrives twice, in files that fall into different batches
         log.repartition(2).write.mode("append").parquet(folder)
     sink = scratch(t, "sink")
-    stream = flows.event_time(flows.landed(t.spark, folder, log.schema), "ts", "60 days")
-    once = flows.without_redelivered(stream.withColumn("checksum", F.md5("status")), ["event_id"])
-    flows.run_batches(once, flows.refuse_conflicts(["event_id"], "checksum", sink), scratch(t, "ckpt"))
+    stream = flows.landed(t.spark, folder, log.schema, files_per_trigger=1).withColumn("checksum", F.md5("status"))
+    flows.run_batches(stream, flows.append_once(["event_id"], "checksum", sink), scratch(t, "ckpt"))
     return t.spark.read.parquet(sink).select("event_id", "tile_id", "status")
 
 

@@ -50,24 +50,52 @@ def annotate(stream: DataFrame, loci: Mapping[str, Sequence[locus.Band]], schema
     return locus.evaluate_union(stream, loci, schema)
 
 
-def without_redelivered(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Drop rows delivered again within the watermark."""
-    return stream.dropDuplicatesWithinWatermark(list(keys))
+def without_redelivered(stream: DataFrame, keys: Sequence[str], checksum: str) -> DataFrame:
+    """Drop rows delivered again unchanged within the watermark; a changed payload passes on, to be refused later."""
+    return stream.dropDuplicatesWithinWatermark([*keys, checksum])
 
 
-def refuse_conflicts(keys: Sequence[str], checksum: str, sink: str) -> Callable[[DataFrame, int], None]:
-    """Batch action: append the rows, or fail when a key carries two checksums."""
+def append_once(keys: Sequence[str], checksum: str, sink: str) -> Callable[[DataFrame, int], None]:
+    """Batch action: append rows of new keys, ignore repeats, fail when a key carries two checksums.
+
+    Keys are compared within the batch and with all batches written before, so a
+    row may be delivered again at any distance.
+    """
 
     def action(batch: DataFrame, batch_id: int) -> None:
-        spread = batch.groupBy(*keys).agg(F.min(checksum).alias("lo"), F.max(checksum).alias("hi"))
-        if not spread.where("lo <> hi").isEmpty():
-            raise ValueError("one key carries different payloads")
-        # The batch id names the folder, so a repeated batch replaces itself.
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        spark, payload = batch.sparkSession, batch.columns
+        batch = batch.persist()
+        try:
+            spread = batch.groupBy(*keys).agg(
+                F.min(checksum).alias("lo"), F.max(checksum).alias("hi"), F.count_if(F.col(checksum).isNull()).alias("none"),
+                F.count(F.lit(1)).alias("n"),
+            )
+            clash = spread.where("lo <> hi OR (none > 0 AND none < n)").limit(1).count()
+            fresh = batch.dropDuplicates(list(keys))
+            if batch_id > 0:
+                # A repeated batch replaces its own folder, so only earlier ones count as written.
+                done = spark.read.schema(f"{_ddl(batch, [*keys, checksum])}, batch long").parquet(sink)
+                done = done.where(F.col("batch") < batch_id).select(
+                    *[F.col(k).alias(f"__{k}") for k in keys], F.col(checksum).alias("__written")
+                )
+                same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+                differs = ~F.col(checksum).eqNullSafe(F.col("__written"))
+                clash += fresh.join(done, [*same, differs], "left_semi").limit(1).count()
+                fresh = fresh.join(done, same, "left_anti")
+            if clash:
+                raise ValueError("one key carries different payloads")
+            fresh.select(*payload).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return action
 
 
+def _ddl(df: DataFrame, columns: Sequence[str]) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+
+
 def exclude_static(stream: DataFrame, known: DataFrame, key: str = "source_id") -> DataFrame:
     """Stream rows whose key is not in the static list; Spark sizes the list before broadcasting it."""
     return stream.join(known.select(key).distinct(), key, "left_anti")

@@ -1,7 +1,7 @@
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from raresift.streaming import flows
 
@@ -12,7 +12,7 @@ def test_conflicting_payload_stops_the_stream(spark):
     df.write.mode("overwrite").parquet(folder)
     stream = flows.landed(spark, folder, df.schema)
     with pytest.raises(Exception, match="different payloads"):
-        flows.run_batches(stream, flows.refuse_conflicts(["k"], "h", sink), ckpt)
+        flows.run_batches(stream, flows.append_once(["k"], "h", sink), ckpt)
 
 
 def test_resumed_stream_takes_only_new_files(spark):
@@ -28,3 +28,36 @@ def test_resumed_stream_takes_only_new_files(spark):
     spark.range(100, 120).write.mode("append").parquet(folder)
     flows.run_available(stream(), sink, ckpt)
     assert spark.read.parquet(sink).agg(F.count("*"), F.count_distinct("source_id")).first() == (60, 60)
+
+
+def _deliver(spark, folder, rows):
+    spark.createDataFrame(rows, "k long, h string").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_redelivery_adds_nothing_and_a_changed_payload_is_refused_in_a_later_batch(spark):
+    folder, sink, ckpt = (tempfile.mkdtemp(prefix="spark-") for _ in range(3))
+
+    def run():
+        stream = flows.landed(spark, folder, T.StructType.fromDDL("k long, h string"), files_per_trigger=1)
+        flows.run_batches(stream, flows.append_once(["k"], "h", sink), ckpt)
+
+    _deliver(spark, folder, [(1, "a"), (2, "b"), (1, "a"), (None, "n")])
+    run()
+    _deliver(spark, folder, [(2, "b"), (3, "c"), (None, "n")])
+    run()
+    assert sorted(map(tuple, spark.read.parquet(sink).select("k", "h").collect()), key=str) == [
+        (1, "a"), (2, "b"), (3, "c"), (None, "n")
+    ]
+    _deliver(spark, folder, [(1, "changed")])
+    with pytest.raises(Exception, match="different payloads"):
+        run()
+    assert spark.read.parquet(sink).count() == 4
+
+
+def test_unchanged_redelivery_is_dropped_by_state_and_a_change_passes(spark):
+    folder, sink, ckpt = (tempfile.mkdtemp(prefix="spark-") for _ in range(3))
+    rows = spark.sql("select timestamp '2024-01-01' ts, 1L k, h from values ('a'), ('a'), ('b') v(h)")
+    rows.coalesce(1).write.mode("overwrite").parquet(folder)
+    stream = flows.event_time(flows.landed(spark, folder, rows.schema), "ts", "1 day")
+    flows.run_available(flows.without_redelivered(stream, ["k"], "h"), sink, ckpt)
+    assert sorted(r.h for r in spark.read.parquet(sink).collect()) == ["a", "b"]
