@@ -39,15 +39,15 @@ def alternative_rows(raw: DataFrame) -> DataFrame:
     return raw.join(multiple, "source_id", "left_semi").select("source_id", *ALTERNATIVE_FIELDS)
 
 
-def alternatives_json(raw: DataFrame, *, max_inline: int = 1000) -> DataFrame:
-    """The candidates of a source as one JSON text, for sources with at most ``max_inline`` of them.
+def alternatives_json(raw: DataFrame) -> DataFrame:
+    """All candidates of every source with more than one, as one JSON text per source.
 
-    Larger groups would be a cell of unbounded size; their candidates are whole
-    in :func:`alternative_rows`.
+    The cell grows with the source's own candidates; :func:`alternative_rows`
+    holds the same candidates as plain rows, for sources that are too crowded
+    for one cell.
     """
-    sized = raw.groupBy("source_id").count().where(f"count > 1 and count <= {int(max_inline)}").select("source_id")
     return (
-        raw.join(sized, "source_id", "left_semi")
+        alternative_rows(raw)
         .groupBy("source_id")
         .agg(F.to_json(F.sort_array(F.collect_list(F.struct(*ALTERNATIVE_FIELDS)))).alias("tmass_alternatives_json"))
     )

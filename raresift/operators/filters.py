@@ -89,9 +89,11 @@ def lineage_compatible(
 ) -> DataFrame:
     """Accepted layer rows agreeing with the parent wherever the parent states a value.
 
-    ``parent`` is one row (the chosen first-stage result) and is broadcast.
+    ``parent`` must be one row (the chosen first-stage result), which is checked before it is broadcast.
     """
-    p, l = F.broadcast(parent.limit(1)).alias("p"), layers.where("selection_status = 'accepted'").alias("l")
+    if len(parent.limit(2).collect()) != 1:
+        raise ValueError("exactly one parent result is needed")
+    p, l = F.broadcast(parent).alias("p"), layers.where("selection_status = 'accepted'").alias("l")
     rule = all_true(
         [F.col(f"p.{c}") == F.col(f"l.{c}") for c in keys]
         + [F.col(f"p.{c}").isNull() | (F.col(f"p.{c}") == F.col(f"l.{c}")) for c in tolerant]
@@ -113,14 +115,16 @@ def ranking_view(
     order: Sequence[Column],
     limit: int,
 ) -> DataFrame:
-    """Review list with a support floor, categories, closed dispositions and a bounded length."""
+    """Review list with a support floor, categories, closed dispositions and a length of 1 to 10,000 rows."""
+    if not 1 <= limit <= 10_000:
+        raise ValueError("limit must lie between 1 and 10,000")
     rules = [F.col(support) >= min_support]
     if categories:
         rules.append(F.col(category).isin(list(categories)))
     rules += [~F.col(c).isin(list(values)) for c, values in closed.items()]
     if evidence:
         rules.append(F.col(evidence).isNotNull())
-    return df.where(all_true(rules)).orderBy(*order).limit(max(1, min(int(limit), 10_000)))
+    return df.where(all_true(rules)).orderBy(*order).limit(limit)
 
 
 def annotate_acquisition(df: DataFrame, known: DataFrame, *, required: Sequence[str]) -> DataFrame:

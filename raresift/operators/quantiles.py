@@ -16,8 +16,7 @@ from raresift.session import cut_lineage
 
 
 _ACCURACY = 10_000  # rank error of the sketch is at most n / _ACCURACY
-_SLACK = 3.0 / _ACCURACY
-_SMALL = 20_000  # groups up to this size are taken whole
+_SLACKS = [3.0 / _ACCURACY, 30.0 / _ACCURACY, 300.0 / _ACCURACY, 3000.0 / _ACCURACY]
 
 
 def _same_group(left: str, right: str, by: Sequence[str]) -> Column:
@@ -33,25 +32,37 @@ def exact_quantiles(
     """Linear-interpolation quantiles per group, one column per probability. NULL and NaN are left out.
 
     A mergeable sketch first brackets every quantile between two data values.
-    The second pass counts what lies below a bracket and keeps distinct values
-    only inside it, so about a thousandth of the rows is shuffled, and the exact
-    neighbours are read off the accumulated counts.
+    The bracket must be wide enough for the sketch's rank error and for the two
+    neighbours between which a quantile is interpolated; the narrowest of a
+    ladder of widths that is gets taken, or the whole range. The second pass
+    counts what lies below a bracket and keeps distinct values only inside it,
+    so few rows of a large group are shuffled, and the exact neighbours are read
+    off the accumulated counts. A neighbour outside its bracket is an error.
     """
     by = list(by)
     names = list(names or [f"p{round(p * 1000):03d}" for p in probs])
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).cast("double").alias("__v"))
-    cuts = [c for p in probs for c in (max(p - _SLACK, 0.0), min(p + _SLACK, 1.0))]
+    cuts = [c for p in probs for slack in _SLACKS for c in (max(p - slack, 0.0), min(p + slack, 1.0))]
     stats = clean.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__total"),
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
         F.percentile_approx("__v", cuts, _ACCURACY).alias("__cuts"),
     )
-    whole = F.col("__total") <= _SMALL
+    needed = 2.0 / F.col("__total") + 2.0 / _ACCURACY
     bracket = []
     for i, p in enumerate(probs):
-        low = F.when(whole | F.lit(p - _SLACK <= 0), F.col("__min")).otherwise(F.get("__cuts", F.lit(2 * i)))
-        high = F.when(whole | F.lit(p + _SLACK >= 1), F.col("__max")).otherwise(F.get("__cuts", F.lit(2 * i + 1)))
+        low, high = F.col("__min"), F.col("__max")
+        for j, slack in reversed(list(enumerate(_SLACKS))):
+            at = 2 * (i * len(_SLACKS) + j)
+            if p - slack > 0:
+                low = F.when(needed <= slack, F.get("__cuts", F.lit(at))).otherwise(low)
+            else:
+                low = F.when(needed <= slack, F.col("__min")).otherwise(low)
+            if p + slack < 1:
+                high = F.when(needed <= slack, F.get("__cuts", F.lit(at + 1))).otherwise(high)
+            else:
+                high = F.when(needed <= slack, F.col("__max")).otherwise(high)
         bracket.append(F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high")))
     small = cut_lineage(stats.select(*by, "__total", F.array(*bracket).alias("__brackets")))
     joined = (
@@ -75,7 +86,8 @@ def exact_quantiles(
         position = F.lit(float(p)) * (F.col("__total") - 1)
 
         def at(index: Column) -> Column:
-            return F.max(F.when((F.col("__i") == i) & (index >= first) & (index < F.col("__upto")), F.col("__x")))
+            found = F.max(F.when((F.col("__i") == i) & (index >= first) & (index < F.col("__upto")), F.col("__x")))
+            return F.coalesce(found, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
 
         picks += [
             at(F.floor(position)).alias(f"__lo_{name}"),

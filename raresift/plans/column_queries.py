@@ -336,6 +336,23 @@ def prj_18_blake(t):
     return t.label.select("source_id", hashing.blake_bucket(F.col("source_id"), 42).alias("bucket"))
 
 
+@query(
+    "prj_18_blake_range",
+    """select count(*) n, count(distinct source_id) ids, count(*) filter (where source_id is null) without_bucket, true in_range,
+      true a_fifth_below from v_label""",
+)
+def prj_18_blake_range(t):
+    """What holds for the digest whatever it is: every id has one bucket in range, a fifth of them under 2000 (to 5 sigma)."""
+    rows = prj_18_blake(t)
+    share = F.count_if(F.col("bucket") < 2000) / F.count("bucket")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("source_id", "bucket").alias("ids"),
+        F.count_if(F.col("bucket").isNull()).alias("without_bucket"),
+        ((F.min("bucket") >= 0) & (F.max("bucket") < 10_000)).alias("in_range"),
+        (F.abs(share - 0.2) < 5 * F.sqrt(0.16 / F.count("bucket"))).alias("a_fifth_below"),
+    )
+
+
 @query(
     "prj_19_result_id",
     """select result_id row_id, sha1(concat_ws('|', coalesce(dataset_variant, ''), coalesce(feature_set, ''),

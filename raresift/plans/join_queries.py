@@ -34,18 +34,16 @@ _BRIDGE = """select o_orderkey * 10 + ln source_id, o_custkey, o_totalprice from
     lateral view explode(sequence(1, 7)) s as ln"""
 
 
-@query(
-    "jn_02_acquisition",
-    """select source_id, ra, "dec", G_BP, J_H, W1_W2, c_mktsegment, n_name from (
+_ACQUISITION = """select source_id, ra, "dec", G_BP, J_H, W1_W2, c_mktsegment, n_name from (
       select c.source_id, c.ra, c."dec", c.G - c.BP G_BP, i.J - i.H J_H, w.W1 - w.W2 W1_W2, cu.c_mktsegment, n.n_name
       from v_core c join orders o on o.o_orderkey = c.source_id // 10 join customer cu on cu.c_custkey = o.o_custkey
         join v_ir_best i on i.source_id = c.source_id join v_wise w on w.source_id = c.source_id
         left join nation n on n.n_nationkey = cu.c_nationkey and n.n_regionkey < 3
       where c.ra >= 20 and c.ra < 300 and c."dec" >= -60 and c."dec" < 60 and c.RP is not null)
-    where G_BP between -5::double and 5::double and J_H between -6::double and 6::double
-    order by source_id limit 5000""",
-)
-def jn_02(t):
+    where G_BP between -5::double and 5::double and J_H between -6::double and 6::double"""
+
+
+def _acquired(t, limit):
     nation = t.nation.where("n_regionkey < 3").select("n_nationkey", "n_name")
     bridge = (
         t.orders.select("o_orderkey", "o_custkey")
@@ -62,11 +60,21 @@ def jn_02(t):
         box={"ra": (20.0, 300.0), "dec": (-60.0, 60.0)},
         not_null=["RP"],
         bounds={"G_BP": (-5.0, 5.0), "J_H": (-6.0, 6.0)},
-        limit=5000,
+        limit=limit,
     )
     return got.select("source_id", "ra", "dec", "G_BP", "J_H", "W1_W2", "c_mktsegment", "n_name")
 
 
+@query("jn_02_acquisition", f"{_ACQUISITION} order by source_id limit 5000")
+def jn_02(t):
+    return _acquired(t, 5000)
+
+
+@query("jn_02_acquisition_all", _ACQUISITION)
+def jn_02_all(t):
+    return _acquired(t, None)
+
+
 _SEP = """2 * degrees(asin(sqrt(least(1e0, pow(sin(radians(b."dec" - a."dec") / 2), 2) + cos(radians(a."dec"))
     * cos(radians(b."dec")) * pow(sin(radians(b.ra - a.ra) / 2), 2))))) * 3600"""
 _CONE = f"""select a.source_id, a.ra, a."dec", b.cat_id, b.main_id, b.listed_id, {_SEP} sep_arcsec from v_sky a, v_sky2 b
@@ -242,8 +250,9 @@ def jn_12(t):
 
 @query(
     "jn_13_candidate_scores",
-    f"""with {_RANKS} select s.result_id, s.source_id, s.score from v_scores s
-    where s.source_id in (select source_id from ranks where model_rank <= 100)""",
+    f"""with {_RANKS}, ids as materialized (select distinct source_id from ranks where model_rank <= 100),
+    s as materialized (select result_id, source_id, score from v_scores)
+    select s.result_id, s.source_id, s.score from s join ids on ids.source_id = s.source_id""",
 )
 def jn_13(t):
     ids = _ranks(t).where("model_rank <= 100").select("source_id").distinct()
@@ -441,7 +450,7 @@ def dd_02(t):
 @query(
     "dd_02_alternatives",
     """select source_id, array_to_string(list_sort(list(tmass_id)), ',') alternatives from v_ir group by source_id
-    having count(*) between 2 and 1000""",
+    having count(*) > 1""",
 )
 def dd_02_alternatives(t):
     rows = F.from_json("tmass_alternatives_json", "array<struct<tmass_id:string>>")

@@ -338,6 +338,28 @@ def src_12(t):
     return a.unionByName(b)
 
 
+@query(
+    "src_12_digest_check",
+    """select n as_is, n shuffled, n - 1 shortened, true same_when_shuffled, false same_when_shortened, false same_when_changed
+    from (select count(*) n from v_core)""",
+)
+def src_12_check(t):
+    """The digest ignores order and partitioning, and tells a missing row and a changed value."""
+    first = t.core.agg(F.min("source_id").alias("least"))
+    others = t.core.join(F.broadcast(first), F.col("source_id") != F.col("least")).select(t.core.columns)
+    changed = t.core.withColumn("ruwe", F.when(F.col("region_no") == 7, F.col("ruwe") + 1).otherwise(F.col("ruwe")))
+    digests = {
+        "as_is": store.digest(t.core), "shuffled": store.digest(t.core.repartition(7, "region_no")),
+        "shortened": store.digest(others), "changed": store.digest(changed),
+    }
+    one = None
+    for name, digest in digests.items():  # one row each
+        row = digest.select(F.col("n_rows").alias(name), F.col("digest").alias(f"digest_{name}"))
+        one = row if one is None else one.join(F.broadcast(row))
+    same = lambda name: (F.col("digest_as_is") == F.col(f"digest_{name}")).alias(f"same_when_{name}")
+    return one.select("as_is", "shuffled", "shortened", same("shuffled"), same("shortened"), same("changed"))
+
+
 @query(
     "src_13_snapshots",
     r"""select page_id, url, sha256(html) sha256, coalesce(nullif(regexp_extract(html, 'lang="[a-z]+"', 0), ''), 'unknown') version,

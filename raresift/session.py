@@ -58,11 +58,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def proven_small(df: DataFrame, max_rows: int = 100_000) -> bool:
-    """True when ``df`` is known, by a bounded count, to have at most ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def release_intermediates(spark: SparkSession) -> int:
     """Delete the intermediate tables this process wrote; call it when no frame needs them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
