@@ -67,12 +67,15 @@ def largest_products(embeddings: DataFrame, *, queries_every: int = 50, k: int =
 
 
 ORACLE = """
-WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+WITH c AS (
+    SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings
+), bad AS (
+    SELECT DISTINCT vec_id FROM c WHERE x IS NULL OR isnan(x) OR isinf(x)
+), v AS (
+    SELECT vec_id, i, floor(256 * x)::BIGINT AS x FROM c WHERE vec_id NOT IN (SELECT vec_id FROM bad)
 ), s AS (
-    SELECT q.vec_id AS query_id, v.vec_id AS vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
-    FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+    SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(sum(q.x * v.x) AS BIGINT) AS score
+    FROM v AS q JOIN v ON q.i = v.i AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, v.vec_id
 ), r AS (
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
 )
