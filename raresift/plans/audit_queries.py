@@ -88,6 +88,31 @@ def ag_02_registry(t):
     return audits.registry_audit(audits.tile_audit(acquired(t)), registry).select("tile_id", "audit_status")
 
 
+@query(
+    "ag_02_tile_audit_faults",
+    f"""with {ACQUIRED_SQL} select tile_id, count(*) n_rows, count(*) filter (where source_id % 7 = 0) count_mask_errors,
+      count(*) filter (where (source_id % 7 = 0 and not passes) or (source_id % 11 = 0 and (source_id % 7 = 0 or passes)
+        and not (source_id % 7 = 0 and not passes))) union_errors,
+      count(*) filter (where source_id % 13 = 0) component_mask_errors from
+      (select *, bit_count(compatible_variant_mask) c from acq) group by tile_id""",
+)
+def ag_02_faults(t):
+    """The audit of rows with known faults: a wrong count, a dropped pass, a component mask without its bits."""
+    seven, eleven = F.col("source_id") % 7 == 0, F.col("source_id") % 11 == 0
+    spoilt = acquired(t).withColumns({
+        "compatible_variant_count": F.col("compatible_variant_count") + F.when(seven, 1).otherwise(0),
+        "passes_any_exact_variant": F.col("passes_any_exact_variant") & ~eleven,
+        "exact_locus_variant_mask": F.when(F.col("source_id") % 13 == 0, F.bitwise_not("compatible_variant_mask")).otherwise(
+            F.col("exact_locus_variant_mask")
+        ),
+    })
+    # A complement may still agree by chance where the other masks are empty, so these rows get masks of all bits.
+    full = F.lit(-1).cast("long")
+    for other in ("photometry_variant_mask", "astrometry_variant_mask"):
+        spoilt = spoilt.withColumn(other, F.when(F.col("source_id") % 13 == 0, full).otherwise(F.col(other)))
+    return audits.tile_audit(spoilt).select("tile_id", "n_rows", "count_mask_errors", "union_errors", "component_mask_errors")
+
+
 @query(
     "ag_03_tile_counts",
     f"""with {ACQUIRED_SQL} select tile_id, count(*) acquired_pre_locus, """
@@ -708,6 +733,21 @@ def ag_20(t):
     return audits.rank_grain(_ranks(t), ["result_id"], "model_rank")
 
 
+@query(
+    "ag_20_rank_grain_faults",
+    f"""with {_RANKS}, m as (select result_id, case when model_rank = 3 then 2 when model_rank > 5 then model_rank + 1
+        else model_rank end model_rank from ranks), r as (select result_id, model_rank, count(*) n from m group by 1, 2)
+    select result_id, cast(sum(n) as bigint) n, min(model_rank) first_rank, max(model_rank) last_rank,
+      count(*) filter (where n > 1) repeated, sum(n) < 3 contiguous from r group by result_id""",
+)
+def ag_20_faults(t):
+    """Ranks with a repeat at 2 and a gap behind 5."""
+    rank = F.col("model_rank")
+    moved = F.when(rank == 3, 2).when(rank > 5, rank + 1).otherwise(rank).cast("long")
+    spoilt = _ranks(t).withColumn("model_rank", moved)
+    return audits.rank_grain(spoilt, ["result_id"], "model_rank")
+
+
 @query(
     "ag_20_status_rules",
     f"""with {_RANKS}, {_FUSED}, {_CONSENSUS}, {_OPPS}

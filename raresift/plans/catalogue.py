@@ -16,14 +16,6 @@ MODULES = (
     "model_queries",
     "stream_queries",
     "job_queries",
-    "join_queries",
-    "locus_queries",
-    "audit_queries",
-    "tile_queries",
-    "sample_queries",
-    "model_queries",
-    "stream_queries",
-    "job_queries",
 )
 
 

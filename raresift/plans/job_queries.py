@@ -71,17 +71,33 @@ def job_04(t):
     return jobs.fit_variants(t.pool, ids, REQUIRED)
 
 
-@query("tl_06_build_pool")
+_TILE = "concat('t', cast(cast(floor(ra / 3e1) as bigint) as string))"
+
+
+@query(
+    "tl_06_build_pool",
+    f"""select {_TILE} tile_id, 'completed' status, count(*) row_count, case when {_TILE} = 't3' then 'q2' else 'q1' end query_hash,
+      {_TILE} = 't3' redone from v_pool group by 1""",
+)
 def tl_06(t):
     """Build all tiles, then run again after one tile's contract changed: only that tile is redone."""
+    return _built(t)[0].select("tile_id", "status", "row_count", "query_hash", "redone")
+
+
+@query("tl_06_manifest", f"select count(distinct {_TILE}) n_tiles, count(*) n_rows from v_pool")
+def tl_06_manifest(t):
+    _, plan, root = _built(t)
+    return jobs.finalise_pool(t.spark, plan, root).select("n_tiles", "n_rows")
+
+
+def _built(t):
     tile = F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string"))
     rows = t.pool.withColumn("tile_id", tile)
     plan = rows.select("tile_id").distinct().withColumn("query_hash", F.lit("q1"))
     root = scratch(t, "pool")
     jobs.build_pool(rows, plan, t.known, LOCI, SCHEMA, root)
     changed = plan.withColumn("query_hash", F.when(F.col("tile_id") == "t3", "q2").otherwise("q1"))
-    registry = jobs.build_pool(rows, changed, t.known, LOCI, SCHEMA, root)
-    return registry.select("tile_id", "status", "row_count", "query_hash", "redone")
+    return jobs.build_pool(rows, changed, t.known, LOCI, SCHEMA, root), changed, root
 
 
 @query(

@@ -116,14 +116,16 @@ def build_pool(
     """One job over all pending tiles: plan, annotate, write by tile, register, verify.
 
     A tile is redone unless its registry row carries the same contract and the
-    files hold the registered rows. Returns the registry.
+    files hold the registered rows; finished tiles are known from file footers.
+    Tiles are registered as completed only after their files were read again and
+    hold exactly the planned rows. Returns the registry.
     """
     spark = landing_rows.sparkSession
     data, registry = f"{root}/data", f"{root}/registry"
     schema_text = "status string, row_count long, " + ", ".join(f"{c} string" for c in contract) + ", tile_id string"
     stored = store.read_or_empty(spark, registry, spark.createDataFrame([], schema_text).schema)
     try:
-        measured = landing.written_counts(spark, data).select("tile_id", F.col("n_rows").alias("measured_rows"))
+        measured = landing.stored_rows(spark, data).select("tile_id", F.col("n_rows").alias("measured_rows"))
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -135,7 +137,13 @@ def build_pool(
     todo = landing_rows.join(pending.select("tile_id"), "tile_id", "left_semi")
     annotated = locus.evaluate_union(todo, loci, schema).join(labels, "source_id", "left")
     landing.write_tiles(annotated, data)
-    counts = landing.written_counts(spark, data).select("tile_id", F.col("n_rows").alias("row_count"))
+    names = [r["tile_id"] for r in pending.select("tile_id").collect()]  # a row per tile
+    written = landing.written_counts(spark, data, only=names)
+    checked = cut_lineage(landing.write_check(todo.select("tile_id", "source_id"), written))
+    wrong = [r["tile_id"] for r in checked.where("not write_ok").select("tile_id").collect()]
+    if wrong:
+        raise ValueError(f"files do not hold the planned rows of tiles {sorted(wrong)}")
+    counts = checked.select("tile_id", F.col("n_rows").alias("row_count"))
     rows = pending.select("tile_id").join(plan.select("tile_id", *contract), "tile_id").join(counts, "tile_id", "left").select(
         F.lit("completed").alias("status"), F.coalesce("row_count", F.lit(0).cast("long")).alias("row_count"), *contract, "tile_id"
     )
@@ -145,6 +153,26 @@ def build_pool(
     return fresh.join(done, "tile_id", "left").withColumn("redone", F.col("__new").isNotNull()).drop("__new")
 
 
+def finalise_pool(spark, plan: DataFrame, root: str) -> DataFrame:
+    """The manifest of a build whose planned tiles are all completed and whole; any other build is refused.
+
+    One row: tiles, rows, and an order-free digest of the registry.
+    """
+    registry = cut_lineage(spark.read.parquet(f"{root}/registry"))
+    stored = landing.stored_rows(spark, f"{root}/data")
+    state = plan.select("tile_id").join(registry, "tile_id", "full_outer").join(stored, "tile_id", "left")
+    whole = (F.col("status") == "completed") & (F.coalesce("n_rows", F.lit(0)) == F.col("row_count"))
+    open_ = [r["tile_id"] for r in state.where(~F.coalesce(whole, F.lit(False))).select("tile_id").collect()]
+    if open_:
+        raise ValueError(f"tiles not completed: {sorted(open_)}")
+    manifest = registry.agg(
+        F.count(F.lit(1)).alias("n_tiles"), F.sum("row_count").alias("n_rows"),
+        F.sum(F.xxhash64(*registry.columns).cast("decimal(38,0)")).cast("string").alias("digest"),
+    )
+    manifest.write.mode("overwrite").parquet(f"{root}/manifest")
+    return spark.read.parquet(f"{root}/manifest")
+
+
 def audit_policies(pool: DataFrame, loci, schema: locus.MaskSchema, feature_sets, root: str, *, region: str = "region") -> DataFrame:
     """Filter audit: judge all rows once, write the comparison, derive the tables from the files."""
     repeated = pool.groupBy(region, "source_id").count().where("count > 1")

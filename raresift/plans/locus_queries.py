@@ -259,6 +259,25 @@ def loc_07_invariants(t):
     return locus.mask_violations(locus.mask_from_flags(flagged, _FLAG_SCHEMA), _FLAG_SCHEMA)
 
 
+@query(
+    "loc_07_mask_invariant_faults",
+    """select count(*) filter (where source_id % 3 = 0) bit_disagrees, count(*) filter (where source_id % 5 = 0) count_disagrees,
+      count(*) filter (where source_id % 7 = 0) union_disagrees from v_core""",
+)
+def loc_07_faults(t):
+    """Rows with one wrong flag, a wrong count, a wrong verdict: each kind is found, and nothing else."""
+    every = lambda n: F.col("source_id") % n == 0
+    flagged = t.core.withColumns({f"exact_variant_keep__{v}": F.expr(rule) for v, rule in _FLAGS.items()})
+    masked = locus.mask_from_flags(flagged, _FLAG_SCHEMA)
+    count = F.col("compatible_variant_count") + F.when(every(5), 1).otherwise(0)
+    first = f"exact_variant_keep__{next(iter(_FLAGS))}"
+    spoilt = masked.withColumns({
+        first: F.coalesce(F.col(first), F.lit(False)) != every(3), "compatible_variant_count": count,
+        "passes_any_exact_variant": (count > 0) != every(7),
+    })
+    return locus.mask_violations(spoilt, _FLAG_SCHEMA)
+
+
 @query(
     "loc_08_exact_union",
     f"""with {UNION_SQL} select source_id, exact_locus_variant_mask, photometry_variant_mask, astrometry_variant_mask,

@@ -107,6 +107,17 @@ def tl_07(t):
     return tiles.build_status(even, even.where("status <> 'pending'"))
 
 
+@query(
+    "tl_07_build_status_whole",
+    """select count(*) expected_tiles, count(*) registered_tiles, count(*) completed_tiles, 0 * count(*) differences,
+      case when count(*) > 0 then 'completed' else 'partial' end status from v_tiles
+      where pool_build_id = 'even' and status = 'completed'""",
+)
+def tl_07_whole(t):
+    done = t.tiles.where("pool_build_id = 'even' and status = 'completed'")
+    return tiles.build_status(done, done)
+
+
 @query(
     "tl_08_backfill_status",
     """select pool_build_id, case when pool_build_id = 'odd' then 'legacy' when n = d then 'completed' else 'partial' end status
@@ -253,6 +264,24 @@ def src_06(t):
     return landing.write_check(rows, landing.written_counts(t.spark, path))
 
 
+@query(
+    "src_06_write_check_faults",
+    f"""select tile_id, count(*) planned_rows, cast(sum(copies) as bigint) n_rows, count(*) filter (where copies > 0) n_sources,
+      min(copies) = 1 and max(copies) = 1 write_ok from (select concat('t', cast(cast(floor(ra / 3e1) as bigint) as string)) tile_id,
+        case when floor(ra / 3e1) = 3 and source_id % 5 = 0 then 0 when floor(ra / 3e1) = 4 and source_id % 5 = 0 then 2
+        else 1 end copies from v_core) group by 1""",
+)
+def src_06_faults(t):
+    """One tile is written short and one with rows twice; the check names exactly these."""
+    path = scratch(t, "tiles")
+    zone = F.floor(F.col("ra") / 30.0)
+    rows = t.core.select("source_id", "G", "BP", F.concat(F.lit("t"), zone.cast("string")).alias("tile_id"))
+    fifth = F.col("source_id") % 5 == 0
+    short = rows.where(~((F.col("tile_id") == "t3") & fifth))
+    landing.write_tiles(short.unionByName(rows.where((F.col("tile_id") == "t4") & fifth)), path)
+    return landing.write_check(rows, landing.written_counts(t.spark, path))
+
+
 @query(
     "src_07_ranked_exports",
     f"""with {_RANKS}, {_FUSED}, {_CONSENSUS} select source_id, consensus_rank from consensus where consensus_rank <= 100""",

@@ -41,9 +41,20 @@ def write_tiles(df: DataFrame, path: str, *, by: str = "tile_id", compression: s
     )
 
 
-def written_counts(spark: SparkSession, path: str, *, by: str = "tile_id") -> DataFrame:
-    """Re-read row and distinct-id counts per tile, distinct ids spread over (tile, id)."""
-    per_id = spark.read.parquet(path).groupBy(by, "source_id").agg(F.count(F.lit(1)).alias("n"))
+def stored_rows(spark: SparkSession, path: str, *, by: str = "tile_id") -> DataFrame:
+    """Rows per tile; only file footers and folder names are read."""
+    return spark.read.parquet(path).groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def written_counts(spark: SparkSession, path: str, *, by: str = "tile_id", only: Sequence[str] | None = None) -> DataFrame:
+    """Re-read row and distinct-id counts per tile, distinct ids spread over (tile, id).
+
+    ``only`` restricts the reading to the folders of these tiles.
+    """
+    rows = spark.read.parquet(path)
+    if only is not None:
+        rows = rows.where(F.col(by).isin(list(only)))
+    per_id = rows.groupBy(by, "source_id").agg(F.count(F.lit(1)).alias("n"))
     return per_id.groupBy(by).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_sources"))
 
 

@@ -100,3 +100,24 @@ def test_diverse_selection_leads_with_profile_leaders(spark):
         "a": "Recall@100 leader", "b": "AP leader", "c": "Precision@100 leader", "d": "Threshold balance",
         "e": "Lowest FPR", "f": "Global balance", "h": "P",
     }  # the unseen signature beats the better-scored near copy
+
+
+def test_short_write_fails_the_build(spark, tables, monkeypatch):
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from raresift.plans import jobs
+    from raresift.plans.locus_queries import LOCI, SCHEMA
+
+    rows = tables.pool.where("ra < 60").withColumn("tile_id", F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string")))
+    plan = rows.select("tile_id").distinct().withColumn("query_hash", F.lit("q1"))
+    write, root = jobs.landing.write_tiles, tempfile.mkdtemp(prefix="spark-")
+    monkeypatch.setattr(jobs.landing, "write_tiles", lambda df, path: write(df.where("tile_id <> 't1' or source_id % 5 <> 0"), path))
+    with pytest.raises(ValueError, match="'t1'"):
+        jobs.build_pool(rows, plan, tables.known, LOCI, SCHEMA, root)
+    monkeypatch.undo()
+    assert {r.status for r in jobs.build_pool(rows, plan, tables.known, LOCI, SCHEMA, root).collect()} == {"completed"}
+    assert jobs.finalise_pool(spark, plan, root).first().n_tiles == plan.count()
+    with pytest.raises(ValueError, match="t99"):
+        jobs.finalise_pool(spark, plan.unionByName(spark.sql("select 't99' tile_id, 'q1' query_hash")), root)
