@@ -71,8 +71,8 @@ def cohort_counts(tagged: DataFrame) -> DataFrame:
 
 
 def review_subsets(top_k: int) -> dict[str, Column]:
-    """Named presets over (rank, target, predicted)."""
-    positive, inside = F.col("target") == 1, F.col("rank") <= top_k
+    """Named presets over (rank, target, predicted); a NULL rank lies behind the budget."""
+    positive, inside = F.col("target") == 1, F.coalesce(F.col("rank") <= top_k, F.lit(False))
     hit = F.col("predicted") == 1
     return {
         "top_k": inside,

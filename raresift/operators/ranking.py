@@ -38,6 +38,17 @@ def top_per_group(
     )
 
 
+def with_top_rank(
+    df: DataFrame, *, by: Sequence[str], order: Sequence[Column], limit: int, key: str = "source_id", rank: str = "rank"
+) -> DataFrame:
+    """All rows with their exact rank where it is at most ``limit``, else NULL; (``by``, ``key``) must be unique.
+
+    Only the top lists are ordered, so this is for budgets: inside is ``rank <= k``, outside is NULL or more.
+    """
+    top = top_per_group(df, by=by, order=order, limit=limit, rank=rank, salt_on=key)
+    return df.join(top.select(*by, key, rank), [*by, key], "left")
+
+
 def model_ranks(scores: DataFrame, *, limit: int) -> DataFrame:
     """Top ``limit`` sources of every model by (score desc, source_id)."""
     return top_per_group(

@@ -94,14 +94,25 @@ def sample_by_strata(df: DataFrame, *, target_n: int, columns: Sequence[str], bi
     """Exactly ``target_n`` rows with the strata kept in proportion, chosen by a stable hash.
 
     Edges, quotas and ranks each read the rows, which are therefore written once.
+    The hash is uniform, so only rows below a stratum's share, with a margin, are
+    ranked. Should some stratum then hold fewer than its quota, the margin grows;
+    at a share of one all rows are in.
     """
     df = cut_lineage(df)
     tagged = df.withColumn("stratum", colour_stratum(stratum_edges(df, columns, bins)))
-    quotas = largest_remainder(tagged.groupBy("stratum").count(), target_n).select("stratum", "quota")
+    quotas = cut_lineage(largest_remainder(tagged.groupBy("stratum").count(), target_n).select("stratum", "quota", "count"))
     hashed = tagged.withColumn("__h", md5_number(F.concat(F.lit(f"{seed}:"), F.col("source_id").cast("string"))))
-    ranked = global_rank(hashed, by=["stratum"], order=[F.asc("__h"), F.asc("source_id")], name="__place")
-    chosen = ranked.join(quotas, "stratum").where(F.col("__place") <= F.col("quota"))
-    return chosen.select(*df.columns, "stratum")
+    margin = 1.0
+    while True:
+        share = (F.col("quota") + margin * (6 * F.sqrt("quota") + 20)) / F.col("count")
+        below = (share >= 1) | (F.col("__h") < share * float(1 << 60))
+        near = cut_lineage(hashed.join(quotas, "stratum").where(below).select(*df.columns, "stratum", "quota", "__h"))
+        held = near.groupBy("stratum").agg(F.count(F.lit(1)).alias("held"))
+        if quotas.join(held, "stratum", "left").where(F.coalesce("held", F.lit(0)) < F.col("quota")).isEmpty():
+            break
+        margin *= 8
+    ranked = global_rank(near, by=["stratum"], order=[F.asc("__h"), F.asc("source_id")], name="__place")
+    return ranked.where(F.col("__place") <= F.col("quota")).select(*df.columns, "stratum")
 
 
 def reduce_negatives(

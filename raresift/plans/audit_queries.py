@@ -13,7 +13,7 @@ from raresift.plans.filter_queries import COLOUR_SQL
 from raresift.plans.locus_queries import (
     LOCI, POLICY_SQL, SCHEMA, T_SQL, UNION_SQL, WIDE, policies, pool_union,
 )
-from raresift.plans.rank_queries import _CONSENSUS, _FUSED, _RANKED, _RANKS, MODELS, TOP, _ranked, _ranks, _OPPS, _opportunities
+from raresift.plans.rank_queries import _CONSENSUS, _FUSED, _RANKED, _RANKS, MODELS, TOP, _ranks, _OPPS, _opportunities
 from raresift.plans.registry import query
 
 BITS = dict(SCHEMA.bits)
@@ -151,10 +151,14 @@ def ag_04(t):
 def ag_07(t):
     kind = F.when(F.col("spectral_type").contains("WN"), "WN").when(F.col("spectral_type").contains("WC"), "WC")
     ident = t.ident.select("source_id", kind.alias("subtype"))
-    positives = _ranked(t).where("target = 1").join(ident, "source_id", "left")
+    positives = _within(t, 500).where("target = 1").join(ident, "source_id", "left")
     return audits.subset_counts(positives, "subtype", [10, 50, 500])
 
 
+def _within(t, limit):
+    return ranking.with_top_rank(t.pred, by=["result_id"], order=[F.desc("score"), F.asc("source_id")], limit=limit)
+
+
 @query(
     "ag_08_contaminants",
     f"""with {_RANKED}, s as (select coalesce(i.spectral_type, 'unknown') spectral_type from ranked r
@@ -162,7 +166,7 @@ def ag_07(t):
     select spectral_type, count(*) as "count", count(*) / (select count(*) from s) share from s group by spectral_type""",
 )
 def ag_08(t):
-    inside = _ranked(t).where("target = 0 and rank <= 100").join(
+    inside = _within(t, 100).where("target = 0 and rank <= 100").join(
         t.ident.select("source_id", "spectral_type"), "source_id", "left"
     )
     return audits.composition(inside, "spectral_type")

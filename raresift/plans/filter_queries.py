@@ -229,10 +229,10 @@ _PRESETS = """ranked as (select *, row_number() over (partition by result_id ord
       count(*) filter (where target = 1) positives from ranked group by result_id""",
 )
 def flt_16(t):
-    from raresift.operators.ordered import global_rank
+    from raresift.operators.ranking import with_top_rank
 
-    ranked = global_rank(
-        t.pred, by=["result_id"], order=[F.desc("score"), F.asc("source_id")], name="rank"
+    ranked = with_top_rank(
+        t.pred, by=["result_id"], order=[F.desc("score"), F.asc("source_id")], limit=50
     ).withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int"))
     return ranked.groupBy("result_id").agg(
         *[F.count_if(rule).alias(name) for name, rule in filters.review_subsets(50).items()]
