@@ -31,11 +31,18 @@ NOTE_CONTEXT = {
 }
 NOTE_UNKNOWN = "Contexto SIMBAD no concluyente."
 NOTE_END = "Requiere inspección de SED/imágenes y espectroscopía."
+NOTE_SENTENCES = {
+    "support": "Apoyo de %s modelos; mejor rango individual %s.",
+    "espels": "ESP-ELS: %s.",
+    "halpha": "Gaia Hα EW=%.3f.",
+    "ruwe": "RUWE elevado (%.2f); revisar astrometría.",
+    "flags": "WISE cc_flags=%s; revisar contaminación visual.",
+}
 
 # Model parameters lifted to columns, numeric but for max_features.
 HYPERPARAMETERS = (
-    "n_estimators", "max_depth", "min_samples_leaf", "max_features", "learning_rate", "min_child_weight", "subsample",
-    "colsample_bytree", "reg_lambda",
+    "n_estimators", "max_depth", "min_samples_leaf", "max_features", "learning_rate", "subsample", "colsample_bytree",
+    "reg_lambda", "min_child_weight",
 )
 
 
@@ -175,12 +182,12 @@ def review_note(
     espels, flags = clean_token(espels), clean_token(flags)
     return F.concat_ws(
         " ",
-        F.format_string("Apoyo de %s modelos; mejor rango individual %s.", support, best_rank),
+        F.format_string(NOTE_SENTENCES["support"], support, best_rank),
         context,
-        F.when(espels != "", F.format_string("ESP-ELS: %s.", espels)),
-        F.when(halpha.isNotNull(), F.format_string("Gaia Hα EW=%.3f.", halpha)),
-        F.when(ruwe > 1.4, F.format_string("RUWE elevado (%.2f); revisar astrometría.", ruwe)),
-        F.when(flags.rlike("[^0]"), F.format_string("WISE cc_flags=%s; revisar contaminación visual.", flags)),
+        F.when(espels != "", F.format_string(NOTE_SENTENCES["espels"], espels)),
+        F.when(halpha.isNotNull(), F.format_string(NOTE_SENTENCES["halpha"], halpha)),
+        F.when(ruwe > 1.4, F.format_string(NOTE_SENTENCES["ruwe"], ruwe)),
+        F.when(flags.rlike("[^0]"), F.format_string(NOTE_SENTENCES["flags"], flags)),
         F.lit(NOTE_END),
     )
 

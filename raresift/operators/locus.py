@@ -106,14 +106,17 @@ class MaskSchema:
 
 
 def mask_schema(variants: Sequence[str], registry: Mapping[str, int] = VARIANT_BITS) -> MaskSchema:
-    unknown = sorted(set(variants) - set(registry))
-    if unknown:
-        raise ValueError(f"variants without a stable bit: {unknown}")
-    bits = sorted(((v, registry[v]) for v in set(variants)), key=lambda pair: (pair[1], pair[0]))
-    positions = [b for _, b in bits]
-    if len(positions) != len(set(positions)) or any(not 0 <= b <= 63 for b in positions):
-        raise ValueError("bits must be distinct and between 0 and 63")
-    return MaskSchema(tuple(bits))
+    """The registry cut to ``variants``, by bit; a long mask has room for 64 variants, each with a bit of its own."""
+    wanted = {v: registry.get(v) for v in variants}
+    by_bit: dict[int, str] = {}
+    for variant, bit in wanted.items():
+        if bit is None:
+            raise ValueError(f"no stable bit is registered for {variant}")
+        if not 0 <= bit < 64:
+            raise ValueError(f"bit {bit} of {variant} lies outside a long")
+        if by_bit.setdefault(bit, variant) != variant:
+            raise ValueError(f"{variant} and {by_bit[bit]} share bit {bit}")
+    return MaskSchema(tuple((by_bit[bit], bit) for bit in sorted(by_bit)))
 
 
 # ---- nested datasets --------------------------------------------------------
