@@ -48,7 +48,7 @@ HYPERPARAMETERS = (
 
 def clean_scalar(text: Column) -> Column:
     """Non-breaking and repeated white space become one blank; empty text becomes NULL."""
-    plain = F.regexp_replace(F.regexp_replace(text, f"{NBSP}|&nbsp", " "), r"\s+", " ")
+    plain = F.regexp_replace(F.regexp_replace(text, f"{NBSP}|&nbsp;?", " "), r"\s+", " ")
     return F.nullif(F.trim(plain), F.lit(""))
 
 

@@ -111,7 +111,7 @@ def prj_06(t):
 
 @query(
     "prj_07_clean_text",
-    """select doc_id, md5(nullif(trim(regexp_replace(regexp_replace(text, chr(160) || '|&nbsp', ' ', 'g'),
+    """select doc_id, md5(nullif(trim(regexp_replace(regexp_replace(text, chr(160) || '|&nbsp;?', ' ', 'g'),
         '\\s+', ' ', 'g')), '')) cleaned,
       case when lower(trim(lang)) in ('nan', 'none', '<na>') then '' else trim(lang) end token,
       concat_ws('|', lang, source) joined from documents""",

@@ -226,12 +226,29 @@ def src_02(t):
       unnest(range(len(regexp_extract_all(html, '(?s)<li><a href="([^"]*)">(.*?)</a></li>', 0)))) pos from pages)
     select page_id, cast(pos as int) as "position", regexp_extract(cell, 'href="([^"]*)"', 1) target,
       nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(cell, '<[^>]*>', '', 'g'), '&amp;', '&', 'g'),
-        chr(160) || '|&nbsp', ' ', 'g'), '\s+', ' ', 'g')), '') as "text" from x""",
+        chr(160) || '|&nbsp;?', ' ', 'g'), '\s+', ' ', 'g')), '') as "text" from x""",
 )
 def src_03(t):
     return html.list_cells(t.pages)
 
 
+@query(
+    "src_03_largest_table",
+    """with c as (select page_id, 0 row_no, 0 col_no, 'page' as "text" from pages union all select page_id, 0, 1, 'url' from pages
+      union all select page_id, 1, 0, cast(page_id as varchar) from pages union all select page_id, 1, 1, url from pages
+      union all select page_id, 2, 0, '1.5' from pages union all select page_id, 2, 1, null from pages)
+    select page_id, row_no, col_no, "text", try_cast("text" as double) as "number" from c""",
+)
+def src_03_table(t):
+    """Each page gets a small and a larger table made of its own columns; the larger one is read, cell by cell."""
+    small = F.lit("<table><tr><td>0</td></tr></table>")
+    large = F.concat(
+        F.lit("<TABLE class='a'><tr><th>page</th>\n<th>url</th></tr><TR><td> "), F.col("page_id").cast("string"),
+        F.lit("\n</td><td><b>"), F.col("url"), F.lit("</b></td></TR><tr><td>1.5</td><td>&nbsp;</td></tr></TABLE>"),
+    )
+    return html.largest_table(t.pages.select("page_id", F.concat(F.col("html"), small, large, small).alias("html")))
+
+
 @query(
     "src_04_rows_by_id",
     "select source_id, G, BP from v_core where source_id in (select source_id from v_known)",
