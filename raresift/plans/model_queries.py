@@ -8,7 +8,7 @@ from raresift.functions import hashing, photometry as ph
 from raresift.operators import curves, learning, model_review as review, ranking, sampling, scoring
 from raresift.operators.ordered import global_rank
 from raresift.plans.registry import query
-from raresift.plans.sample_queries import _STRATA, labelled, training_rows
+from raresift.plans.sample_queries import _STRATA, _TRAIN, labelled, training_rows
 from raresift.session import cut_lineage
 
 # The enriched result table, once per engine.
@@ -119,7 +119,10 @@ def wn_05(t):
     rows = cut_lineage(review.with_profiles(enriched(t)))
     chosen = review.select_diverse(rows, top_n=10)
     return global_rank(
-        chosen, order=[F.desc_nulls_last("ranking_score"), F.desc_nulls_last("holdout_recall_at_100"), F.asc("result_id")],
+        chosen,
+        order=[
+            *[F.desc_nulls_last(c) for c in ("ranking_score", "holdout_recall_at_100", "holdout_average_precision")], F.asc("result_id"),
+        ],
         name="rank",
     ).select("rank", "result_id", "profile")
 
@@ -211,6 +214,23 @@ def ml_03(t):
     return out.groupBy("model", "target").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
 
 
+@query(
+    "ml_03_fitted_counts",
+    f"""with {_TRAIN}, c as (select target, count(*) n from train group by target)
+    select model, target, n, true scores_are_probabilities, true positives_score_higher
+    from c, (values ('logistic_regression'), ('random_forest'), ('boosted_trees')) m(model)""",
+)
+def ml_03_counts(t):
+    """Every training row is scored by every estimator, with a probability, and the classes are told apart on average."""
+    fitted = ml_03(t)
+    means = fitted.groupBy("model").pivot("target", [0, 1]).agg(F.first("mean_score")).select(
+        F.col("model").alias("of"), (F.col("1") > F.col("0")).alias("positives_score_higher")
+    )
+    return fitted.join(means, F.col("model") == F.col("of")).select(
+        "model", "target", "n", F.col("mean_score").between(0, 1).alias("scores_are_probabilities"), "positives_score_higher"
+    )
+
+
 @query("ml_04_training_grid")
 def ml_04(t):
     """Feature sets by estimators, each tuned on the stable folds with the exact evaluator."""
@@ -244,6 +264,17 @@ def ml_05(t):
     )
 
 
+@query(
+    "ml_05_out_of_fold_counts",
+    f"""with {_TRAIN}, r as (select source_ids, unnest(range(2)) repeat from (select count(*) source_ids from train))
+    select max(source_ids) "rows", count(*) least_scores, count(*) most_scores, true mean_is_a_probability from r""",
+)
+def ml_05_counts(t):
+    """Each row has one held-out score for each of the two repeats."""
+    found = ml_05(t)
+    return found.select("rows", "least_scores", "most_scores", F.col("mean_score").between(0, 1).alias("mean_is_a_probability"))
+
+
 @query(
     "ml_06_threshold_scores",
     """select source_id, target, score from v_pred where result_id = 'm1' and target = 1
@@ -281,7 +312,7 @@ def ml_12(t):
     rows = cut_lineage(sampling.stratified_folds(training_rows(t), splits=2, repeats=1, seed=42))
     weighted = cut_lineage(learning.with_weights(rows))
     out = []
-    for depth in (2, 5):
+    for depth in (2, 4, 6, 8):
         oof = learning.out_of_fold(rows, "random_forest", _STRATA, folds=2, maxDepth=depth, numTrees=5)
         fitted = learning.predict(
             learning.build_pipeline("random_forest", _STRATA, maxDepth=depth, numTrees=5).fit(weighted), weighted
@@ -306,7 +337,7 @@ def ml_13(t):
     """Three one-class models of the positives, thresholded at 90 % training recall."""
     rows, positives = _one_class(t)
     mean, inverse = learning.robust_covariance(positives, _STRATA)
-    forest = learning.isolation_trees(positives, _STRATA, trees=20)
+    forest = learning.isolation_trees(positives, _STRATA, trees=100)
     scored = {
         "gaussian_mixture": learning.gaussian_mixture_scores(positives, rows, _STRATA),
         "robust_covariance": rows.dropna(subset=_STRATA).withColumn("score", -learning.mahalanobis(_STRATA, mean, inverse)),

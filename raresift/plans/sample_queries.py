@@ -204,7 +204,7 @@ def sm_08_random(t):
     return grown.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_id").alias("ids"))
 
 
-_POWER = 15
+_POWER = 18
 
 
 def _alphas(d=4):
