@@ -7,7 +7,10 @@ go to a common pool that is dealt anew and packed again, as long as this saves b
 
 from __future__ import annotations
 
+import string
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,19 +23,27 @@ from raresift.session import cut_lineage
 
 
 class ChunkIds(dict):
-    """Little-endian ids by white-space-free chunk, up to ``remembered`` chunks at a time.
+    """Ids as little-endian 32-bit numbers by white-space-free chunk, up to ``remembered`` chunks at a time.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are those of its chunks in order.
     """
 
     def __init__(self, definition: str, remembered: int = 400_000) -> None:
         super().__init__()
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are packed in the machine's own 32-bit order")
         self.tokenizer, self.remembered = Tokenizer.from_str(definition), remembered
         self.tokenizer.encode_special_tokens = True
+        self.words: dict[str, bytes] = {}
         self[""] = b""
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        word = chunk.rstrip(string.punctuation)
+        if word.isascii() and word.isalpha():
+            # The tokenizer splits letters from what follows, so the same word is merged once for all its endings and cases.
+            ids = self._word(word.lower()) + (self[chunk[len(word):]] if len(word) < len(chunk) else b"")
+        else:
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         if len(chunk) <= 64:
             if len(self) >= self.remembered:
                 self.clear()
@@ -40,6 +51,14 @@ class ChunkIds(dict):
             self[chunk] = ids
         return ids
 
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= self.remembered:
+                self.words.clear()
+            ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+        return ids
+
     def __call__(self, text: str | None) -> bytes:
         chunks = (text or "").replace("\n", " ").split(" ")
         return b"".join(map(self.__getitem__, chunks))
