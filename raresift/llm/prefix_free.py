@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from raresift.session import cut_lineage
@@ -155,64 +155,124 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tag int, packed binary")
 
 
-def _of_text(rows: DataFrame) -> list[Column]:
-    return [F.col("doc_id").alias("of"), F.shiftright("place", 48).cast("int").alias("of_tag")]
+def _settle(df: DataFrame) -> DataFrame:
+    """Write a step and drop what led to it: once the driver lets go of a plan, Spark deletes its shuffle files."""
+    done = cut_lineage(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
 
 
-def _windows(texts: DataFrame, opened: DataFrame, span: int) -> DataFrame:
-    """one, two (a 128-bit hash), doc_id, tag, start of every window of the opened phrases."""
-    wanted = opened.groupBy(*_of_text(opened)).agg(F.collect_list("place").alias("places"))
+def _contexts(texts: DataFrame, opened: DataFrame, span: int) -> DataFrame:
+    """key, n, doc_id, place, bytes: the opened phrases with all bytes of their windows."""
+    wanted = opened.groupBy(F.col("doc_id").alias("of"), F.shiftright("place", 48).cast("int").alias("of_tag")).agg(
+        F.collect_list(F.struct("key", "n", "place")).alias("phrases")
+    )
     joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for row in range(len(batch)):
-                data = unpack.decompress(batch.column(2)[row].as_py())
-                place = batch.column(3)[row].values.to_numpy()
-                trigger, far, near = place >> 16 & 0xFFFFFFFF, place >> 8 & 0xFF, place & 0xFF
-                starts = np.concatenate([np.arange(t - f, t - n + 1) for t, f, n in zip(trigger, far, near, strict=True)])
-                found = b"".join([xxh3_128_digest(data[s:s + span]) for s in starts.tolist()])
-                halves = np.frombuffer(found, np.int64).reshape(-1, 2)
-                same = lambda k: pa.array([batch.column(k)[row].as_py()] * len(starts), batch.column(k).type)  # noqa: B023, E731
+                data, own = unpack.decompress(batch.column(1)[row].as_py()), batch.column(2)[row].values
+                places = own.field("place")
+                cut = [
+                    data[(p >> 16 & 0xFFFFFFFF) - (p >> 8 & 0xFF):(p >> 16 & 0xFFFFFFFF) - (p & 0xFF) + span]
+                    for p in places.to_pylist()
+                ]
+                same = pa.array([batch.column(0)[row].as_py()] * len(cut), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), same(0), same(1), pa.array(starts)],
-                    ["one", "two", "doc_id", "tag", "start"],
+                    [own.field("key"), own.field("n"), same, places, pa.array(cut, pa.binary())], ["key", "n", "doc_id", "place", "bytes"]
                 )
 
-    return joined.select("doc_id", "tag", "packed", "places").mapInArrow(
-        run, "one long, two long, doc_id long, tag int, start long"
-    )
+    return joined.select("doc_id", "packed", "phrases").mapInArrow(run, "key long, n long, doc_id long, place long, bytes binary")
 
 
-def repeated_spans(docs: DataFrame, texts: DataFrame, *, span: int = 100) -> DataFrame:
-    """doc_id, tag, start, end: byte ranges whose every window of ``span`` bytes also begins earlier. Ranges may overlap."""
-    counts = _keys(docs, span).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = cut_lineage(counts.select(F.col("key").alias("of_key")))
-    rows = cut_lineage(_phrase_rows(docs, span).join(again, F.col("key") == F.col("of_key")).drop("of_key"))
-    firsts = rows.groupBy("key", "content").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    firsts = cut_lineage(firsts)
-    mine = F.struct("doc_id", "place")
-    heads = firsts.select(F.col("key").alias("of_key"), F.col("content").alias("of_content"), "first")
-    copies = rows.join(heads, (F.col("key") == F.col("of_key")) & (F.col("content") == F.col("of_content")))
-    whole = copies.where(~mine.eqNullSafe(F.col("first"))).select(
-        "doc_id", F.shiftright("place", 48).cast("int").alias("tag"),
-        (F.shiftright("place", 16).bitwiseAND(0xFFFFFFFF) - F.shiftright("place", 8).bitwiseAND(0xFF)).alias("start"),
-        (F.shiftright("place", 16).bitwiseAND(0xFFFFFFFF) - F.col("place").bitwiseAND(0xFF) + span).alias("end"),
-    )
-    shared = cut_lineage(
-        firsts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of_key"))
+def _seen_before(contexts: DataFrame, span: int) -> DataFrame:
+    """doc_id, place of window runs that repeat an earlier window; all phrases of a key are met in corpus order, key by key.
+
+    Equal windows have equal keys, so nothing else need be compared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        last = now = None
+        for batch in batches:
+            docs, places = [], []
+            for key, doc, place, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if key != last:
+                    seen.clear()
+                    last, now = key, None
+                if now == (doc, place):
+                    continue  # a row that repeats id and text
+                now = (doc, place)
+                begun, far = None, place >> 8 & 0xFF
+                for k in range(len(data) - span + 2):
+                    window = data[k:k + span] if k <= len(data) - span else None
+                    if window in seen:
+                        begun = k if begun is None else begun
+                        continue
+                    seen.add(window)
+                    seen.discard(None)
+                    if begun is not None:
+                        docs.append(doc)
+                        places.append(place >> 16 << 16 | far - begun << 8 | far - (k - 1))
+                        begun = None
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64())], ["doc_id", "place"])
+
+    together = contexts.repartition("key").sortWithinPartitions("key", F.asc_nulls_first("doc_id"), "place")
+    return together.select("key", "doc_id", "place", "bytes").mapInArrow(run, "doc_id long, place long")
+
+
+def _repeated_windows(contexts: DataFrame, span: int) -> DataFrame:
+    """The same for keys of any size: every window is a row, and equal ones are combined before they are moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, places, found = [], [], []
+            for doc, place, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for k in range(len(data) - span + 1):
+                    far = (place >> 8 & 0xFF) - k
+                    docs.append(doc)
+                    places.append(place >> 16 << 16 | far << 8 | far)
+                    found.append(xxh3_128_digest(data[k:k + span]))
+            halves = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(docs, pa.int64()), pa.array(places, pa.int64())],
+                ["one", "two", "doc_id", "place"],
+            )
+
+    windows = cut_lineage(
+        contexts.select("doc_id", "place", "bytes").mapInArrow(run, "one long, two long, doc_id long, place long")
     )
-    opened = firsts.join(shared, F.col("key") == F.col("of_key"), "left_semi").select("first.doc_id", "first.place")
-    windows = cut_lineage(_windows(texts, opened, span))
     earliest = windows.groupBy(F.col("one").alias("a"), F.col("two").alias("b")).agg(
-        F.min(F.struct("doc_id", "tag", "start")).alias("first"), F.count(F.lit(1)).alias("n")
+        F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")
     ).where("n > 1").select("a", "b", "first")
-    later = windows.join(cut_lineage(earliest), (F.col("one") == F.col("a")) & (F.col("two") == F.col("b")))
-    single = later.where(~F.struct("doc_id", "tag", "start").eqNullSafe(F.col("first"))).select(
-        "doc_id", "tag", "start", (F.col("start") + span).alias("end")
+    later = windows.join(_settle(earliest), (F.col("one") == F.col("a")) & (F.col("two") == F.col("b")))
+    return later.where(~F.struct("doc_id", "place").eqNullSafe(F.col("first"))).select("doc_id", "place")
+
+
+def repeated_phrases(docs: DataFrame, texts: DataFrame, *, span: int = 100, together: int = 1024) -> DataFrame:
+    """doc_id, place: runs of windows of ``span`` bytes that also begin earlier. Runs may overlap or come twice.
+
+    ``together`` is the number of phrases of one key that a task may hold; windows of larger keys are combined row by row.
+    """
+    counts = _keys(docs, span).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = _settle(counts.select(F.col("key").alias("of_key")))
+    rows = _settle(_phrase_rows(docs, span).join(again, F.col("key") == F.col("of_key")).drop("of_key"))
+    firsts = _settle(
+        rows.groupBy("key", "content").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    )
+    heads = firsts.where("copies > 1").select(F.col("key").alias("of_key"), F.col("content").alias("of_content"), "first")
+    copies = rows.join(heads, (F.col("key") == F.col("of_key")) & (F.col("content") == F.col("of_content")))
+    whole = _settle(copies.where(~F.struct("doc_id", "place").eqNullSafe(F.col("first"))).select("doc_id", "place"))
+    shared = _settle(
+        firsts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of_key"), "n")
     )
-    return whole.unionByName(single)
+    opened = firsts.join(shared, F.col("key") == F.col("of_key")).select("key", "n", "first.doc_id", "first.place")
+    contexts = _settle(_contexts(texts, opened, span))
+    few = _settle(_seen_before(contexts.where(F.col("n") <= together), span))
+    many = _settle(_repeated_windows(contexts.where(F.col("n") > together), span))
+    return whole.unionByName(few).unionByName(many)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -235,10 +295,11 @@ def without_repeats(docs: DataFrame, *, span: int = 100) -> DataFrame:
     bytes to the other. NULL ids come first. Other columns are not read; an empty table gives no rows.
     """
     texts = _packed_texts(docs)
-    spans = repeated_spans(docs, texts, span=span).groupBy(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag")).agg(
-        F.collect_set(F.struct("start", "end")).alias("spans")
+    found = repeated_phrases(docs, texts, span=span)
+    runs = found.groupBy(F.col("doc_id").alias("of"), F.shiftright("place", 48).cast("int").alias("of_tag")).agg(
+        F.collect_set("place").alias("places")
     )
-    joined = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left")
+    joined = texts.join(runs, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +309,9 @@ def without_repeats(docs: DataFrame, *, span: int = 100) -> DataFrame:
                 sizes, runs, left = [], [], []
                 for packed, found in zip(batch.column(1).slice(at, 256), batch.column(2).slice(at, 256), strict=True):
                     data = unpack.decompress(packed.as_py())
-                    own = merged([(s["start"], s["end"]) for s in found.as_py() or []])
+                    own = merged([
+                        ((p >> 16 & 0xFFFFFFFF) - (p >> 8 & 0xFF), (p >> 16 & 0xFFFFFFFF) - (p & 0xFF) + span) for p in found.as_py() or []
+                    ])
                     edges = [0, *(x for pair in own for x in pair), len(data)]
                     sizes.append(len(data))
                     runs.append([{"start": a, "end": b} for a, b in own])
@@ -258,7 +321,7 @@ def without_repeats(docs: DataFrame, *, span: int = 100) -> DataFrame:
                     ["doc_id", "n_bytes", "spans", "kept"],
                 )
 
-    return joined.select("doc_id", "packed", "spans").mapInArrow(
+    return joined.select("doc_id", "packed", "places").mapInArrow(
         run, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     )
 
