@@ -15,7 +15,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -110,24 +110,39 @@ def plain_pattern(pattern: str) -> str:
 
 
 class Encoder:
-    """Ids by pre-token, remembered for up to about ``remembered`` of them at a time. ``pattern`` is a plain one."""
+    """Ids by pre-token and by chunk, each remembered for about ``remembered`` of them at a time. ``pattern`` is a plain one."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000) -> None:
         self.ranks, self.split, self.remembered = ranks, re.compile(pattern).findall, remembered
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.vocabulary = {rank: token for token, rank in ranks.items()}
         self.decimal = {rank: str(rank) for rank in ranks.values()}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.odd_space = re.compile(r" (?:\s|$)").search
+        self.known: dict[str, tuple[int, ...]] = {}  # by pre-token
+        self.words: dict[str, tuple[int, ...]] = {}  # by chunk behind a space
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """The ids of each text, in order."""
-        split = [self.split(t or "") for t in texts]
-        if len(self.known) > self.remembered:
-            self.known = {}
-        missing = list(set().union(*split).difference(self.known))
-        self.known |= zip(missing, map(tuple, self.merge_all([p.encode("utf-8", "surrogatepass") for p in missing])), strict=True)
-        for pieces in split:
-            yield list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+        """The ids of each text, in order.
+
+        A space before a visible character always begins a pre-token. A text in which no other space occurs is therefore
+        cut at its spaces, and only chunks not seen before are split by the pattern.
+        """
+        chunks = [[t] if self.odd_space(t) else t.split(" ") for t in (t or "" for t in texts)]
+        for memory in (self.known, self.words):
+            if len(memory) > self.remembered:
+                memory.clear()
+        heads = [self.split(c[0]) for c in chunks]
+        new = list(set().union(*(islice(c, 1, None) for c in chunks)).difference(self.words))
+        parts = [self.split(" " + w) for w in new]
+        missing = list(set().union(*heads, *parts).difference(self.known))
+        known = self.known
+        known |= zip(missing, map(tuple, self.merge_all([p.encode("utf-8", "surrogatepass") for p in missing])), strict=True)
+        self.words |= {
+            w: known[p[0]] if len(p) == 1 else tuple(chain.from_iterable(map(known.__getitem__, p))) for w, p in zip(new, parts, strict=True)
+        }
+        for head, pieces in zip(heads, chunks, strict=True):
+            rest = map(self.words.__getitem__, islice(pieces, 1, None))
+            yield list(chain.from_iterable(chain(map(known.__getitem__, head), rest)))
 
     def merge_all(self, pieces: list[bytes], long: int = 256) -> list[list[int]]:
         """Ids of distinct pieces: tokens as they are, long pieces with the queue to themselves, the others sharing it."""
