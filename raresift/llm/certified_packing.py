@@ -22,6 +22,16 @@ from tokenizers import Tokenizer
 from raresift.session import cut_lineage
 
 
+def _byte_letters() -> dict[int, int]:
+    """The visible character that stands for each byte in byte-level vocabularies: itself, or the next one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class ChunkIds(dict):
     """Ids as little-endian 32-bit numbers by white-space-free chunk, up to ``remembered`` chunks at a time.
 
@@ -39,8 +49,9 @@ class ChunkIds(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         word = chunk.rstrip(string.punctuation)
-        if word.isascii() and word.isalpha():
+        if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
             # The tokenizer splits letters from what follows, so the same word is merged once for all its endings and cases.
+            # For letters of Latin-1 its normal form is plain lower case.
             ids = self._word(word.lower()) + (self[chunk[len(word):]] if len(word) < len(chunk) else b"")
         else:
             ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
@@ -56,7 +67,8 @@ class ChunkIds(dict):
         if ids is None:
             if len(self.words) >= self.remembered:
                 self.words.clear()
-            ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
         return ids
 
     def __call__(self, text: str | None) -> bytes:
