@@ -188,3 +188,17 @@ def test_equal_windows_have_equal_triggers():
     of = {s: t - s for t, f, e in zip(triggers, first, last) for s in range(f, e + 1)}
     assert all(of[500 + k] == of[2000 + k] for k in range(301)) and set(of) == set(range(2901))
     assert all(10 <= d <= 74 for d in of.values())
+
+
+def test_both_ways_of_comparing_phrases_agree(repetitive):
+    texts = prefix_free._packed_texts(repetitive)
+
+    def gone(together):
+        rows = prefix_free.repeated_phrases(repetitive, texts, together=together).collect()
+        places = {(r.doc_id, r.place) for r in rows}
+        return {
+            (doc, start) for doc, p in places
+            for start in range((p >> 16 & 0xFFFFFFFF) - (p >> 8 & 0xFF), (p >> 16 & 0xFFFFFFFF) - (p & 0xFF) + 1)
+        }
+
+    assert gone(1024) == gone(0)  # 0: every key is too large for one task
