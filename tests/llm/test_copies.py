@@ -121,6 +121,45 @@ def test_line_removal_equals_brute_force(spark):
         assert cut[r.doc_id] == "\n".join(x for k, x in enumerate(r.text.split("\n")) if (r.doc_id, k) not in got)
 
 
+def plain_character_links(lines, k=5):
+    """Pairs of lines of which 0.8 of the ``k``-character runs are common, every pair compared."""
+    sets = [frozenset(x[i:i + k] for i in range(max(1, len(x) - k + 1))) for x in lines]
+    return [
+        (i, j) for i, own in enumerate(sets) for j in range(i)
+        if (common := len(own & sets[j])) >= 0.8 * (len(own) + len(sets[j]) - common)
+    ]
+
+
+def test_line_report_equals_brute_force_on_all_characters(spark):
+    rnd = random.Random(12)
+    word = lambda low, high, of="abcdefghijklmnop": "".join(rnd.choice(of) for _ in range(rnd.randint(low, high)))
+
+    def edited(line):
+        at = rnd.randrange(len(line))
+        return line[:at] + "§" + line[at + 1:]
+
+    han = "".join(map(chr, range(0x4E00, 0x4F00))) + "".join(map(chr, range(0x20000, 0x20020)))
+    lines = []
+    for _ in range(60):
+        lines += [(x := word(60, 120, han)), edited(x)]  # no blanks
+        lines += [(x := "https://" + word(70, 90)), edited(x)]
+        lines += [(x := " ".join(word(6, 9) for _ in range(3))), x + "s"]  # three words
+        lines += [(x := word(10, 16) + ": "), *(x + str(n) for n in rnd.sample(range(10), 2))]  # one digit
+        lines += [(x := " ".join(word(3, 7) for _ in range(25))), edited(x)]
+    lines += ["=" * 20, "=" * 30, "ab", "abc", "abcd", "abcde", "ab", "😀" * 5, "😀" * 9]
+    docs = [(k, x) for k, x in enumerate(lines)]
+    got = {r.doc_id: r.removed for r in fuzzy_lines.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    distinct = list(dict.fromkeys(lines))
+    roots = union(len(distinct), plain_character_links(distinct))
+    first = {}
+    for k, x in docs:
+        first.setdefault(roots[distinct.index(x)], k)
+    want = {k: f"0:{f}:0" if (f := first[roots[distinct.index(x)]]) != k else "" for k, x in docs}
+    wrong = [k for k in want if got[k] != want[k]]
+    assert all(not got[k] or want[k] for k in wrong) and len(wrong) <= 0.02 * sum(map(bool, want.values()))
+    assert all(got[len(lines) - 9 + k] == want[len(lines) - 9 + k] for k in range(9))  # equal sets always meet
+
+
 def test_lines_of_awkward_rows(awkward, no_rows):
     cut = fuzzy_lines.without_copied_lines(awkward, count_col="n_chars")
     assert cut.schema.names == awkward.schema.names and cut.count() == awkward.count()
