@@ -82,7 +82,8 @@ def _signed(values: list[int]) -> np.ndarray:
 
 
 def _tag(data: bytes) -> int:
-    return xxh3_64_intdigest(data) & 0x3FFF
+    """Tells texts apart whose rows share a doc_id; as a signed 64-bit number."""
+    return (xxh3_64_intdigest(data) ^ 1 << 63) - (1 << 63)
 
 
 def _bytes_of(text: str | None) -> bytes:
@@ -106,10 +107,10 @@ def _keys(docs: DataFrame, span: int) -> DataFrame:
 
 
 def _phrase_rows(docs: DataFrame, span: int) -> DataFrame:
-    """key, content, doc_id, place of every phrase.
+    """key, content, doc_id, tag, place of every phrase.
 
-    ``content`` hashes all bytes of the phrase's windows. ``place`` holds, from the high bits, a tag of the text (which
-    tells rows apart that share a doc_id), the trigger's position, and how far before it the first and last window begin.
+    ``content`` hashes all bytes of the phrase's windows, ``tag`` the whole text: doc_id and tag name a document. ``place``
+    holds, from the high bits, the trigger's position, and how far before it the first and last window begin.
     """
     after = BEFORE + GRAM  # as the trigger lies at least BEFORE bytes before the end of its window, too
 
@@ -124,18 +125,20 @@ def _phrase_rows(docs: DataFrame, span: int) -> DataFrame:
                     where = np.searchsorted(starts, first)
                     owner, position = owners[where], triggers + shifts[where]
                     far, near = triggers - first, triggers - last
-                    place = tags[owner] << 48 | position << 16 | far << 8 | near
+                    place = position << 16 | far << 8 | near
                     keys = [xxh3_64_intdigest(data[t - BEFORE:t + after]) for t in triggers.tolist()]
                     contents = [
                         xxh3_64_intdigest(data[f:e + span], t - f << 8 | t - e)
                         for t, f, e in zip(triggers.tolist(), first.tolist(), last.tolist(), strict=True)
                     ]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(_signed(keys)), pa.array(_signed(contents)), ids.take(pa.array(owner)), pa.array(place)],
-                        ["key", "content", "doc_id", "place"],
+                        [pa.array(_signed(keys)), pa.array(_signed(contents)), ids.take(pa.array(owner)), pa.array(tags[owner]), pa.array(place)],
+                        ["key", "content", "doc_id", "tag", "place"],
                     )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, content long, doc_id long, place long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "key long, content long, doc_id long, tag long, place long"
+    )
 
 
 def _packed_texts(docs: DataFrame) -> DataFrame:
@@ -147,12 +150,12 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 512):
                 texts = [_bytes_of(t) for t in batch.column(1).slice(at, 512).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 512), pa.array([_tag(t) for t in texts], pa.int32()),
+                    [batch.column(0).slice(at, 512), pa.array([_tag(t) for t in texts], pa.int64()),
                      pa.array([press.compress(t) for t in texts], pa.binary())],
                     ["doc_id", "tag", "packed"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tag int, packed binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tag long, packed binary")
 
 
 def _settle(df: DataFrame) -> DataFrame:
@@ -163,8 +166,8 @@ def _settle(df: DataFrame) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, opened: DataFrame, span: int) -> DataFrame:
-    """key, n, doc_id, place, bytes: the opened phrases with all bytes of their windows."""
-    wanted = opened.groupBy(F.col("doc_id").alias("of"), F.shiftright("place", 48).cast("int").alias("of_tag")).agg(
+    """key, n, doc_id, tag, place, bytes: the opened phrases with all bytes of their windows."""
+    wanted = opened.groupBy(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag")).agg(
         F.collect_list(F.struct("key", "n", "place")).alias("phrases")
     )
     joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")))
@@ -173,22 +176,25 @@ def _contexts(texts: DataFrame, opened: DataFrame, span: int) -> DataFrame:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for row in range(len(batch)):
-                data, own = unpack.decompress(batch.column(1)[row].as_py()), batch.column(2)[row].values
+                data, own = unpack.decompress(batch.column(2)[row].as_py()), batch.column(3)[row].values
                 places = own.field("place")
                 cut = [
                     data[(p >> 16 & 0xFFFFFFFF) - (p >> 8 & 0xFF):(p >> 16 & 0xFFFFFFFF) - (p & 0xFF) + span]
                     for p in places.to_pylist()
                 ]
-                same = pa.array([batch.column(0)[row].as_py()] * len(cut), pa.int64())
+                doc, tag = (pa.array([batch.column(k)[row].as_py()] * len(cut), pa.int64()) for k in range(2))
                 yield pa.RecordBatch.from_arrays(
-                    [own.field("key"), own.field("n"), same, places, pa.array(cut, pa.binary())], ["key", "n", "doc_id", "place", "bytes"]
+                    [own.field("key"), own.field("n"), doc, tag, places, pa.array(cut, pa.binary())],
+                    ["key", "n", "doc_id", "tag", "place", "bytes"],
                 )
 
-    return joined.select("doc_id", "packed", "phrases").mapInArrow(run, "key long, n long, doc_id long, place long, bytes binary")
+    return joined.select("doc_id", "tag", "packed", "phrases").mapInArrow(
+        run, "key long, n long, doc_id long, tag long, place long, bytes binary"
+    )
 
 
 def _seen_before(contexts: DataFrame, span: int) -> DataFrame:
-    """doc_id, place of window runs that repeat an earlier window; all phrases of a key are met in corpus order, key by key.
+    """doc_id, tag, place of window runs that repeat an earlier window; all phrases of a key are met in corpus order, key by key.
 
     Equal windows have equal keys, so nothing else need be compared.
     """
@@ -197,14 +203,14 @@ def _seen_before(contexts: DataFrame, span: int) -> DataFrame:
         seen: set[bytes] = set()
         last = now = None
         for batch in batches:
-            docs, places = [], []
-            for key, doc, place, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            docs, tags, places = [], [], []
+            for key, doc, tag, place, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if key != last:
                     seen.clear()
                     last, now = key, None
-                if now == (doc, place):
+                if now == (doc, tag, place):
                     continue  # a row that repeats id and text
-                now = (doc, place)
+                now = (doc, tag, place)
                 begun, far = None, place >> 8 & 0xFF
                 for k in range(len(data) - span + 2):
                     window = data[k:k + span] if k <= len(data) - span else None
@@ -215,12 +221,15 @@ def _seen_before(contexts: DataFrame, span: int) -> DataFrame:
                     seen.discard(None)
                     if begun is not None:
                         docs.append(doc)
+                        tags.append(tag)
                         places.append(place >> 16 << 16 | far - begun << 8 | far - (k - 1))
                         begun = None
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64())], ["doc_id", "place"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(places, pa.int64())], ["doc_id", "tag", "place"]
+            )
 
-    together = contexts.repartition("key").sortWithinPartitions("key", F.asc_nulls_first("doc_id"), "place")
-    return together.select("key", "doc_id", "place", "bytes").mapInArrow(run, "doc_id long, place long")
+    together = contexts.repartition("key").sortWithinPartitions("key", F.asc_nulls_first("doc_id"), "tag", "place")
+    return together.select("key", "doc_id", "tag", "place", "bytes").mapInArrow(run, "doc_id long, tag long, place long")
 
 
 def _repeated_windows(contexts: DataFrame, span: int) -> DataFrame:
@@ -228,31 +237,32 @@ def _repeated_windows(contexts: DataFrame, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, places, found = [], [], []
-            for doc, place, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            docs, tags, places, found = [], [], [], []
+            for doc, tag, place, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 for k in range(len(data) - span + 1):
                     far = (place >> 8 & 0xFF) - k
                     docs.append(doc)
+                    tags.append(tag)
                     places.append(place >> 16 << 16 | far << 8 | far)
                     found.append(xxh3_128_digest(data[k:k + span]))
             halves = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(docs, pa.int64()), pa.array(places, pa.int64())],
-                ["one", "two", "doc_id", "place"],
+                [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), *(pa.array(x, pa.int64()) for x in (docs, tags, places))],
+                ["one", "two", "doc_id", "tag", "place"],
             )
 
     windows = cut_lineage(
-        contexts.select("doc_id", "place", "bytes").mapInArrow(run, "one long, two long, doc_id long, place long")
+        contexts.select("doc_id", "tag", "place", "bytes").mapInArrow(run, "one long, two long, doc_id long, tag long, place long")
     )
     earliest = windows.groupBy(F.col("one").alias("a"), F.col("two").alias("b")).agg(
-        F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")
+        F.min(F.struct("doc_id", "tag", "place")).alias("first"), F.count(F.lit(1)).alias("n")
     ).where("n > 1").select("a", "b", "first")
     later = windows.join(_settle(earliest), (F.col("one") == F.col("a")) & (F.col("two") == F.col("b")))
-    return later.where(~F.struct("doc_id", "place").eqNullSafe(F.col("first"))).select("doc_id", "place")
+    return later.where(~F.struct("doc_id", "tag", "place").eqNullSafe(F.col("first"))).select("doc_id", "tag", "place")
 
 
 def repeated_phrases(docs: DataFrame, texts: DataFrame, *, span: int = 100, together: int = 1024) -> DataFrame:
-    """doc_id, place: runs of windows of ``span`` bytes that also begin earlier. Runs may overlap or come twice.
+    """doc_id, tag, place: runs of windows of ``span`` bytes that also begin earlier. Runs may overlap or come twice.
 
     ``together`` is the number of phrases of one key that a task may hold; windows of larger keys are combined row by row.
     """
@@ -260,15 +270,15 @@ def repeated_phrases(docs: DataFrame, texts: DataFrame, *, span: int = 100, toge
     again = _settle(counts.select(F.col("key").alias("of_key")))
     rows = _settle(_phrase_rows(docs, span).join(again, F.col("key") == F.col("of_key")).drop("of_key"))
     firsts = _settle(
-        rows.groupBy("key", "content").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("copies"))
+        rows.groupBy("key", "content").agg(F.min(F.struct("doc_id", "tag", "place")).alias("first"), F.count(F.lit(1)).alias("copies"))
     )
     heads = firsts.where("copies > 1").select(F.col("key").alias("of_key"), F.col("content").alias("of_content"), "first")
     copies = rows.join(heads, (F.col("key") == F.col("of_key")) & (F.col("content") == F.col("of_content")))
-    whole = _settle(copies.where(~F.struct("doc_id", "place").eqNullSafe(F.col("first"))).select("doc_id", "place"))
+    whole = _settle(copies.where(~F.struct("doc_id", "tag", "place").eqNullSafe(F.col("first"))).select("doc_id", "tag", "place"))
     shared = _settle(
         firsts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of_key"), "n")
     )
-    opened = firsts.join(shared, F.col("key") == F.col("of_key")).select("key", "n", "first.doc_id", "first.place")
+    opened = firsts.join(shared, F.col("key") == F.col("of_key")).select("key", "n", "first.doc_id", "first.tag", "first.place")
     contexts = _settle(_contexts(texts, opened, span))
     few = _settle(_seen_before(contexts.where(F.col("n") <= together), span))
     many = _settle(_repeated_windows(contexts.where(F.col("n") > together), span))
@@ -291,12 +301,12 @@ def without_repeats(docs: DataFrame, *, span: int = 100) -> DataFrame:
 
     A byte goes if a ``span``-byte string covering it also starts earlier: in a document with a smaller id, or in the same one
     at a smaller offset. Strings are judged on the input and never cross documents; NULL and empty texts have no bytes. Rows
-    that share an id are ordered by a tag of their text; rows that repeat id and text are one document, so neither loses
+    that share an id are ordered by a 64-bit hash of their text; rows that repeat id and text are one document, so neither loses
     bytes to the other. NULL ids come first. Other columns are not read; an empty table gives no rows.
     """
     texts = _packed_texts(docs)
     found = repeated_phrases(docs, texts, span=span)
-    runs = found.groupBy(F.col("doc_id").alias("of"), F.shiftright("place", 48).cast("int").alias("of_tag")).agg(
+    runs = found.groupBy(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag")).agg(
         F.collect_set("place").alias("places")
     )
     joined = texts.join(runs, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left")

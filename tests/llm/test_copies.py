@@ -219,6 +219,18 @@ def test_repeats_of_awkward_rows(awkward, no_rows):
     assert prefix_free.repeat_report(no_rows).count() == 0
 
 
+@pytest.mark.parametrize("share", [None, 7])
+def test_repeats_of_many_texts_under_one_id(spark, share):
+    rnd = random.Random(4)
+    passage = "".join(rnd.choice("abcdefgh") for _ in range(400))
+    texts = ["".join(rnd.choice("klmnop ") for _ in range(rnd.randrange(60, 200))) + passage[(k := rnd.randrange(250)):k + 150] for _ in range(3000)]
+    rows = sorted((prefix_free._tag(t.encode()), t) for t in dict.fromkeys(texts))  # rows of one id follow their hash
+    want = sorted(plain_repeats(rows).values())
+    docs = spark.createDataFrame([(share, t) for _, t in rows], "doc_id long, text string")
+    got = prefix_free.repeat_report(docs).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
 def test_equal_windows_have_equal_triggers():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 101, 3000).astype(np.uint8)
