@@ -1,3 +1,4 @@
+import json
 import tempfile
 
 import pytest
@@ -35,7 +36,10 @@ def test_counterpart_choice_and_alternatives(spark):
     assert counterparts.alternative_rows(df).count() == 2
     (only,) = counterparts.alternatives_json(df).collect()
     assert "t1_better" in only.tmass_alternatives_json and "t1_other" in only.tmass_alternatives_json
-    assert counterparts.alternatives_json(df, max_inline=1).isEmpty()
+    many = spark.range(1500).selectExpr("9L source_id", "concat('t', id) tmass_id", "'AAA' tmass_quality", *[
+        f"cast(id AS double) {c}" for c in ("J", "H", "Ks", "J_error", "H_error", "Ks_error")])
+    (large,) = counterparts.alternatives_json(many).collect()
+    assert len(json.loads(large.tmass_alternatives_json)) == 1500
 
 
 def test_hot_key_keeps_one_row(spark):
