@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from raresift.llm import (
-    bitmap_bpe, byte_cnn, certified_packing, collision_ann, conversation_trie, covering_simhash, fuzzy_lines, kd_shards, norm_topk, prefix_free,
-    secret_scan,
+    bitmap_bpe, byte_cnn, certified_packing, collision_ann, conversation_trie, covering_simhash, fuzzy_lines, kd_shards, norm_topk, phrase_mining,
+    prefix_free, secret_scan,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,10 +33,11 @@ def queries() -> dict[str, Query]:
         "op9_certified_packing": _over("documents", lambda docs: certified_packing.pack_sequences(
             docs, public_tokenizers.path("word_bpe_49k.json"))),
         "op10_fuzzy_lines": _over("documents", fuzzy_lines.line_report),
+        "op12_phrase_mining": _over("documents", phrase_mining.collocations),
         "op13_conversation_trie": _over("conversations", conversation_trie.prefix_trie),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB texts of the queries that SQL can express; the others are tested against brute force in ``tests/llm``."""
-    return {"op5_norm_topk": norm_topk.ORACLE, "op13_conversation_trie": conversation_trie.ORACLE}
+    return {"op5_norm_topk": norm_topk.ORACLE, "op12_phrase_mining": phrase_mining.ORACLE, "op13_conversation_trie": conversation_trie.ORACLE}

@@ -5,12 +5,11 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-import pandas as pd
-from pyspark.sql import functions as F
+import numpy as np
 
-from raresift.llm import conversation_trie
+from raresift.llm import conversation_trie, phrase_mining
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -74,3 +73,83 @@ def test_lists_are_ranked_over_many_blocks(spark):
     for block in (7, 1000, 1 << 20):
         steps = {r.arc: r.steps for r in conversation_trie.list_rank(arcs, block=block).collect()}
         assert steps == {arc: len(order) - k for k, arc in enumerate(order)}
+
+
+def plain_collocations(rows, least, top):
+    """lang -> ranked (phrase, a, l, r, n, score), every phrase counted in a dictionary."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    counts, totals, out = defaultdict(Counter), Counter(), {}
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\n-\r]", (text or "").translate(fold)):
+            words = re.findall(r"[^ \t]+", piece)
+            totals[lang] += len(words)
+            for size in range(1, 5):
+                counts[lang].update(tuple(words[k:k + size]) for k in range(len(words) - size + 1))
+    for lang, f in counts.items():
+        found = []
+        often = [p for p, a in f.items() if a >= least and len(p) > 1]
+        for p in often:
+            inside = any(
+                len(q) > len(p) and 100 * f[q] >= 80 * f[p] and any(q[k:k + len(p)] == p for k in range(len(q) - len(p) + 1)) for q in often
+            )
+            if not inside:
+                score, cut = min((2_000_000 * f[p] // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+                found.append((-score, -f[p], " ".join(p).encode(), f[p[:cut]], f[p[cut:]]))
+        out[lang] = [(p.decode(), -a, l, r, totals[lang], -s) for s, a, p, l, r in sorted(found)[:top]]
+    return {lang: found for lang, found in out.items() if found}
+
+
+def ranked(found):
+    out = defaultdict(list)
+    for row in sorted(found.collect(), key=lambda r: (r.lang, r.rank)):
+        assert row["rank"] == len(out[row.lang]) + 1
+        out[row.lang].append((row.phrase, row.a, row.l, row.r, row.n, row.score))
+    return dict(out)
+
+
+def test_collocations_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = ["the", "The", "of", "Éa", "x", "naïve", "new\tyork", "a", "b", "c", "\x00", "\u00a0", "q" * 300]
+    texts = ["".join(rng.choice(vocabulary) + rng.choice("    .,\n\t") for _ in range(rng.randrange(0, 120))) for _ in range(300)]
+    rows = [(rng.choice(["en", "de", None, "und"]), t) for t in texts] + [("fr", "so very " * 3000), ("fr", None), (None, ""), ("en", "New York is new york " * 40)]
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, lang string, text string")
+    assert ranked(phrase_mining.collocations(table, least=7, top=40)) == plain_collocations(rows, 7, 40)
+    # Texts in many slices and chunks, cut inside pieces; the dictionary begun anew. (The small texts are one partition here.)
+    many = table.coalesce(1)
+    chunks = list(phrase_mining.suffix_chunks(iter([(r.lang or "und", (r.text or "").encode()) for r in many.collect()]), 4))
+    monkeypatch.setattr(phrase_mining, "_SLICE", 50), monkeypatch.setattr(phrase_mining, "_CHUNK", 200), monkeypatch.setattr(phrase_mining, "_WORDS", 5)
+    small = list(phrase_mining.suffix_chunks(iter([(r.lang or "und", (r.text or "").encode()) for r in many.collect()]), 4))
+    assert len(small) > 50 > len(chunks)
+
+    def counted(parts):
+        out = Counter()
+        for part in parts:
+            for row, weight in zip(part.keys.tolist(), part.weights.tolist(), strict=True):
+                out[part.lang, tuple(part.words[k] if k else b"" for k in row)] += weight
+        return out
+
+    assert counted(small) == counted(chunks)
+
+
+def test_collocations_of_awkward_tables(awkward, no_rows):
+    assert phrase_mining.collocations(no_rows).collect() == []
+    rows = [(r.lang, r.text) for r in awkward.select("lang", "text").collect()]
+    assert ranked(phrase_mining.collocations(awkward)) == plain_collocations(rows, 30, 2000)
+
+
+def test_multikey_quicksort_counts_prefixes():
+    rng = np.random.default_rng(2)
+    keys = rng.zipf(1.6, (5000, 4)).clip(0, 40) - 1
+    for k in range(1, 4):
+        keys[:, k] *= keys[:, k - 1] > 0
+    weights, expected = rng.integers(1, 4, 5000), Counter()
+    for row, weight in zip(keys.tolist(), weights.tolist(), strict=True):
+        for size in range(1, 5):
+            if row[size - 1]:
+                expected[tuple(row[:size])] += weight
+    for least, whole in ((1, 1), (30, 1), (30, 3)):
+        found = {}
+        for pointers, size, counts in phrase_mining.frequent_prefixes(keys, weights, least, whole):
+            found |= dict(zip(map(tuple, keys[pointers, :size].tolist()), counts.tolist(), strict=True))
+        assert found == {p: a for p, a in expected.items() if a >= least or len(p) < whole}
