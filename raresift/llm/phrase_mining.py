@@ -54,7 +54,7 @@ grams AS (
 f AS (SELECT lang, k, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM grams GROUP BY ALL HAVING count(*) >= 30),
 cuts AS (
   SELECT f.lang, f.phrase, f.a, c AS cut, l.a AS l, r.a AS r, CAST(2000000 * f.a::HUGEINT // (l.a + r.a) AS BIGINT) AS score
-  FROM f, unnest(range(1, f.k)) AS at(c)
+  FROM f, unnest(range(1, f.k)) AS places(c)
   JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(f.w[1:c], ' ')
   JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(f.w[c + 1:f.k], ' ')),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
