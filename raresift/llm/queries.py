@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from raresift.llm import (
     bitmap_bpe, byte_cnn, certified_packing, collision_ann, conversation_trie, covering_simhash, fuzzy_lines, kd_shards, norm_topk, phrase_mining,
-    prefix_free, secret_scan,
+    ppm_scores, prefix_free, secret_scan,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op9_certified_packing": _over("documents", lambda docs: certified_packing.pack_sequences(
             docs, public_tokenizers.path("word_bpe_49k.json"))),
         "op10_fuzzy_lines": _over("documents", fuzzy_lines.line_report),
+        "op11_ppm_scores": _over("documents", ppm_scores.score_report),
         "op12_phrase_mining": _over("documents", phrase_mining.collocations),
         "op13_conversation_trie": _over("conversations", conversation_trie.prefix_trie),
     }

@@ -8,8 +8,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from raresift.llm import conversation_trie, phrase_mining
+from raresift.llm import conversation_trie, phrase_mining, ppm_scores
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -153,3 +154,99 @@ def test_multikey_quicksort_counts_prefixes():
         for pointers, size, counts in phrase_mining.frequent_prefixes(keys, weights, least, whole):
             found |= dict(zip(map(tuple, keys[pointers, :size].tolist()), counts.tolist(), strict=True))
         assert found == {p: a for p, a in expected.items() if a >= least or len(p) < whole}
+
+
+def plain_ppm(trained, text, order=5):
+    """log10 probability of a text, symbol by symbol, with an explicit set of excluded symbols."""
+    seen, known = [defaultdict(Counter) for _ in range(order + 1)], [set() for _ in range(order + 1)]
+    for own in trained:
+        data = b"\n" * order + own + b"\n"
+        for at in range(order, len(data)):
+            seen[order][data[at - order:at]][data[at]] += 1
+            known[order].add((data[at - order:at], data[at]))
+    for k in range(order - 1, -1, -1):
+        for context, symbol in known[k + 1]:
+            seen[k][context[1:]][symbol] += 1
+            known[k].add((context[1:], symbol))
+    data, total = b"\n" * order + text + b"\n", 0.0
+    for at in range(order, len(data)):
+        excluded = set()
+        for k in range(order, -1, -1):
+            left = {s: n for s, n in seen[k][data[at - k:at]].items() if s not in excluded}
+            if data[at] in left:
+                total += math.log10((left[data[at]] - 0.3) / sum(left.values()))
+                break
+            if left:
+                total += math.log10(0.3 * len(left) / sum(left.values()))
+            excluded |= set(left)
+        else:
+            total -= math.log10(256 - len(excluded))
+    return total
+
+
+def plain_scores(rows):
+    """held_out, n_tokens, n_known, train_tokens, base_score, score of every (doc_id, text)."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold)) for _, t in rows]
+    held = [d is not None and zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows]
+    counts = Counter(w for own, out in zip(words, held, strict=True) if not out for w in [*own, None])
+    total, trained = sum(counts.values()), [" ".join(own).encode() for own, out in zip(words, held, strict=True) if not out]
+    scores = {}
+    for (doc, _), own, out in zip(rows, words, held, strict=True):
+        tokens, text = [*own, None], " ".join(own).encode()
+        base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (len(counts) + 1))) for w in tokens)
+        if text not in scores:
+            scores[text] = plain_ppm(trained, text)
+        yield doc, out, len(tokens), sum(w in counts for w in tokens), total, base, scores[text]
+
+
+def same_scores(found, expected):
+    found = sorted((tuple(r) for r in found), key=lambda r: (r[0] is not None, *map(str, r[:5]), r[5]))
+    expected = sorted(expected, key=lambda r: (r[0] is not None, *map(str, r[:5]), r[5]))
+    assert [r[:5] for r in found] == [r[:5] for r in expected]
+    assert np.allclose([r[5:] for r in found], [r[5:] for r in expected], rtol=1e-9, atol=1e-9)
+
+
+def test_ppm_scores_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["the", "The", "then", "theme", "Éa", "a", "b", "naïve", "\x00", " x", "rare"]
+    rows = [(k, rng.choice(["\t", " ", "\n "]).join(rng.choice(words) for _ in range(rng.randrange(0, 30)))) for k in range(60)]
+    rows += [(None, "the the"), (None, None), (7, None), (8, ""), (9, rows[0][1]), (9, rows[0][1]), (11, "unheard of"), (59, "zebra crossing")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ppm_scores, "_PART", 40)
+    same_scores(ppm_scores.ppm_scores(table, held_out=F.expr("crc32(CAST(doc_id AS STRING)) % 10 = 0"), block_bytes=700).collect(), list(plain_scores(rows)))
+    monkeypatch.undo()
+    same_scores(ppm_scores.score_report(table.withColumns({c: F.lit("taken") for c in ("one", "LEARN", "held_out", "packed", "block")})).collect(), list(plain_scores(rows)))
+
+
+def test_ppm_probabilities_sum_to_one():
+    rng = np.random.default_rng(6)
+    trained = rng.integers(97, 101, 4000).astype(np.uint8).tobytes()
+    runs, counts = ppm_scores.summed(*(np.concatenate(x) for x in zip(*[(r, np.ones(len(r), np.int64)) for _, r in ppm_scores.runs_of([(0, trained)])], strict=True)))
+    low = np.zeros((256, 256), np.int64)
+    for three in {run & 0xFFFFFF for run in runs.tolist()}:
+        low[three >> 8 & 255, three & 255] += 1
+    contexts = [runs[0] >> 8, runs[500] >> 8, int.from_bytes(b"abczz"), int.from_bytes(b"zzzab"), int.from_bytes(b"zzzzz")]
+    asked = np.array([c << 8 | s for c in contexts for s in range(256)])
+    every, sums = ppm_scores.summed(np.concatenate([runs, asked]), np.concatenate([counts, np.zeros(len(asked), np.int64)]))
+    found = ppm_scores.log_probabilities(every, sums, low)
+    for context in contexts:
+        mine = found[np.isin(every, [context << 8 | s for s in range(256)])]
+        assert len(mine) == 256 and abs((10**mine).sum() - 1) < 1e-9
+
+
+def test_ppm_scores_of_awkward_tables(spark, awkward, no_rows):
+    assert ppm_scores.score_report(no_rows).collect() == []
+    short = awkward.where(F.coalesce(F.length("text"), F.lit(0)) < 1000)
+    same_scores(ppm_scores.score_report(short).collect(), list(plain_scores([(r.doc_id, r.text) for r in short.collect()])))
+    found = ppm_scores.score_report(awkward).collect()
+    assert len(found) == awkward.count() and {r.score for r in found if r.doc_id == 5} == {r.score for r in found if r.doc_id == 6}
+    nothing = ppm_scores.ppm_scores(awkward.where("doc_id < 5"), held_out=F.lit(True)).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in nothing)
+    assert {round(r.score / math.log10(1 / 256)) for r in nothing if r.doc_id == 1} == {len("the quick brown fox. password=abcdefghij123456") + 1}
+
+
+def test_model_beats_word_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = ppm_scores.score_report(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert found[0] > found[1]
