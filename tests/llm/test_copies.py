@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,26 +83,27 @@ def test_simhash_of_awkward_rows(awkward, no_rows):
     assert covering_simhash.simhash_components(no_rows).count() == 0
 
 
+def plain_character_links(lines, k=5):
+    """Pairs of lines of which 0.8 of the ``k``-character runs are common."""
+    sets = [frozenset(x[i:i + k] for i in range(max(1, len(x) - k + 1))) for x in lines]
+    holders, links = {}, []
+    for i, own in enumerate(sets):
+        met = Counter(j for s in own for j in holders.get(s, ()))
+        links += [(i, j) for j, common in met.items() if common >= 0.8 * (len(own) + len(sets[j]) - common)]
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    return links
+
+
 def plain_lines(rows):
-    """(doc_id, line) of the lines that go, by comparing all lines that share a shingle."""
-    pattern = re.compile(r"(?s)(?<!\S)(?=(\S.{0,15}))")
+    """(doc_id, line) of the lines that go, every pair of lines compared."""
     places = {}
     for doc, text in rows:
         for k, line in enumerate((text or "").split("\n")):
             if re.search(r"\S", line):
                 places.setdefault(line, []).append((doc, k))
-    lines = list(places)
-    sets = [frozenset(pattern.findall(x)) for x in lines]
-    holders, links = {}, []
-    for i, own in enumerate(sets):
-        for j in {j for s in own for j in holders.get(s, ())}:
-            common = len(own & sets[j])
-            if common >= 0.8 * (len(own) + len(sets[j]) - common):
-                links.append((i, j))
-        for s in own:
-            holders.setdefault(s, []).append(i)
-    groups = {}
-    for i, root in enumerate(union(len(lines), links)):
+    lines, groups = list(places), {}
+    for i, root in enumerate(union(len(lines), plain_character_links(lines))):
         groups.setdefault(root, []).extend(places[lines[i]])
     return {p for g in groups.values() for p in sorted(g)[1:]}
 
@@ -121,15 +123,6 @@ def test_line_removal_equals_brute_force(spark):
         assert cut[r.doc_id] == "\n".join(x for k, x in enumerate(r.text.split("\n")) if (r.doc_id, k) not in got)
 
 
-def plain_character_links(lines, k=5):
-    """Pairs of lines of which 0.8 of the ``k``-character runs are common, every pair compared."""
-    sets = [frozenset(x[i:i + k] for i in range(max(1, len(x) - k + 1))) for x in lines]
-    return [
-        (i, j) for i, own in enumerate(sets) for j in range(i)
-        if (common := len(own & sets[j])) >= 0.8 * (len(own) + len(sets[j]) - common)
-    ]
-
-
 def test_line_report_equals_brute_force_on_all_characters(spark):
     rnd = random.Random(12)
     word = lambda low, high, of="abcdefghijklmnop": "".join(rnd.choice(of) for _ in range(rnd.randint(low, high)))
