@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from raresift.functions import hashing, photometry as ph
-from raresift.operators import curves, learning, model_review as review, ranking, sampling, scoring
+from raresift.operators import curves, learning, model_review as review, ranking, sampling, scoring, training
 from raresift.operators.ordered import global_rank
 from raresift.plans.registry import query
-from raresift.plans.sample_queries import _STRATA, _TRAIN, labelled, training_rows
+from raresift.plans.sample_queries import _MODEL, _STRATA, _TRAIN, labelled, training_rows
 from raresift.session import cut_lineage
 
 # The enriched result table, once per engine.
@@ -202,56 +202,105 @@ def ml_02(t):
 # ---- training ---------------------------------------------------------------------------
 
 
-@query("ml_03_fitted_models")
+_VARIANTS = {"strict_photometry": "ruwe <= 1.4e0", "relaxed_photometry": "ruwe > 0e0"}
+_FEATURE_SETS = {"colours": ["G", "BP", "RP"], "colours_parallax": ["G", "BP", "RP", "parallax"]}
+_SPLIT_SQL = f"""{_MODEL.replace("G, BP, RP", "G, BP, RP, ruwe")}, v as ({" union all ".join(
+    f"select '{name}' variant, * from lab where {rule}" for name, rule in _VARIANTS.items())}),
+    s as (select variant, target, (BUCKET(concat('42:', cast(source_id as string))) % 10000) < 2000 hold from v),
+    n as (select variant, count(*) filter (where not hold and target = 1) p, count(*) filter (where not hold and target = 0) n,
+      count(*) filter (where hold and target = 1) hp, count(*) filter (where hold and target = 0) hn from s group by variant),
+    r as (select *, least(n, p * case ratio when '2x' then 2 else 5 end) tn from n, (values ('2x'), ('5x')) x(ratio))"""
+
+
+def _modelling(t, variant, ratio):
+    """The rows of one variant with their split: negatives reduced to ``ratio`` for each positive, the rest kept for calibration."""
+    rows = labelled(t).where(_VARIANTS[variant]).select("source_id", "target", "G", "BP", "RP", "parallax")
+    return sampling.reduce_negatives(rows, ratio=int(ratio.removesuffix("x")), columns=_STRATA)
+
+
+@query(
+    "ml_03_sampled_fits",
+    f"""with {_SPLIT_SQL} select m.model, a.sampler, case a.sampler when 'none' then p else tn end fit_positives, tn fit_negatives,
+      hp + hn holdout_rows from r, (values ('logistic_regression'), ('random_forest'), ('boosted_trees')) m(model),
+      (values ('none'), ('random_over_sampler'), ('smote')) a(sampler) where variant = 'strict_photometry' and ratio = '2x'""",
+)
 def ml_03(t):
-    """Fit each estimator on the reduced rows and score them back."""
-    rows = cut_lineage(learning.with_weights(training_rows(t)))
+    """Each estimator behind each sampler: the rows its fit saw, and the holdout rows it scored with a probability."""
+    rows = cut_lineage(_modelling(t, "strict_photometry", "2x"))
+    train, holdout = rows.where("modeling_split = 'train'"), rows.where("modeling_split = 'holdout'")
+    params = {"logistic_regression": {"maxIter": 10}, "random_forest": {"numTrees": 10}, "boosted_trees": {"maxIter": 5, "maxDepth": 3}}
     out = None
-    for kind in ("logistic_regression", "random_forest", "boosted_trees"):
-        model = learning.build_pipeline(kind, _STRATA).fit(rows)
-        one = learning.predict(model, rows).select(F.lit(kind).alias("model"), "source_id", "target", F.round("score", 4).alias("score"))
+    for kind, own in params.items():
+        for sampler in ("none", "random_over_sampler", "smote"):
+            model = training.sampled_pipeline(kind, _STRATA, sampler=sampler, params=own).fit(train)
+            seen = model.stages[-1].fit_counts
+            scored = training.scores_of(model, holdout, "source_id").where(F.col("score").between(0, 1))
+            one = scored.agg(F.count_distinct("source_id").alias("holdout_rows")).select(
+                F.lit(kind).alias("model"), F.lit(sampler).alias("sampler"), F.lit(seen.get(1, 0)).cast("long").alias("fit_positives"),
+                F.lit(seen.get(0, 0)).cast("long").alias("fit_negatives"), "holdout_rows",
+            )
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("ml_03_cleaned_fits")
+def ml_03_cleaned(t):
+    """The samplers that clean up after growing; a unit test compares the rows their fits see with cleaning by hand."""
+    rows = cut_lineage(_modelling(t, "strict_photometry", "2x"))
+    train, holdout = rows.where("modeling_split = 'train'"), rows.where("modeling_split = 'holdout'")
+    out = None
+    for sampler in ("smote_enn", "smote_tomek"):
+        model = training.sampled_pipeline("random_forest", _STRATA, sampler=sampler, params={"numTrees": 10}).fit(train)
+        seen = model.stages[-1].fit_counts
+        one = training.scores_of(model, holdout, "target").groupBy("target").agg(
+            F.count(F.lit(1)).alias("holdout_rows"), F.avg("score").alias("mean_score")
+        ).select(F.lit(sampler).alias("sampler"), "target", "holdout_rows", "mean_score", F.lit(sum(seen.values())).alias("fit_rows"))
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("model", "target").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
+    return out
 
 
-@query(
-    "ml_03_fitted_counts",
-    f"""with {_TRAIN}, c as (select target, count(*) n from train group by target)
-    select model, target, n, true scores_are_probabilities, true positives_score_higher
-    from c, (values ('logistic_regression'), ('random_forest'), ('boosted_trees')) m(model)""",
-)
-def ml_03_counts(t):
-    """Every training row is scored by every estimator, with a probability, and the classes are told apart on average."""
-    fitted = ml_03(t)
-    means = fitted.groupBy("model").pivot("target", [0, 1]).agg(F.first("mean_score")).select(
-        F.col("model").alias("of"), (F.col("1") > F.col("0")).alias("positives_score_higher")
-    )
-    return fitted.join(means, F.col("model") == F.col("of")).select(
-        "model", "target", "n", F.col("mean_score").between(0, 1).alias("scores_are_probabilities"), "positives_score_higher"
+_GRID_AXES = {
+    "dataset_variant": list(_VARIANTS), "negative_ratio": ["2x", "5x"], "feature_set": list(_FEATURE_SETS),
+    "model": ["logistic_regression", "random_forest"], "sampler": ["none", "random_over_sampler"],
+}
+_GRID_SPACES = {
+    "logistic_regression": {"regParam": ("real", 1e-4, 1e1, "log-uniform"), "maxIter": ("integer", 5, 10)},
+    "random_forest": {"numTrees": ("integer", 5, 10), "maxDepth": ("integer", 2, 4), "featureSubsetStrategy": ("choice", "sqrt", "log2", "0.5")},
+}
+
+
+def _grid(t):
+    """Results of a run over all axes that is stopped after a third of its cells and called twice more; rows added by each call."""
+    from raresift.plans.tile_queries import scratch
+
+    path, cells = scratch(t, "grid"), training.grid_cells(_GRID_AXES)
+    search = training.Search(draws=2, folds=2, beta=1.5, min_precision=0.3, budgets=(50, 100))
+    run = lambda some: training.train_grid(
+        t.spark, some, lambda variant, ratio: _modelling(t, variant, ratio), _FEATURE_SETS, path, run_id="grid", search=search,
+        spaces=_GRID_SPACES, parallelism=8, batch=32,
     )
+    added = [run(cells[: len(cells) // 3]), run(cells), run(cells)]
+    return training.stored_results(t.spark, path), added
 
 
-@query("ml_04_training_grid")
+@query(
+    "ml_04_training_grid",
+    f"""with {_SPLIT_SQL}, c as (select variant dataset_variant, ratio negative_ratio, f.feature_set, m.model, a.sampler, p, tn, n - tn cal, hp, hn
+      from r, (values ('colours'), ('colours_parallax')) f(feature_set), (values ('logistic_regression'), ('random_forest')) m(model),
+      (values ('none'), ('random_over_sampler')) a(sampler))
+    select sha1(concat_ws('|', dataset_variant, negative_ratio, feature_set, model, sampler, 'all', 'all')) cell, dataset_variant,
+      negative_ratio, feature_set, model, sampler, p n_train_positives, tn n_train_negatives, cal n_threshold_calibration_negatives,
+      hp n_holdout_positives, hn n_holdout_negatives, p + tn n_out_of_fold, case sampler when 'none' then p else tn end fit_positives,
+      tn fit_negatives, 22::bigint added_by_second_call, 0::bigint added_by_third_call from c""",
+)
 def ml_04(t):
-    """Feature sets by estimators, each tuned on the stable folds with the exact evaluator."""
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    rows = cut_lineage(
-        learning.with_weights(sampling.stratified_folds(training_rows(t), splits=2, repeats=1, seed=42))
+    """A row a cell over all axes, of a run that was resumed; the third call finds nothing left to do."""
+    rows, added = _grid(t)
+    return rows.select(
+        "cell", "dataset_variant", "negative_ratio", "feature_set", "model", "sampler", "n_train_positives", "n_train_negatives",
+        "n_threshold_calibration_negatives", "n_holdout_positives", "n_holdout_negatives", "n_out_of_fold", "fit_positives",
+        "fit_negatives", F.lit(added[1]).cast("long").alias("added_by_second_call"), F.lit(added[2]).cast("long").alias("added_by_third_call"),
     )
-    results = []
-    for set_name, features in {"two": ["G", "BP"], "three": list(_STRATA)}.items():
-        for kind in ("logistic_regression", "random_forest"):
-            pipeline = learning.build_pipeline(kind, features, numTrees=5, maxIter=10)
-            stage = pipeline.getStages()[-1]
-            grid = ParamGridBuilder()
-            grid = grid.addGrid(stage.regParam, [0.0, 0.1]) if kind == "logistic_regression" else grid.addGrid(stage.maxDepth, [2, 3])
-            tuned = CrossValidator(
-                estimator=pipeline, estimatorParamMaps=grid.build(), evaluator=learning.RankingEvaluator(),
-                numFolds=2, foldCol="fold", parallelism=2,
-            ).fit(rows)
-            results.append((set_name, kind, float(max(tuned.avgMetrics)), float(min(tuned.avgMetrics))))
-    return t.spark.createDataFrame(results, "feature_set string, model string, best_cv double, worst_cv double")
 
 
 @query("ml_05_out_of_fold")
