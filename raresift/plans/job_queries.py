@@ -12,6 +12,7 @@ from raresift.plans.filter_queries import REQUIRED
 from raresift.plans.locus_queries import FEATURE_SETS, LOCI, SCHEMA
 from raresift.plans.registry import query
 from raresift.plans.tile_queries import scratch
+from raresift.session import cut_lineage
 
 # Catalogue entries name a source by an alias built from the document number.
 _CAT = """select source_id doc, main_id, main_type, other_types, spectral_type,
@@ -95,9 +96,49 @@ def _built(t):
     rows = t.pool.withColumn("tile_id", tile)
     plan = rows.select("tile_id").distinct().withColumn("query_hash", F.lit("q1"))
     root = scratch(t, "pool")
-    jobs.build_pool(rows, plan, t.known, LOCI, SCHEMA, root)
+    jobs.build_pool(rows, plan, t.known, LOCI, SCHEMA, root, confirm_full_build=True)
     changed = plan.withColumn("query_hash", F.when(F.col("tile_id") == "t3", "q2").otherwise("q1"))
-    return jobs.build_pool(rows, changed, t.known, LOCI, SCHEMA, root), changed, root
+    return jobs.build_pool(rows, changed, t.known, LOCI, SCHEMA, root, confirm_full_build=True), changed, root
+
+
+@query(
+    "tl_06_bounded_builds",
+    f"""with c as (select {_TILE} tile_id, count(*) n, row_number() over (order by {_TILE}) place from v_pool group by 1)
+    select tile_id, n row_count, case when place <= 3 then 1 when place <= 7 then 2 else 3 end version from c""",
+)
+def tl_06_bounded(t):
+    """Three tiles, then four, then the rest; after each build the rows of all published tiles are counted from the files."""
+    rows = t.pool.withColumn("tile_id", F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string")))
+    plan = rows.select("tile_id").distinct().withColumn("query_hash", F.lit("q1"))
+    root, table, counts = scratch(t, "pool"), None, None
+    for number, bound in enumerate((3, 4, None), 1):
+        jobs.build_pool(rows, plan, t.known, LOCI, SCHEMA, root, max_tiles=bound, confirm_full_build=bound is None)
+        held = cut_lineage(jobs.pool_table(t.spark, root).rows().groupBy("tile_id").agg(F.count(F.lit(1)).alias("row_count")))
+        held = held.withColumn("version", F.lit(number))
+        counts = held if counts is None else counts.unionByName(held)
+    return counts.groupBy("tile_id").agg(F.max("row_count").alias("row_count"), F.min("version").alias("version"))
+
+
+@query(
+    "tl_06_failed_build",
+    f"select {_TILE} tile_id, count(*) row_count, sum(source_id % 1000)::bigint id_sum from v_pool group by 1",
+)
+def tl_06_failed(t):
+    """A rebuild whose rows are not those planned (a source comes twice) is refused; readers still see the tiles of the first build."""
+    rows = t.pool.withColumn("tile_id", F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string")))
+    plan = rows.select("tile_id").distinct().withColumn("query_hash", F.lit("q1"))
+    root = scratch(t, "pool")
+    jobs.build_pool(rows, plan, t.known, LOCI, SCHEMA, root, confirm_full_build=True)
+    twice = rows.unionByName(rows.where("source_id % 50 = 0"))
+    try:
+        jobs.build_pool(twice, plan.withColumn("query_hash", F.lit("q2")), t.known, LOCI, SCHEMA, root, confirm_full_build=True)
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("a build with repeated sources was published")
+    return jobs.pool_table(t.spark, root).rows().groupBy("tile_id").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(F.col("source_id") % 1000).alias("id_sum")
+    )
 
 
 @query(

@@ -11,6 +11,7 @@ from raresift.operators import audits, dedup, filters, joins, locus, tiles, zone
 from raresift.operators.joins import pairwise_overlap
 from raresift.session import cut_lineage
 from raresift.sources import landing, store
+from raresift.sources.staged import StagedTable
 
 
 def _enrich(ids: DataFrame, core: DataFrame, infrared: DataFrame, wise: DataFrame) -> dict[str, DataFrame]:
@@ -109,59 +110,60 @@ def fit_variants(pool: DataFrame, positive_ids: DataFrame, required: Sequence[st
     ])))
 
 
+def pool_table(spark, root: str, contract: Sequence[str] = ("query_hash",)) -> StagedTable:
+    """The tiles of a pool build; its registry holds status and contract of every tile."""
+    return StagedTable(spark, root, ["tile_id"], "status string, " + ", ".join(f"{c} string" for c in contract))
+
+
 def build_pool(
     landing_rows: DataFrame, plan: DataFrame, known: DataFrame, loci, schema: locus.MaskSchema, root: str,
-    *, contract: Sequence[str] = ("query_hash",), dry_run: bool = False,
+    *, contract: Sequence[str] = ("query_hash",), dry_run: bool = False, max_tiles: int | None = None, confirm_full_build: bool = False,
 ) -> DataFrame:
-    """One job over all pending tiles: plan, annotate, write by tile, register, verify.
+    """One job over all pending tiles: plan, annotate, write, verify, publish.
 
-    A tile is redone unless its registry row carries the same contract and the
-    files hold the registered rows; finished tiles are known from file footers.
-    Tiles are registered as completed only after their files were read again and
-    hold exactly the planned rows. Returns the registry.
+    A tile is redone unless its registry row carries the same contract and its files hold the registered rows; finished tiles are
+    known from file footers. New rows are written to a folder of this attempt and read again; only if they are exactly the planned
+    rows, the tiles are published, all at once. Otherwise the former tiles stay what readers see. An unbounded build has to be
+    confirmed; ``max_tiles`` takes the first pending tiles by name. Returns the registry with the tiles redone by this call.
     """
-    spark = landing_rows.sparkSession
-    data, registry = f"{root}/data", f"{root}/registry"
-    schema_text = "status string, row_count long, " + ", ".join(f"{c} string" for c in contract) + ", tile_id string"
-    stored = store.read_or_empty(spark, registry, spark.createDataFrame([], schema_text).schema)
-    try:
-        measured = landing.stored_rows(spark, data).select("tile_id", F.col("n_rows").alias("measured_rows"))
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        measured = spark.createDataFrame([], "tile_id string, measured_rows long")
-    pending = cut_lineage(tiles.pending_tiles(plan, stored, contract, measured))
+    spark, table = landing_rows.sparkSession, pool_table(landing_rows.sparkSession, root, contract)
+    if not dry_run and max_tiles is None and not confirm_full_build:
+        raise PermissionError("a build of all tiles must be confirmed; give max_tiles for a bounded one")
+    if max_tiles is not None and max_tiles < 1:
+        raise ValueError("max_tiles must be positive")
+    pending = tiles.pending_tiles(plan, table.registry(), contract, table.measured())
+    if max_tiles is not None:
+        pending = pending.orderBy("tile_id").limit(max_tiles)
+    pending = cut_lineage(pending)
+    columns = ["status", "row_count", *contract, "tile_id"]
     if dry_run or pending.isEmpty():
-        return stored.withColumn("redone", F.lit(False))
+        return table.registry().select(*columns).withColumn("redone", F.lit(False))
     labels = joins.label_map(known).withColumnRenamed("label", "known_source_exclusion")
     todo = landing_rows.join(pending.select("tile_id"), "tile_id", "left_semi")
-    annotated = locus.evaluate_union(todo, loci, schema).join(labels, "source_id", "left")
-    landing.write_tiles(annotated, data)
-    names = [r["tile_id"] for r in pending.select("tile_id").collect()]  # a row per tile
-    written = landing.written_counts(spark, data, only=names)
+    attempt = table.stage(locus.evaluate_union(todo, loci, schema).join(labels, "source_id", "left"))
+    written = landing.tile_counts(table.staged(attempt))
     checked = cut_lineage(landing.write_check(todo.select("tile_id", "source_id"), written))
-    wrong = [r["tile_id"] for r in checked.where("not write_ok").select("tile_id").collect()]
+    wrong = [r["tile_id"] for r in checked.where("not write_ok").select("tile_id").collect()]  # a row per faulty tile
     if wrong:
         raise ValueError(f"files do not hold the planned rows of tiles {sorted(wrong)}")
     counts = checked.select("tile_id", F.col("n_rows").alias("row_count"))
-    rows = pending.select("tile_id").join(plan.select("tile_id", *contract), "tile_id").join(counts, "tile_id", "left").select(
-        F.lit("completed").alias("status"), F.coalesce("row_count", F.lit(0).cast("long")).alias("row_count"), *contract, "tile_id"
-    )
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile_id").parquet(registry)
-    fresh = store.read_or_empty(spark, registry, stored.schema)
+    table.publish(attempt, pending.select("tile_id").join(plan.select("tile_id", *contract), "tile_id").join(counts, "tile_id", "left").select(
+        "tile_id", F.coalesce("row_count", F.lit(0).cast("long")).alias("row_count"), F.lit("completed").alias("status"), *contract
+    ))
     done = pending.select("tile_id", F.lit(True).alias("__new"))
-    return fresh.join(done, "tile_id", "left").withColumn("redone", F.col("__new").isNotNull()).drop("__new")
+    redone = table.registry().select(*columns).join(done, "tile_id", "left")
+    return redone.withColumn("redone", F.col("__new").isNotNull()).select(*columns, "redone")
 
 
-def finalise_pool(spark, plan: DataFrame, root: str) -> DataFrame:
+def finalise_pool(spark, plan: DataFrame, root: str, *, contract: Sequence[str] = ("query_hash",)) -> DataFrame:
     """The manifest of a build whose planned tiles are all completed and whole; any other build is refused.
 
     One row: tiles, rows, and an order-free digest of the registry.
     """
-    registry = cut_lineage(spark.read.parquet(f"{root}/registry"))
-    stored = landing.stored_rows(spark, f"{root}/data")
-    state = plan.select("tile_id").join(registry, "tile_id", "full_outer").join(stored, "tile_id", "left")
-    whole = (F.col("status") == "completed") & (F.coalesce("n_rows", F.lit(0)) == F.col("row_count"))
+    table = pool_table(spark, root, contract)
+    registry = cut_lineage(table.registry().select("tile_id", "status", "row_count", *contract))
+    state = plan.select("tile_id").join(registry, "tile_id", "full_outer").join(table.measured(), "tile_id", "left")
+    whole = (F.col("status") == "completed") & (F.coalesce("measured_rows", F.lit(0)) == F.col("row_count"))
     open_ = [r["tile_id"] for r in state.where(~F.coalesce(whole, F.lit(False))).select("tile_id").collect()]
     if open_:
         raise ValueError(f"tiles not completed: {sorted(open_)}")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from raresift.functions import hashing, photometry as ph
-from raresift.operators import curves, learning, model_review as review, ranking, sampling, scoring, training
+from raresift.operators import curves, fitted_scoring, learning, model_review as review, ranking, sampling, scoring, training
 from raresift.operators.ordered import global_rank
 from raresift.plans.registry import query
 from raresift.plans.sample_queries import _MODEL, _STRATA, _TRAIN, labelled, training_rows
@@ -181,6 +182,74 @@ def ml_01_written(t):
     return t.spark.read.parquet(path).groupBy("result_id", "tile_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+class FixedLogistic:
+    """A predictor of fixed weights, as any library's fitted object would be pickled."""
+
+    def __init__(self, intercept, weights):
+        self.intercept, self.weights = intercept, weights
+
+    def predict_proba(self, matrix):
+        score = 1.0 / (1.0 + np.exp(-(self.intercept + matrix @ np.array(self.weights))))
+        return np.stack([1.0 - score, score], axis=1)
+
+
+def _fitted_pool(t):
+    pool = t.sql(POOL).withColumnsRenamed({"known": "known_source_exclusion", "compatible_mask": "compatible_variant_mask"})
+    pool = cut_lineage(pool.withColumn("source_hash", hashing.row_hash16(["source_id", "G", "BP", "RP", "ruwe", "parallax", "W1", "J"])))
+    return pool, pool.groupBy("tile_id").agg(F.bit_xor(F.xxhash64("source_hash")).cast("string").alias("tile_hash"))
+
+
+def _fitted_scores(t, **more):
+    """The pool scored by a stored pipeline and by a pickled object; published in two calls."""
+    from pyspark import cloudpickle
+
+    from raresift.plans.tile_queries import scratch
+
+    fixed, root = LINEAR[0], scratch(t, "fitted")
+    spark, (pool, hashes) = t.spark, _fitted_pool(t)
+    pickled = fitted_scoring.store_artefact(spark, f"{root}/models/m1", cloudpickle.dumps(FixedLogistic(fixed.intercept, list(fixed.weights.values()))))
+    rows = cut_lineage(_modelling(t, "strict_photometry", "2x").where("modeling_split = 'train'"))
+    training.sampled_pipeline("logistic_regression", _STRATA, params={"maxIter": 10}).fit(rows).write().save(f"{root}/models/m2")
+    models = [
+        fitted_scoring.FittedModel("m1", "run1", "strict_photometry", 0, tuple(fixed.weights), fixed.threshold, f"{root}/models/m1", pickled, "pickle"),
+        fitted_scoring.FittedModel("m2", "run1", "strict_parallax_soft", 1, tuple(_STRATA), 0.5, f"{root}/models/m2",
+                                   fitted_scoring.artefact_digest(spark, f"{root}/models/m2")),
+    ]
+    score = lambda **more: fitted_scoring.score_pool(
+        pool, hashes, models, {"strict_photometry": 0, "strict_parallax_soft": 1}, f"{root}/scores", scoring_run_id="s1", pool_build_id="b1",
+        schema_sha256="x", **more,
+    )
+    score(max_tiles=3)
+    score()
+    return fitted_scoring.score_table(spark, f"{root}/scores")
+
+
+@query(
+    "ml_01_fitted_scores",
+    f"""with {_OFFERS_SQL} select source_id, tile_id, round(cast(raw as float)::double, 5) score, raw >= threshold predicted
+    from offers where result_id = 'm1' and raw is not null""",
+)
+def ml_01_fitted_scores(t):
+    return _fitted_scores(t).rows().where("result_id = 'm1'").select(
+        "source_id", "tile_id", F.round(F.col("score").cast("double"), 5).alias("score"), "predicted"
+    )
+
+
+@query(
+    "ml_01_fitted_counts",
+    f"""with pool as ({POOL}), o as (select 'm1' result_id, tile_id, G is not null and BP is not null and ruwe is not null whole from pool
+        where known is null and compatible_mask & 1 <> 0 union all
+      select 'm2', tile_id, G is not null and BP is not null and RP is not null from pool where known is null and compatible_mask & 2 <> 0),
+    u as (select result_id, tile_id from (select distinct tile_id from pool), (values ('m1'), ('m2')) m(result_id))
+    select u.result_id, u.tile_id, count(whole) rows_variant_compatible, count(*) filter (where not whole) rows_missing_features,
+      count(*) filter (where whole) rows_scored, count(*) filter (where whole) row_count from u left join o using (result_id, tile_id) group by 1, 2""",
+)
+def ml_01_fitted_counts(t):
+    return _fitted_scores(t).registry().select(
+        "result_id", "tile_id", "rows_variant_compatible", "rows_missing_features", "rows_scored", "row_count"
+    )
+
+
 @query(
     "ml_02_model_contract",
     """with sel as (select result_id, case when p_partkey % 9 = 0 then 'other' else dataset_variant end dataset_variant, model,

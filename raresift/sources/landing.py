@@ -54,6 +54,11 @@ def written_counts(spark: SparkSession, path: str, *, by: str = "tile_id", only:
     rows = spark.read.parquet(path)
     if only is not None:
         rows = rows.where(F.col(by).isin(list(only)))
+    return tile_counts(rows, by=by)
+
+
+def tile_counts(rows: DataFrame, *, by: str = "tile_id") -> DataFrame:
+    """Rows and distinct ids of every tile."""
     per_id = rows.groupBy(by, "source_id").agg(F.count(F.lit(1)).alias("n"))
     return per_id.groupBy(by).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_sources"))
 

@@ -112,12 +112,26 @@ def test_short_write_fails_the_build(spark, tables, monkeypatch):
 
     rows = tables.pool.where("ra < 60").withColumn("tile_id", F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string")))
     plan = rows.select("tile_id").distinct().withColumn("query_hash", F.lit("q1"))
-    write, root = jobs.landing.write_tiles, tempfile.mkdtemp(prefix="spark-")
-    monkeypatch.setattr(jobs.landing, "write_tiles", lambda df, path: write(df.where("tile_id <> 't1' or source_id % 5 <> 0"), path))
+    stage, root = jobs.StagedTable.stage, tempfile.mkdtemp(prefix="spark-")
+    monkeypatch.setattr(jobs.StagedTable, "stage", lambda self, df, **more: stage(self, df.where("tile_id <> 't1' or source_id % 5 <> 0"), **more))
+    build = lambda some=plan, **more: jobs.build_pool(rows, some, tables.known, LOCI, SCHEMA, root, **more)
+    with pytest.raises(PermissionError):
+        build()
     with pytest.raises(ValueError, match="'t1'"):
-        jobs.build_pool(rows, plan, tables.known, LOCI, SCHEMA, root)
+        build(confirm_full_build=True)
+    table = jobs.pool_table(spark, root)
+    assert table.version() == 0 and table.registry().isEmpty()
     monkeypatch.undo()
-    assert {r.status for r in jobs.build_pool(rows, plan, tables.known, LOCI, SCHEMA, root).collect()} == {"completed"}
+    assert {(r.tile_id, r.status) for r in build(max_tiles=1).collect()} == {("t0", "completed")}
+    assert {r.status for r in build(confirm_full_build=True).collect()} == {"completed"}
+    before = {r.tile_id: r["count"] for r in table.rows().groupBy("tile_id").count().collect()}
+    assert before == {r.tile_id: r["count"] for r in rows.groupBy("tile_id").count().collect()}
+    monkeypatch.setattr(jobs.StagedTable, "stage", lambda self, df, **more: stage(self, df.where("source_id % 5 <> 0"), **more))
+    with pytest.raises(ValueError, match="t0.*t1"):
+        build(plan.withColumn("query_hash", F.lit("q2")), confirm_full_build=True)
+    monkeypatch.undo()
+    assert before == {r.tile_id: r["count"] for r in table.rows().groupBy("tile_id").count().collect()} and table.version() == 2
+    assert table.clean() == 2 and before == {r.tile_id: r["count"] for r in table.rows().groupBy("tile_id").count().collect()}
     assert jobs.finalise_pool(spark, plan, root).first().n_tiles == plan.count()
     with pytest.raises(ValueError, match="t99"):
         jobs.finalise_pool(spark, plan.unionByName(spark.sql("select 't99' tile_id, 'q1' query_hash")), root)
