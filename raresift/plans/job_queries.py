@@ -129,7 +129,7 @@ def tl_06_failed(t):
     plan = rows.select("tile_id").distinct().withColumn("query_hash", F.lit("q1"))
     root = scratch(t, "pool")
     jobs.build_pool(rows, plan, t.known, LOCI, SCHEMA, root, confirm_full_build=True)
-    twice = rows.unionByName(rows.where("source_id % 50 = 0"))
+    twice = rows.unionByName(rows.where("source_id % 50 = 1"))
     try:
         jobs.build_pool(twice, plan.withColumn("query_hash", F.lit("q2")), t.known, LOCI, SCHEMA, root, confirm_full_build=True)
     except ValueError:

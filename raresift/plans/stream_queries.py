@@ -10,7 +10,7 @@ from raresift.plans.locus_queries import LOCI, SCHEMA, UNION_SQL
 from raresift.plans.model_queries import _OFFERS_SQL, LINEAR, POOL
 from raresift.plans.registry import query
 from raresift.plans.tile_queries import scratch
-from raresift.streaming import flows, stale
+from raresift.streaming import flows, rates, stale
 
 
 def _land(t, df, name, files=3):
@@ -42,7 +42,7 @@ def str_02(t):
         log.repartition(2).write.mode("append").parquet(folder)
     sink = scratch(t, "sink")
     stream = flows.landed(t.spark, folder, log.schema, files_per_trigger=1).withColumn("checksum", F.md5("status"))
-    flows.run_batches(stream, flows.append_once(["event_id"], "checksum", sink), scratch(t, "ckpt"))
+    flows.append_once(stream, ["event_id"], "checksum", sink, scratch(t, "ckpt"))
     return t.spark.read.parquet(sink).select("event_id", "tile_id", "status")
 
 
@@ -94,6 +94,29 @@ def str_04_sliding(t):
     )
 
 
+@query(
+    "str_04_rate_and_eta",
+    """with d as (select concat('b', cast(cast(substr(tile_id, 2) as int) % 4 as string)) build, epoch_us(ts) // 1000 ms, event_id
+      from v_tilelog where status = 'completed'),
+    p as (select build, ms, row_number() over (partition by build order by ms, event_id) handled, min(ms) over (partition by build) f from d
+      where ms <= (select epoch_us(max(ts) - interval '1 hour') // 1000 from events)),
+    e as (select build, handled, ms at_ms, (ms - f) / 1e3 elapsed_s, handled / nullif((ms - f) / 1e3, 0) * 36e2 rate from p where handled % 50 = 0)
+    select build, handled, at_ms, elapsed_s, round(rate, 6) tiles_per_hour, round((3000 - handled) / rate, 6) eta_hours from e""",
+)
+def str_04_rates(t):
+    """Ends come out of order within files and are counted in the order of time, once the watermark has passed them."""
+    log = t.tilelog.withColumn("ts", F.col("ts").cast("timestamp")).drop("bytes")
+    folder, sink = scratch(t, "land"), scratch(t, "sink")
+    log.repartitionByRange(5, "ts").sortWithinPartitions(F.xxhash64("event_id")).write.parquet(folder)
+    stream = flows.event_time(flows.landed(t.spark, folder, log.schema, files_per_trigger=5), "ts", "1 hour")
+    build = F.concat(F.lit("b"), (F.substring("tile_id", 2, 9).cast("int") % 4).cast("string"))
+    ends = stream.withColumns({"build": build, "ms": F.unix_millis("ts")}).where("status = 'completed'")
+    with stale.rocksdb_state(t.spark):
+        flows.run_available(rates.build_rates(ends, every=50, expected=3000), sink, scratch(t, "ckpt"))
+    found = t.spark.read.schema(rates.OUTPUT).parquet(sink)
+    return found.withColumns({c: F.round(c, 6) for c in ("tiles_per_hour", "eta_hours")})
+
+
 @query(
     "str_05_stale_sessions",
     """with g as (select concat('t', cast(user_id % 40 as string)) tile_id, ts, ts - lag(ts) over (partition by user_id % 40 order by ts) gap

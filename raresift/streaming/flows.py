@@ -12,6 +12,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from raresift.operators import locus
+from raresift.session import cut_lineage
+from raresift.streaming.stale import rocksdb_state
 
 
 def landed(spark: SparkSession, folder: str, schema: T.StructType, *, files_per_trigger: int = 64, glob: str | None = None) -> DataFrame:
@@ -55,45 +57,32 @@ def without_redelivered(stream: DataFrame, keys: Sequence[str], checksum: str) -
     return stream.dropDuplicatesWithinWatermark([*keys, checksum])
 
 
-def append_once(keys: Sequence[str], checksum: str, sink: str) -> Callable[[DataFrame, int], None]:
-    """Batch action: append rows of new keys, ignore repeats, fail when a key carries two checksums.
+def append_once(
+    stream: DataFrame, keys: Sequence[str], checksum: str, sink: str, checkpoint: str, *, time: str | None = None, period: str = "30 days"
+) -> None:
+    """Append rows of new keys, ignore repeats, fail when a key carries two checksums; process all that has landed, then stop.
 
-    Keys are compared within the batch and with all batches written before, so a
-    row may be delivered again at any distance.
+    Each key has one entry in the stream's keyed state (its first row, lowest and highest checksum, first and last batch), so the cost
+    of a batch depends on its own rows and not on what was written before. A key whose first and last batch are one is new. With
+    ``time``, a watermarked event time that redelivered rows repeat, entries of a ``period`` are let go once the watermark has passed
+    it; rows that come later are dropped as late. A repeated batch replaces its own folder. Payloads must be orderable (no maps).
     """
+    payload = stream.columns
+    mark = F.struct(F.col(checksum).alias("of"))
+    groups = [F.col(k) for k in keys] + ([F.window(time, period).alias("__period")] if time else [])
+    state = stream.withColumn("__now", F.current_timestamp()).groupBy(*groups).agg(
+        F.min(F.struct(*payload)).alias("row"), F.min(mark).alias("lo"), F.max(mark).alias("hi"),
+        F.min("__now").alias("first"), F.max("__now").alias("last"),  # the time of a batch is the same for all its rows
+    )
 
     def action(batch: DataFrame, batch_id: int) -> None:
-        spark, payload = batch.sparkSession, batch.columns
-        batch = batch.persist()
-        try:
-            spread = batch.groupBy(*keys).agg(
-                F.min(checksum).alias("lo"), F.max(checksum).alias("hi"), F.count_if(F.col(checksum).isNull()).alias("none"),
-                F.count(F.lit(1)).alias("n"),
-            )
-            clash = spread.where("lo <> hi OR (none > 0 AND none < n)").limit(1).count()
-            fresh = batch.dropDuplicates(list(keys))
-            if batch_id > 0:
-                # A repeated batch replaces its own folder, so only earlier ones count as written.
-                done = spark.read.schema(f"{_ddl(batch, [*keys, checksum])}, batch long").parquet(sink)
-                done = done.where(F.col("batch") < batch_id).select(
-                    *[F.col(k).alias(f"__{k}") for k in keys], F.col(checksum).alias("__written")
-                )
-                same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-                differs = ~F.col(checksum).eqNullSafe(F.col("__written"))
-                clash += fresh.join(done, [*same, differs], "left_semi").limit(1).count()
-                fresh = fresh.join(done, same, "left_anti")
-            if clash:
-                raise ValueError("one key carries different payloads")
-            fresh.select(*payload).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        finally:
-            batch.unpersist()
-
-    return action
-
+        touched = cut_lineage(batch)  # the state is advanced once, by the first action on the batch
+        if not touched.where("lo <> hi").isEmpty():
+            raise ValueError("one key carries different payloads")
+        touched.where(F.col("first") == F.col("last")).select("row.*").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-def _ddl(df: DataFrame, columns: Sequence[str]) -> str:
-    kinds = dict(df.dtypes)
-    return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+    with rocksdb_state(stream.sparkSession):
+        run_batches(state, action, checkpoint, mode="update")
 
 
 def exclude_static(stream: DataFrame, known: DataFrame, key: str = "source_id") -> DataFrame:
