@@ -196,29 +196,52 @@ def isolation_trees(train: DataFrame, features: Sequence[str], *, trees: int = 5
         spread.withColumn("u", u).where(F.col("u") < thin), by=["tree"], order=[F.asc("u"), F.asc("source_id")], limit=sample,
         rank="__p",
     )
-    depth_limit = int(np.ceil(np.log2(sample)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        rng, nodes = np.random.default_rng(seed + tree), []
-
-        def split(points, depth, node):
-            spans = points.max(axis=0) - points.min(axis=0)
-            if depth >= depth_limit or len(points) <= 1 or not (spans > 0).any():
-                nodes.append((tree, node, -1, 0.0, depth + path_length(len(points))))
-                return
-            f = int(rng.choice(np.flatnonzero(spans > 0)))
-            at = float(rng.uniform(points[:, f].min(), points[:, f].max()))
-            nodes.append((tree, node, f, at, 0.0))
-            split(points[points[:, f] < at], depth + 1, 2 * node + 1)
-            split(points[points[:, f] >= at], depth + 1, 2 * node + 2)
-
-        split(pdf[list(features)].to_numpy(float), 0, 0)
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "at", "path"])
+        nodes = grow_tree(pdf[list(features)].to_numpy(float), np.random.default_rng(seed + tree), sample)
+        return pd.DataFrame([(tree, *node) for node in nodes], columns=["tree", "node", "feature", "at", "path"])
 
     return drawn.groupBy("tree").applyInPandas(grow, "tree int, node long, feature int, at double, path double").toPandas()
 
 
+def grow_tree(points: np.ndarray, rng: np.random.Generator, sample: int) -> list[tuple[int, int, float, float]]:
+    """(node, feature, split, path) of one random split tree; leaves have feature -1 and the path length to them."""
+    nodes, limit = [], int(np.ceil(np.log2(sample)))
+
+    def split(points, depth, node):
+        spans = points.max(axis=0) - points.min(axis=0)
+        if depth >= limit or len(points) <= 1 or not (spans > 0).any():
+            nodes.append((node, -1, 0.0, depth + path_length(len(points))))
+            return
+        f = int(rng.choice(np.flatnonzero(spans > 0)))
+        at = float(rng.uniform(points[:, f].min(), points[:, f].max()))
+        nodes.append((node, f, at, 0.0))
+        split(points[points[:, f] < at], depth + 1, 2 * node + 1)
+        split(points[points[:, f] >= at], depth + 1, 2 * node + 2)
+
+    split(points, 0, 0)
+    return nodes
+
+
+def forest_scores(x: np.ndarray, trees: Sequence[dict], sample: int) -> np.ndarray:
+    """Anomaly scores of rows under trees (node -> feature, split, path), turned so that larger means more typical."""
+    total = np.zeros(len(x))
+    for tree in trees:
+        stack = [(0, np.arange(len(x)))]
+        while stack:
+            node, idx = stack.pop()
+            if not len(idx):
+                continue
+            f, at, path = tree[node]
+            if f < 0:
+                total[idx] += path
+                continue
+            low = x[idx, f] < at
+            stack += [(2 * node + 1, idx[low]), (2 * node + 2, idx[~low])]
+    return -(2.0 ** (-total / len(trees) / path_length(sample)))
+
+
 def path_length(n: int) -> float:
     """Mean depth of an unsuccessful search among ``n`` points."""
     return 0.0 if n <= 1 else 2.0 * (np.log(n - 1.0) + 0.5772156649) - 2.0 * (n - 1.0) / n if n > 2 else 1.0
@@ -227,26 +250,11 @@ def path_length(n: int) -> float:
 def isolation_scores(rows: DataFrame, features: Sequence[str], forest: pd.DataFrame, *, sample: int = 256) -> DataFrame:
     """Anomaly score turned so that larger means more typical."""
     packed = {t: {int(r.node): (int(r.feature), r.at, r.path) for r in g.itertuples()} for t, g in forest.groupby("tree")}
-    scale = path_length(sample)
-    shared = rows.sparkSession.sparkContext.broadcast(packed)
+    shared = rows.sparkSession.sparkContext.broadcast(list(packed.values()))
 
     def run(batches):
         for batch in batches:
-            x = batch[list(features)].to_numpy(float)
-            total = np.zeros(len(x))
-            for tree in shared.value.values():
-                stack = [(0, np.arange(len(x)))]
-                while stack:
-                    node, idx = stack.pop()
-                    if not len(idx):
-                        continue
-                    f, at, path = tree[node]
-                    if f < 0:
-                        total[idx] += path
-                        continue
-                    low = x[idx, f] < at
-                    stack += [(2 * node + 1, idx[low]), (2 * node + 2, idx[~low])]
-            batch["score"] = -(2.0 ** (-total / len(shared.value) / scale))
+            batch["score"] = forest_scores(batch[list(features)].to_numpy(float), shared.value, sample)
             yield batch
 
     clean = rows.dropna(subset=list(features))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from raresift.functions import hashing, photometry as ph
-from raresift.operators import curves, fitted_scoring, learning, model_review as review, ranking, sampling, scoring, training
+from raresift.operators import curves, fitted_scoring, learning, model_review as review, ranking, sampling, scoring, second_layer, training
 from raresift.operators.ordered import global_rank
 from raresift.plans.registry import query
 from raresift.plans.sample_queries import _MODEL, _STRATA, _TRAIN, labelled, training_rows
@@ -445,48 +445,75 @@ def ml_12(t):
     return t.spark.createDataFrame(out, "max_depth int, cv_average_precision double, train_average_precision double")
 
 
-def _one_class(t):
-    rows = cut_lineage(labelled(t).select("source_id", "target", *_STRATA))
-    return rows, rows.where("target = 1")
+_SUBTYPE = "case when source_id % 97 = 2 then 'WO' when source_id % 3 = 0 then 'WN' when source_id % 3 = 1 then 'WC' end"
+_LAYER_SETS = {"colours": ["G", "BP", "RP", "parallax", "dust"], "few": ["G", "BP", "dust"]}
 
 
-@query("ml_13_one_class_models")
+def _validators(t):
+    rows = _modelling(t, "relaxed_photometry", "2x").withColumns({"subtype": F.expr(_SUBTYPE), "dust": F.lit(None).cast("double")})
+    return second_layer.fit_validators(rows, _LAYER_SETS, ["WN", "WC", "WO"], trees=30, rounds=8, passes=2)
+
+
+@query(
+    "ml_13_one_class_models",
+    f"""with {_SPLIT_SQL.replace("select variant, target,", f"select variant, target, {_SUBTYPE} subtype,")},
+    z as (select * from s where variant = 'relaxed_photometry'),
+    g as (select q.subtype, count(*) filter (where not hold and target = 1 and z.subtype = q.subtype) n,
+      count(*) filter (where hold and target = 1 and z.subtype = q.subtype) hp
+      from z, (values ('WN'), ('WC'), ('WO')) q(subtype) group by q.subtype),
+    m as (select 'colours' feature_set, subtype, "method", n, hp from g,
+      (values ('gaussian_mixture'), ('robust_covariance'), ('isolation_forest')) x("method"))
+    select feature_set, subtype, "method", case when m.n >= 20 then 'accepted' else 'skipped' end status,
+      case when m.n < 20 then 'insufficient_train_positives' end reason, 'G,BP,RP,parallax' available_features, 'dust' missing_features,
+      4::bigint n_features, m.n train_positive_count, case when m.n >= 20 then hp end holdout_positive_count,
+      case when m.n >= 20 then r.hn end holdout_negative_count, case when m.n >= 20 then r.n - r.tn end calibration_negative_count
+    from (select feature_set, subtype, "method", n, hp from m) m, (select hn, n, tn from r where variant = 'relaxed_photometry'
+      and ratio = '2x') r
+    union all select 'few', 'all', 'all', 'skipped', 'insufficient_available_features', 'G,BP', 'dust', 2, null, null, null, null""",
+)
 def ml_13(t):
-    """Three one-class models of the positives, thresholded at 90 % training recall."""
-    rows, positives = _one_class(t)
-    mean, inverse = learning.robust_covariance(positives, _STRATA)
-    forest = learning.isolation_trees(positives, _STRATA, trees=100)
-    scored = {
-        "gaussian_mixture": learning.gaussian_mixture_scores(positives, rows, _STRATA),
-        "robust_covariance": rows.dropna(subset=_STRATA).withColumn("score", -learning.mahalanobis(_STRATA, mean, inverse)),
-        "isolation_forest": learning.isolation_scores(rows, _STRATA, forest),
-    }
-    out = None
-    for method, df in scored.items():
-        kept = cut_lineage(df.select("target", "score"))
-        threshold = learning.recall_threshold(kept.where("target = 1"), 0.9)
-        one = kept.groupBy("target").agg(
-            F.count(F.lit(1)).alias("n"), F.avg((F.col("score") >= threshold).cast("double")).alias("pass_rate")
-        ).select(F.lit(method).alias("method"), "target", "n", "pass_rate")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """A row for each feature set, subtype and method: fitted with the rows it is judged by, or skipped with its reason."""
+    results, _ = _validators(t)
+    return results.select(
+        "feature_set", "subtype", "method", "status", "reason", "available_features", "missing_features", "n_features",
+        "train_positive_count", "holdout_positive_count", "holdout_negative_count", "calibration_negative_count",
+    )
+
+
+@query("ml_13_validator_quality")
+def ml_13_quality(t):
+    """Thresholds and rates of the fitted validators; unit tests compare fits with plain numpy ones."""
+    results, _ = _validators(t)
+    return results.where("status = 'accepted'").select(
+        "feature_set", "subtype", "method", "threshold", "holdout_positive_retention", "holdout_negative_pass_rate", "holdout_roc_auc"
+    )
 
 
 _LAYER = """select result_id, source_id, target, score, score >= 0.45e0 passed,
-    case when (BUCKET(concat('42:', cast(source_id as string))) % 10000) < 5000 then 'holdout' else 'calibration' end split from v_pred"""
+    case when (BUCKET(concat('42:', cast(source_id as string))) % 10000) < 5000 then 'holdout' else 'threshold_calibration' end
+    modeling_split from v_pred"""
 
 
 @query(
     "ml_14_layer_metrics",
-    f"""with l as ({_LAYER}) select result_id, count(*) filter (where split = 'holdout' and target = 1) holdout_positive_count,
+    f"""with l as ({_LAYER.replace("modeling_split from", "split from")}),
+    d as (select result_id, score, count(*) filter (where target = 1) pos, count(*) filter (where target = 0) neg from l
+      where split = 'holdout' group by 1, 2),
+    c as (select *, sum(pos) over w tp, sum(neg) over w fp, sum(pos) over (partition by result_id) p, sum(neg) over (partition by result_id) q
+      from d window w as (partition by result_id order by score desc)),
+    a as (select result_id, round(sum(pos / p * (tp / (tp + fp))), 6) holdout_average_precision,
+      round(sum(neg / q * (tp - pos / 2) / p), 6) holdout_roc_auc from c where p > 0 and q > 0 group by 1)
+    select l.result_id, count(*) filter (where split = 'holdout' and target = 1) holdout_positive_count,
       count(*) filter (where split = 'holdout' and target = 0) holdout_negative_count,
       avg(passed::int) filter (where split = 'holdout' and target = 1) holdout_positive_retention,
       avg(passed::int) filter (where split = 'holdout' and target = 0) holdout_negative_pass_rate,
       count(*) filter (where split <> 'holdout' and target = 0) calibration_negative_count,
-      avg(passed::int) filter (where split <> 'holdout' and target = 0) calibration_negative_pass_rate from l group by result_id""",
+      avg(passed::int) filter (where split <> 'holdout' and target = 0) calibration_negative_pass_rate,
+      any_value(holdout_average_precision) holdout_average_precision, any_value(holdout_roc_auc) holdout_roc_auc
+    from l left join a on a.result_id = l.result_id group by l.result_id""",
 )
 def ml_14(t):
-    return review.layer_metrics(t.sql(_LAYER), ["result_id"])
+    return second_layer.validator_metrics(t.sql(_LAYER), ["result_id"])
 
 
 @query(
@@ -496,9 +523,13 @@ def ml_14(t):
     where a.result_id = 'm1' and b.result_id = 'm2'""",
 )
 def ml_15(t):
-    wide = t.pred.groupBy("source_id").pivot("result_id", ["m1", "m2"]).agg(F.max("score"))
-    wn, wc = F.col("m1") >= 0.6, F.col("m2") >= 0.7
-    return wide.select(
-        "source_id", F.col("m1").alias("wn_score"), F.col("m2").alias("wc_score"), wn.alias("wn_pass"), wc.alias("wc_pass"),
-        (wn | wc).alias("second_layer_pass"),
+    """Two validators on all cases; the third model has no partner, so its set of features gives no pair."""
+    of = F.create_map(*[F.lit(x) for x in ("m1", "WN", "m2", "WC", "m3", "WN")])[F.col("result_id")]
+    limits = F.create_map(*[F.lit(x) for pair in (("m1", 0.6), ("m2", 0.7), ("m3", 0.5)) for x in pair])
+    scores = t.pred.select(
+        F.when(F.col("result_id") == "m3", "other").otherwise("colours").alias("feature_set"), F.lit("any").alias("method"), of.alias("subtype"),
+        "source_id", "score", (F.col("score") >= limits[F.col("result_id")]).alias("passed"),
+    )
+    return second_layer.validator_pairs(t.label.select("source_id"), scores, names={"WN": "wn", "WC": "wc"}).select(
+        "source_id", "wn_score", "wc_score", "wn_pass", "wc_pass", "second_layer_pass"
     )
