@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from raresift.functions import hashing, photometry as ph
-from raresift.operators import curves, fitted_scoring, learning, model_review as review, ranking, sampling, scoring, second_layer, training
+from raresift.operators import fitted_scoring, importance, learning, model_review as review, ranking, sampling, scoring, second_layer, training
 from raresift.operators.ordered import global_rank
 from raresift.plans.registry import query
 from raresift.plans.sample_queries import _MODEL, _STRATA, _TRAIN, labelled, training_rows
@@ -417,32 +417,83 @@ def ml_10(t):
     )
 
 
-@query("ml_11_permutation_importance")
+_SCORE_OF = "1 / (1 + exp(-({i}::double + {terms})))".format(
+    i=LINEAR[0].intercept, terms=" + ".join(f"{w}::double * {f}" for f, w in LINEAR[0].weights.items())
+)
+
+
+@query(
+    "ml_11_permutation_importance",
+    f"""with {_MODEL.replace("G, BP, RP", "G, BP, ruwe")}, h as (select source_id, target, G, BP, ruwe, row_number() over (order by
+        BUCKET(concat('42:', cast(source_id as string))), source_id) p, count(*) over () n from lab
+      where (BUCKET(concat('42:', cast(source_id as string))) % 10000) < 2000 and G is not null and BP is not null and ruwe is not null),
+    m as (select h.*, r, (p - 1 + 1 + (31 * 42 + 7919 * r) % (n - 1)) % n + 1 donor from h, range(5) x(r)),
+    d as (select m.target, m.r, f, case f when 'G' then d.G else m.G end G, case f when 'BP' then d.BP else m.BP end BP,
+        case f when 'ruwe' then d.ruwe else m.ruwe end ruwe from m join h d on d.p = m.donor, (values ('G'), ('BP'), ('ruwe')) y(f)
+      union all select target, -1, '', G, BP, ruwe from h),
+    s as (select target, r, f, {_SCORE_OF} >= 0.6e0 hit from d),
+    c as (select f, r, count(*) filter (where hit and target = 1) tp, count(*) filter (where hit and target = 0) fp,
+      count(*) filter (where not hit and target = 1) fn from s group by f, r),
+    v as (select f, r, coalesce(5 * tp / nullif(5 * tp + 4 * fn + fp, 0), 0) v from c)
+    select f feature, 'permutation' kind, round(avg((select v from v where r = -1) - v), 9) importance,
+      round(stddev_pop((select v from v where r = -1) - v), 9) importance_std from v where r >= 0 group by f""",
+)
 def ml_11(t):
+    """Five repeats on the holdout, the same donors for every feature, under F2."""
     model = LINEAR[0]
-    rows = cut_lineage(labelled(t).select("source_id", "target", "G", "BP", "ruwe").dropna())
-    return learning.permutation_importance(lambda df: df.withColumn("score", model.score()), rows, model.features, repeats=1)
+    rows = labelled(t).where(hashing.md5_bucket(F.col("source_id"), 42) < 2000).select("source_id", "target", *model.features).dropna()
+    found = importance.permutation_importance(lambda df: df.withColumn("score", model.score()), rows, model.features, threshold=0.6)
+    return found.withColumns({c: F.round(c, 9) for c in ("importance", "importance_std")})
+
+
+@query("ml_11_model_importances")
+def ml_11_models(t):
+    """Gain shares of a forest, absolute coefficients, and the permutation drops of the same fitted forest on its holdout."""
+    rows = cut_lineage(_modelling(t, "strict_photometry", "2x"))
+    train, holdout = rows.where("modeling_split = 'train'"), rows.where("modeling_split = 'holdout'")
+    forest = training.sampled_pipeline("random_forest", _STRATA, params={"numTrees": 10}).fit(train)
+    linear = training.sampled_pipeline("logistic_regression", _STRATA, params={"maxIter": 20}).fit(train)
+    drops = importance.permutation_importance(
+        lambda df: training.scores_of(forest, df, *df.columns), holdout, _STRATA, threshold=0.5
+    )
+    own = importance.model_importances(t.spark, forest, _STRATA).unionByName(importance.model_importances(t.spark, linear, _STRATA))
+    return own.unionByName(drops, allowMissingColumns=True)
+
+
+def _folded(t):
+    train = _modelling(t, "strict_photometry", "2x").where("modeling_split = 'train'")
+    return cut_lineage(sampling.stratified_folds(train, splits=3, repeats=1, seed=42).drop("repeat"))
+
+
+_COMPLEXITY = {"numTrees": [3, 6], "maxDepth": [2, 4, 6], "minInstancesPerNode": [1, 20]}
+
+
+@query(
+    "ml_12_complexity_cells",
+    f"""with {_SPLIT_SQL} select a."numTrees", b."maxDepth", c."minInstancesPerNode", p + tn cv_rows, p + tn train_rows from r,
+      (values ('3'), ('6')) a("numTrees"), (values ('2'), ('4'), ('6')) b("maxDepth"), (values ('1'), ('20')) c("minInstancesPerNode")
+    where variant = 'strict_photometry' and ratio = '2x'""",
+)
+def ml_12_cells(t):
+    """Every cell of three axes, with the rows scored out of fold and in training."""
+    return importance.complexity_grid(_folded(t), "random_forest", _STRATA, _COMPLEXITY, parallelism=8).select(*_COMPLEXITY, "cv_rows", "train_rows")
+
+
+@query(
+    "ml_12_boosting_rounds",
+    f"""with {_SPLIT_SQL} select x.rounds::int rounds, p + tn cv_rows, p + tn train_rows from r, (values (1), (3), (6), (10)) x(rounds)
+    where variant = 'strict_photometry' and ratio = '2x'""",
+)
+def ml_12_rounds(t):
+    """Boosted trees after one, three, six and ten rounds, from one model a fold."""
+    found = importance.boosting_rounds(_folded(t), _STRATA, [1, 3, 6, 10], params={"maxDepth": 3}, parallelism=4)
+    return found.select("rounds", "cv_rows", "train_rows")
 
 
 @query("ml_12_complexity_grid")
 def ml_12(t):
-    """Cross-validated against training precision over forest depths."""
-    rows = cut_lineage(sampling.stratified_folds(training_rows(t), splits=2, repeats=1, seed=42))
-    weighted = cut_lineage(learning.with_weights(rows))
-    out = []
-    for depth in (2, 4, 6, 8):
-        oof = learning.out_of_fold(rows, "random_forest", _STRATA, folds=2, maxDepth=depth, numTrees=5)
-        fitted = learning.predict(
-            learning.build_pipeline("random_forest", _STRATA, maxDepth=depth, numTrees=5).fit(weighted), weighted
-        )
-        scores = [
-            curves.area_metrics(
-                curves.score_steps(df.select(F.lit(1).alias("g"), "score", "target"), ["g"]), ["g"]
-            ).first()["average_precision"]
-            for df in (oof, fitted)
-        ]
-        out.append((depth, *scores))
-    return t.spark.createDataFrame(out, "max_depth int, cv_average_precision double, train_average_precision double")
+    """Cross-validated against training F2 and average precision, a row a cell; unit tests compare with boosting by rounds."""
+    return importance.complexity_grid(_folded(t), "random_forest", _STRATA, _COMPLEXITY, parallelism=8)
 
 
 _SUBTYPE = "case when source_id % 97 = 2 then 'WO' when source_id % 3 = 0 then 'WN' when source_id % 3 = 1 then 'WC' end"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from raresift.functions import photometry as ph
-from raresift.operators import audits, locus, sampling
+from raresift.operators import audits, containment, locus, sampling
 from raresift.plans.filter_queries import COLOUR_SQL
-from raresift.plans.locus_queries import LOCI, WIDE, count_sql
+from raresift.plans.locus_queries import LOCI, WIDE, count_sql, margin_sql
 from raresift.plans.registry import query
 from raresift.session import cut_lineage
 
@@ -214,37 +214,65 @@ def _alphas(d=4):
     return [(1.0 / g) ** (i + 1) for i in range(d)]
 
 
-_INDEPENDENT = ("G_BP", "G_RP", "J_H", "H_K")
-_VARIANT = "relaxed_poe_5"
+_WIDE_OF = {b.name: b for b in WIDE}
 
 
-def _witness_sql():
-    bounds = ", ".join(f"min({c}) lo_{c}, max({c}) hi_{c}" for c in (*_INDEPENDENT, "BP_RP", "J_K"))
-    points = ", ".join(
-        f"lo_{c} + ((0.5::double + i * {a!r}::double) % 1e0) * (hi_{c} - lo_{c}) {c}" for c, a in zip(_INDEPENDENT, _alphas())
+def _slack_sql(b):
+    """The slack of one plane; the ends of its first colour are signed logarithms of the observed bounds."""
+    over = _WIDE_OF[b.name]
+    gap = lambda end: (
+        f"abs({b.slope - over.slope!r}::double * (sign({end}_{b.x}) * ln(1 + abs({end}_{b.x}))) + {b.intercept - over.intercept!r}::double)"
     )
-    signed = ", ".join(f"sign({c}) * ln(1 + abs({c})) t_{c}" for c in locus.PLANE_COLOURS)
-    return f"""with {COLOUR_SQL}, b as (select {bounds} from c), p as (select {points}, lo_BP_RP, hi_BP_RP, lo_J_K, hi_J_K
-        from range({1 << _POWER}) r(i), b), q as (select *, G_RP - G_BP BP_RP, J_H + H_K J_K from p),
-      w as (select *, {signed} from q where BP_RP between lo_BP_RP and hi_BP_RP and J_K between lo_J_K and hi_J_K)
-      select '{_VARIANT}' variant, count(*) points_inside, count(*) filter (where {count_sql(LOCI[_VARIANT])} < 2) exact_keep,
-        count(*) filter (where {count_sql(LOCI[_VARIANT])} < 2 and not {count_sql(WIDE)} < 2) exact_not_aggregate from w"""
+    return f"{over.threshold!r}::double - (greatest({gap('lo')}, {gap('hi')}) + {b.threshold!r}::double)"
 
 
-@query("sm_09_geometric_witnesses", _witness_sql())
-def sm_09(t):
-    """Points filling the observed colour box, judged by one exact locus and the aggregate."""
+_BOX_SQL = ", ".join(f"min({c}) lo_{c}, max({c}) hi_{c}" for c in locus.PLANE_COLOURS)
+_POINTS_SQL = ", ".join(
+    f"lo_{c} + ((0.5::double + i * {a!r}::double) % 1e0) * (hi_{c} - lo_{c}) {c}" for c, a in zip(containment.INDEPENDENT, _alphas())
+)
+_SIGNED_SQL = ", ".join(f"sign({c}) * ln(1 + abs({c})) t_{c}" for c in locus.PLANE_COLOURS)
+_WITNESS_SQL = f"""{COLOUR_SQL}, b as (select {_BOX_SQL} from c), p as (select i id, {_POINTS_SQL}, lo_BP_RP, hi_BP_RP, lo_J_K, hi_J_K
+      from range({1 << _POWER}) r(i), b), q as (select *, G_RP - G_BP BP_RP, J_H + H_K J_K from p),
+    w as (select *, {_SIGNED_SQL} from q where BP_RP between lo_BP_RP and hi_BP_RP and J_K between lo_J_K and hi_J_K),
+    k as (select *, {count_sql(WIDE)} wide_count, least({", ".join(f"abs({margin_sql(b)})" for b in WIDE)}) distance,
+      {", ".join(f"{count_sql(bands)} count__{v}" for v, bands in LOCI.items())} from w)"""
+
+
+def _box(t):
+    """The observed bounds of six colours, and the points inside them."""
     colours = ph.with_colours(t.pool, ph.LOCAL_COLOURS)
-    envelope = audits.colour_envelope(colours, (*_INDEPENDENT, "BP_RP", "J_K"), span_fraction=0.0, absolute={}).collect()
-    box = {r["colour"]: (r["min"], r["max"]) for r in envelope}  # six rows
-    points = sampling.low_discrepancy(t.spark, _POWER, {c: box[c] for c in _INDEPENDENT}).withColumns(
-        {"BP_RP": F.col("G_RP") - F.col("G_BP"), "J_K": F.col("J_H") + F.col("H_K")}
+    found = audits.colour_envelope(colours, locus.PLANE_COLOURS, span_fraction=0.0, absolute={}).collect()  # six rows
+    box = {r["colour"]: (r["min"], r["max"]) for r in found}
+    return box, containment.box_points(t.spark, _POWER, box)
+
+
+@query(
+    "sm_09_geometric_witnesses",
+    f"with {_WITNESS_SQL} " + " union all ".join(
+        f"select '{v}' variant, (select {' + '.join(f'case when {_slack_sql(b)} >= -1e-12 then 1 else 0 end' for b in bands)} from b)::bigint "
+        f"contained_planes, {len(bands)}::bigint planes, (select round(least({', '.join(_slack_sql(b) for b in bands)}), 9) from b) least_slack, "
+        f"count(*) points_inside, count(*) filter (where count__{v} < 2) exact_keep, "
+        f"count(*) filter (where count__{v} < 2 and not wide_count < 2) exact_not_aggregate, "
+        f"count(*) filter (where count__{v} < 2 and not wide_count < 2) > 0 disproved from k"
+        for v, bands in LOCI.items()
+    ),
+)
+def sm_09(t):
+    """All exact loci against the aggregate: by their lines over the colour box, and by points filling it."""
+    box, points = _box(t)
+    return containment.containment_summary(points, LOCI, WIDE, box).withColumn("least_slack", F.round("least_slack", 9))
+
+
+@query(
+    "sm_09_witness_points",
+    f"with {_WITNESS_SQL}, x as (" + " union all ".join(
+        f"select '{v}' variant, id, count__{v} exact_outlier_planes, wide_count aggregate_outlier_planes, "
+        f"round(distance, 9) boundary_distance, round(G_BP, 9) \"G_BP\", round(J_K, 9) \"J_K\" from k where count__{v} < 2 and not wide_count < 2" for v in LOCI
+    ) + ") select *, row_number() over (partition by variant order by id) place from x qualify place <= 20",
+)
+def sm_09_witnesses(t):
+    _, points = _box(t)
+    return containment.containment_witnesses(points, LOCI, WIDE).select(
+        "variant", "id", "exact_outlier_planes", "aggregate_outlier_planes", F.round("boundary_distance", 9).alias("boundary_distance"),
+        F.round("G_BP", 9).alias("G_BP"), F.round("J_K", 9).alias("J_K"), "place",
     )
-    inside = locus.with_transformed(points.where(ph.within_bounds({c: box[c] for c in ("BP_RP", "J_K")})))
-    exact = locus.band_rules(LOCI[_VARIANT], min_outlier_planes=2)[2]
-    wide = locus.band_rules(WIDE, min_outlier_planes=2)[2]
-    return inside.agg(
-        F.count(F.lit(1)).alias("points_inside"),
-        F.count_if(exact).alias("exact_keep"),
-        F.count_if(exact & ~wide).alias("exact_not_aggregate"),
-    ).select(F.lit(_VARIANT).alias("variant"), "*")
