@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from raresift.operators.ranking import top_per_group
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # per width
@@ -145,30 +147,28 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, *, per_language: int = 600, chars: int = 768) -> tuple[list[str], list[str]]:
+def training_sample(docs: DataFrame, *, per_language: int = 600, chars: int = 768, labels: int = 256) -> tuple[list[str], list[str]]:
     """Up to ``per_language`` labelled texts of each language outside the held-out rows, at most ``chars`` characters of each.
 
-    This is the documented bound on what the classifier is fitted on. Languages are counted over all rows first, so the
-    hash filter lets about that many rows through and only those reach the driver.
+    This is the documented bound on what the classifier is fitted on, and all that reaches the driver; of more than ``labels``
+    languages the most frequent are learned. Different rows of each language are counted over the whole table first, so that a
+    hash of id and text lets half as many again through as are wanted, whatever the ids are; those with the lowest hashes are taken.
+    Rows that repeat id and text count once.
     """
-    usable = docs.where(~is_held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = docs.where(~is_held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
+    totals = usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"), 0.02).alias("n")).orderBy(F.desc("n"), F.asc("lang")).limit(labels)
+    counts = {r.lang: r.n for r in totals.collect()}
     if not counts:
         return [], []
-    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 1.25 * per_language / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 1.5 * per_language / max(n, 1)))])
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(1 << 30))
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
-    rows = usable.where(draw < share[F.col("lang")] * (1 << 30)).select(
+    near = usable.where(draw < share[F.col("lang")] * (1 << 30)).select(
         "lang", draw.alias("draw"), F.col("text").substr(start, F.lit(chars)).alias("part")
-    ).collect()
-    taken: dict[str, int] = {}
-    texts, langs = [], []
-    for r in sorted(rows, key=lambda r: (r.draw, r.lang, r.part)):
-        taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= per_language:
-            texts.append(r.part)
-            langs.append(r.lang)
-    return texts, langs
+    ).distinct()
+    rows = top_per_group(near, by=["lang"], order=[F.asc("draw"), F.asc("part")], limit=per_language, rank="place", salt_on="draw").collect()
+    rows.sort(key=lambda r: (r.draw, r.lang, r.part))
+    return [r.part for r in rows], [r.lang for r in rows]
 
 
 def identify(docs: DataFrame, model: ByteCnn, *, text_col: str = "text", label_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

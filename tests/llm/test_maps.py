@@ -4,6 +4,7 @@ import random
 import re
 
 import public_tokenizers as vocab
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -73,6 +74,16 @@ def test_held_out_labels_do_not_reach_the_model(spark):
     assert byte_cnn.training_sample(docs, per_language=40) == byte_cnn.training_sample(changed, per_language=40)
 
 
+@pytest.mark.parametrize("share", ["CAST(NULL AS LONG)", "CAST(7 AS LONG)", "id"])
+def test_training_sample_is_bounded_whatever_the_ids_are(spark, share):
+    docs = spark.range(6000).selectExpr(f"{share} AS doc_id", "concat('text number ', id) AS text", "IF(id % 3 = 0, 'fr', 'en') AS lang")
+    docs = docs.unionByName(spark.range(3000).selectExpr("1L AS doc_id", "'the same text' AS text", "'en' AS lang"))
+    texts, langs = byte_cnn.training_sample(docs, per_language=100)
+    assert sorted((langs.count("en"), langs.count("fr"))) == [100, 100] and len(set(texts)) == 200
+    rare = spark.range(400).selectExpr("id AS doc_id", "concat('text number ', id) AS text", "concat('lang', id % 40) AS lang")
+    assert len(set(byte_cnn.training_sample(rare, labels=5)[1])) == 5
+
+
 def test_language_of_awkward_rows(spark, awkward, no_rows):
     model = byte_cnn.train(["the fox and the dog " * 9, "le chien et la souris " * 9] * 20, ["en", "fr"] * 20, epochs=2)
     found = byte_cnn.identify(awkward, model)
