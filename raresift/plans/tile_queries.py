@@ -120,14 +120,17 @@ def tl_07_whole(t):
 
 @query(
     "tl_08_backfill_status",
-    """select pool_build_id, case when pool_build_id = 'odd' then 'legacy' when n = d then 'completed' else 'partial' end status
-    from (select pool_build_id, count(*) n, count(*) filter (where status = 'completed') d from v_tiles group by 1)""",
+    """with d as (select * from v_tiles where pool_build_id = 'even' and status = 'completed'),
+    x as (select pool_build_id, status from v_tiles union all select 'whole', status from d)
+    select pool_build_id, case when pool_build_id = 'odd' then 'legacy' when n = e and f = e then 'completed' else 'partial' end status
+    from (select pool_build_id, count(*) n, count(*) filter (where status = 'completed') f from x group by 1), (select count(*) e from d)""",
 )
 def tl_08(t):
-    builds = t.tiles.groupBy("pool_build_id").agg(
-        F.max(F.when(F.col("pool_build_id") == "odd", "legacy")).alias("status")
-    )
-    return tiles.backfill_status(builds, t.tiles, expected_tiles=10**9)
+    """A build with a status keeps it; of the others only the one that holds exactly the expected tiles, all completed, is promoted."""
+    done = t.tiles.where("pool_build_id = 'even' and status = 'completed'")
+    rows = t.tiles.unionByName(done.withColumn("pool_build_id", F.lit("whole")))
+    builds = rows.groupBy("pool_build_id").agg(F.max(F.when(F.col("pool_build_id") == "odd", "legacy")).alias("status"))
+    return tiles.backfill_status(builds, rows, expected_tiles=done.count())
 
 
 @query(
