@@ -29,8 +29,8 @@ from raresift.session import cut_lineage
 
 ORDER = 5  # bytes of the longest context
 ESCAPE = 0.3  # what each distinct symbol of a context gives to the escape
-BLOCK_BYTES = 1 << 25  # folded text of a block, about
-_PART = 1 << 21  # symbols that are handled at a time
+BLOCK_BYTES = 3 << 23  # folded text of a block, about
+_PART = 1 << 20  # symbols that are handled at a time
 _END = b"\n"  # begins and ends a text; folded texts hold no other white space than single blanks
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
 _RUNS, _WORDS, _LOW, _COUNTS, _DISTINCT = range(5)  # kinds of rows between tasks
@@ -173,6 +173,9 @@ def _requests(block: int, units: list[tuple[int, bytes]], tasks: int) -> list[tu
         run, count = summed(run, learned[owner])
         runs.append(run)
         counts.append(count)
+        if len(runs) == 8:  # what is held stays near the number of different runs
+            run, count = summed(np.concatenate(runs), np.concatenate(counts))
+            runs, counts = [run], [count]
     runs, counts = summed(np.concatenate(runs), np.concatenate(counts))
     words, asked = Counter(), set()
     for learn, data in units:

@@ -40,7 +40,8 @@ def test_shards_of_awkward_rows(awkward, no_rows):
     found = kd_shards.shard_report(awkward)
     assert found.count() == awkward.count() and kd_shards.shard_report(no_rows).count() == 0
     rows = {r.doc_id: r for r in found.where("doc_id is not null").collect()}
-    assert rows[2].size == rows[3].size == 1 and rows[2].text_crc32 == 0 and rows[5].shard == rows[6].shard or rows[5].size > 100_000
+    assert rows[2].size == rows[3].size == 1 and rows[2].text_crc32 == 0
+    assert rows[5].size == rows[6].size > 100_000  # heavier than a shard together, so they may be apart
     assert rows[7].text_crc32 == zlib.crc32(("é" * 300).encode()) and rows[7].size == 601
 
 
