@@ -259,6 +259,24 @@ def jn_13(t):
     return t.scores.join(ids, "source_id", "left_semi").select("result_id", "source_id", "score")
 
 
+@query(
+    "jn_12_export_rules",
+    f"""with {_RANKS}, {_FUSED}, {_CONSENSUS}, {_OPPS}, w as (select eligible, case when eligible and source_id % 9 = 1 then null
+        when not eligible and source_id % 11 = 1 then 0.5e0 when eligible then coalesce(score, 0e0) end score from opps)
+    select count(*) filter (where eligible and score is null) eligible_without_score,
+      count(*) filter (where not eligible and score is not null) ineligible_with_score from w""",
+)
+def jn_12_rules(t):
+    """Faults put into the rows of an export: eligible ones without a score, ineligible ones with one."""
+    _, opportunities = _opportunities(t)
+    ninth, eleventh = F.col("source_id") % 9 == 1, F.col("source_id") % 11 == 1
+    faulty = (
+        F.when(F.col("eligible") & ninth, None).when(~F.col("eligible") & eleventh, 0.5)
+        .when(F.col("eligible"), F.coalesce("score", F.lit(0.0)))
+    )
+    return joins.export_rules(opportunities.withColumn("score", faulty))
+
+
 @query(
     "jn_13_model_order",
     """select result_id, row_number() over (order by holdout_average_precision desc nulls last, result_id) place
@@ -287,6 +305,19 @@ def jn_14(t):
     )
 
 
+@query(
+    "jn_14_stored_constant",
+    f"""with {_RANKS}, k as (select result_id, case result_id when 'm1' then 60e0 when 'm2' then 30e0 end k from v_models)
+    select r.source_id, r.result_id, r.model_rank, 1e0 / (coalesce(k.k, 60e0) + r.model_rank) rrf_contribution
+    from ranks r join k on k.result_id = r.result_id""",
+)
+def jn_14_stored(t):
+    """The constant is the one stored with the model; a model without one takes the default."""
+    stored = t.models.select("result_id", F.expr("case result_id when 'm1' then 60e0 when 'm2' then 30e0 end").alias("k"))
+    out = joins.evidence_rows(_ranks(t).select("source_id", "result_id", "model_rank"), stored, rrf_k=F.coalesce("k", F.lit(60.0)))
+    return out.select("source_id", "result_id", "model_rank", "rrf_contribution")
+
+
 @query(
     "jn_15_annotate_subtypes",
     """select l.source_id, target, case when target = 1 then spectral_type end spectral_type,

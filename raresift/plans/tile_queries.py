@@ -235,6 +235,16 @@ def src_03(t):
     return html.list_cells(t.pages)
 
 
+@query(
+    "src_03_page_version",
+    r"""select page_id, coalesce(regexp_replace(nullif(regexp_extract(html, '(?i)<h1[^>]*>[^<]{0,40}', 0), ''), '\s+', ' ', 'g'), 'unknown') "version"
+    from pages""",
+)
+def src_03_version(t):
+    """The head line of a page stands for its version text; blanks are squeezed, pages without one are 'unknown'."""
+    return html.page_version(t.pages, r"(?i)<h1[^>]*>[^<]{0,40}")
+
+
 @query(
     "src_03_largest_table",
     """with c as (select page_id, 0 row_no, 0 col_no, 'page' as "text" from pages union all select page_id, 0, 1, 'url' from pages
