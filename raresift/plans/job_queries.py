@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from raresift.functions import text
+from raresift.functions.photometry import VARIANTS
 from raresift.operators import locus
 from raresift.plans import jobs
 from raresift.plans.audit_queries import CONTROLS_SQL, controls, sources
-from raresift.plans.filter_queries import REQUIRED
-from raresift.plans.locus_queries import FEATURE_SETS, LOCI, SCHEMA
+from raresift.plans.filter_queries import _NOT_NULL, REQUIRED, astrometry_sql, quality_sql
+from raresift.plans.locus_queries import FEATURE_SETS, LOCI, SCHEMA, T_SQL, VALID_SQL
 from raresift.plans.registry import query
 from raresift.plans.tile_queries import scratch
 from raresift.session import cut_lineage
@@ -66,8 +67,33 @@ def job_03(t):
     return jobs.audit_policies(pool, LOCI, SCHEMA, FEATURE_SETS, scratch(t, "audit"))
 
 
-@query("job_04_fit_variants")
+_MEMBER_SQL = " ".join(
+    f"when '{v}' then {_NOT_NULL} and {quality_sql(v.split('_', 1)[0])} and {astrometry_sql(v.split('_', 1)[1])}" for v in VARIANTS
+)
+_PLANES = [f"{x}__{y}" for x, y in locus.PLANES]
+_POINTS_SQL = " union all ".join(f"select variant, '{x}__{y}' plane, t_{x} tx, t_{y} ty from mem where positive" for x, y in locus.PLANES)
+_WIDE_SQL = ", ".join(f"max(case when fit.plane = '{p}' then {c} end) {c}{i}" for i, p in enumerate(_PLANES) for c in ("s", "b", "q"))
+_OUTSIDE_SQL = " + ".join(
+    f"case when q{i} - abs(t_{y} - (b{i} + s{i} * t_{x})) < 0 then 1 else 0 end" for i, (x, y) in enumerate(locus.PLANES)
+)
+
+
+@query(
+    "job_04_fit_variants",
+    f"""with {T_SQL}, mem as (select t.*, variant, source_id in (select source_id from v_known where label = 'known_wr') positive
+      from t, (values {", ".join(f"('{v}')" for v in VARIANTS)}) x(variant) where case variant {_MEMBER_SQL} end),
+    pts as ({_POINTS_SQL}),
+    fit as (select variant, plane, count(*) n_rows, count(tx + ty) n, regr_slope(ty, tx) s, regr_intercept(ty, tx) b from pts group by 1, 2),
+    res as (select pts.variant, pts.plane, quantile_cont(abs(ty - (b + s * tx)), 0.975) q from pts join fit on fit.variant = pts.variant
+      and fit.plane = pts.plane where tx is not null and ty is not null group by 1, 2),
+    pv as (select fit.variant, count(*)::int planes, {_WIDE_SQL} from fit join res on res.variant = fit.variant and res.plane = fit.plane
+      where n = n_rows group by fit.variant),
+    j as (select positive, mem.variant, planes, {VALID_SQL} v, {_OUTSIDE_SQL} n from mem join pv on pv.variant = mem.variant)
+    select positive, variant, planes, count(*) n_rows, count(*) filter (where n >= 2) outliers, count(*) filter (where v and n < 2) kept
+    from j group by positive, variant, planes""",
+)
 def job_04(t):
+    """Twelve nested variants: bands fitted on the positives of each, both classes judged and counted."""
     ids = t.known.where("label = 'known_wr'").select("source_id").distinct()
     return jobs.fit_variants(t.pool, ids, REQUIRED)
 
