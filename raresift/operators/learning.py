@@ -1,23 +1,15 @@
-"""Training with Spark ML: pipelines, folds, grids, importances and one-class models."""
+"""Training with Spark ML: pipelines, out-of-fold scores, thresholds and isolation trees."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F, types as T
-
-from raresift.operators import curves
-from raresift.operators.ordered import global_rank
-from raresift.operators.quantiles import exact_quantiles
-from raresift.operators.ranking import top_per_group
+from pyspark.sql import DataFrame, functions as F
 
 
 def build_pipeline(kind: str, features: Sequence[str], *, weighted: bool = True, **options) -> Pipeline:
@@ -72,26 +64,6 @@ def out_of_fold(df: DataFrame, kind: str, features: Sequence[str], *, folds: int
     return scored.groupBy("source_id", "target").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n_scores"))
 
 
-class RankingEvaluator(Evaluator):
-    """Exact average precision or best F-beta for Spark's tuning classes."""
-
-    def __init__(self, metric: str = "average_precision", **floors):
-        super().__init__()
-        self.metric, self.floors = metric, floors
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        scored = dataset.withColumn("score", vector_to_array("probability")[1]).withColumn("g", F.lit(1))
-        steps = curves.score_steps(scored.select("g", "score", "target"), ["g"])
-        if self.metric == "f_beta":
-            row = curves.select_threshold(steps, ["g"], **self.floors).first()
-        else:
-            row = curves.area_metrics(steps, ["g"]).first()
-        return float(row[self.metric]) if row else 0.0
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 def threshold_scores(oof: DataFrame, calibration: DataFrame) -> DataFrame:
     """Scores used to choose a threshold: positives out of fold plus unseen negatives, or all out-of-fold rows."""
     if calibration.isEmpty():
@@ -101,108 +73,7 @@ def threshold_scores(oof: DataFrame, calibration: DataFrame) -> DataFrame:
     return oof.where("target = 1").unionByName(calibration)
 
 
-def permuted(df: DataFrame, feature: str, seed: int) -> DataFrame:
-    """The frame with one column shuffled: rows paired by rank under two hashes."""
-    left = global_rank(
-        df.withColumn("__h", F.xxhash64("source_id", F.lit(seed))), order=[F.asc("__h"), F.asc("source_id")], name="__p"
-    ).drop("__h")
-    right = global_rank(
-        df.select("source_id", F.col(feature).alias("__v")).withColumn("__h", F.xxhash64("source_id", F.lit(seed + 1))),
-        order=[F.asc("__h"), F.asc("source_id")], name="__p",
-    ).select("__p", "__v")
-    return left.join(right, "__p").drop("__p", feature).withColumnRenamed("__v", feature).select(*df.columns)
-
-
-def permutation_importance(score, df: DataFrame, features: Sequence[str], *, repeats: int = 2, seed: int = 42) -> DataFrame:
-    """Mean and deviation of the average-precision drop per feature; ``score(df)`` adds ``score``."""
-    def precision_of(frame: DataFrame) -> float:
-        pred = score(frame).select(F.lit(1).alias("g"), "score", "target")
-        return curves.area_metrics(curves.score_steps(pred, ["g"]), ["g"]).first()["average_precision"]
-
-    base = precision_of(df)
-    rows = []
-    for feature in features:
-        drops = [base - precision_of(permuted(df, feature, seed + 10 * r)) for r in range(repeats)]
-        rows.append((feature, float(np.mean(drops)), float(np.std(drops))))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double, importance_std double")
-
-
-# ---- one-class models of the second stage -------------------------------------------------
-
-
-def gaussian_mixture_scores(train: DataFrame, rows: DataFrame, features: Sequence[str], *, components: int = 2) -> DataFrame:
-    """Log density under a mixture fitted on the positives."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    model = GaussianMixture(k=components, seed=42, maxIter=50).fit(assembler.transform(train))
-    weights = list(model.weights)
-    parts = []
-    for w, g in zip(weights, model.gaussians):
-        mean, cov = g.mean.toArray(), g.cov.toArray() + 1e-5 * np.eye(len(features))
-        inverse, (_, logdet) = np.linalg.inv(cov), np.linalg.slogdet(cov)
-        constant = np.log(max(w, 1e-300)) - 0.5 * (logdet + len(features) * np.log(2 * np.pi))
-        parts.append(F.lit(float(constant)) - 0.5 * mahalanobis(features, mean, inverse))
-    top = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    return rows.dropna(subset=list(features)).withColumn("score", top + F.log(sum(F.exp(p - top) for p in parts)))
-
-
-def mahalanobis(features: Sequence[str], mean: np.ndarray, inverse: np.ndarray):
-    """Squared Mahalanobis distance as a column expression."""
-    gaps = [F.col(f) - F.lit(float(m)) for f, m in zip(features, mean)]
-    total = F.lit(0.0)
-    for i in range(len(gaps)):
-        for j in range(len(gaps)):
-            total = total + F.lit(float(inverse[i, j])) * gaps[i] * gaps[j]
-    return total
-
-
-def robust_covariance(train: DataFrame, features: Sequence[str], *, support: float = 0.9, passes: int = 4):
-    """Location and scatter from repeatedly trimming the most distant rows.
-
-    Each pass is one aggregate of first and second moments; the trimming level
-    is an exact quantile.
-    """
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    kept = train.dropna(subset=list(features))
-    for step in range(passes + 1):
-        row = kept.agg(
-            *[F.avg(f).alias(f"m_{f}") for f in features],
-            *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs],
-        ).first()
-        mean = np.array([row[f"m_{f}"] for f in features])
-        cov = np.zeros((len(features), len(features)))
-        for a, b in pairs:
-            i, j = features.index(a), features.index(b)
-            cov[i, j] = cov[j, i] = row[f"c_{a}_{b}"]
-        inverse = np.linalg.pinv(cov + 1e-9 * np.eye(len(features)))
-        if step == passes:
-            return mean, inverse
-        far = train.dropna(subset=list(features)).withColumn("__d", mahalanobis(features, mean, inverse))
-        cut = exact_quantiles(far, "__d", [support], names=["cut"]).first()["cut"]
-        kept = far.where(F.col("__d") <= cut)
-
-
-def isolation_trees(train: DataFrame, features: Sequence[str], *, trees: int = 50, sample: int = 256, seed: int = 42) -> pd.DataFrame:
-    """Random split trees, each grown from at most ``sample`` rows.
-
-    A hash thins the rows before they are copied per tree, so the copies stay
-    near ``trees * sample``; the fitted trees are small tables.
-    """
-    rows = train.dropna(subset=list(features))
-    n = max(rows.count(), 1)
-    thin = min(1.0, 4.0 * sample / n)
-    u = F.pmod(F.xxhash64("source_id", "tree", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    spread = rows.select("source_id", *features).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = top_per_group(
-        spread.withColumn("u", u).where(F.col("u") < thin), by=["tree"], order=[F.asc("u"), F.asc("source_id")], limit=sample,
-        rank="__p",
-    )
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        nodes = grow_tree(pdf[list(features)].to_numpy(float), np.random.default_rng(seed + tree), sample)
-        return pd.DataFrame([(tree, *node) for node in nodes], columns=["tree", "node", "feature", "at", "path"])
-
-    return drawn.groupBy("tree").applyInPandas(grow, "tree int, node long, feature int, at double, path double").toPandas()
+# ---- isolation trees ----------------------------------------------------------------------
 
 
 def grow_tree(points: np.ndarray, rng: np.random.Generator, sample: int) -> list[tuple[int, int, float, float]]:
@@ -245,22 +116,3 @@ def forest_scores(x: np.ndarray, trees: Sequence[dict], sample: int) -> np.ndarr
 def path_length(n: int) -> float:
     """Mean depth of an unsuccessful search among ``n`` points."""
     return 0.0 if n <= 1 else 2.0 * (np.log(n - 1.0) + 0.5772156649) - 2.0 * (n - 1.0) / n if n > 2 else 1.0
-
-
-def isolation_scores(rows: DataFrame, features: Sequence[str], forest: pd.DataFrame, *, sample: int = 256) -> DataFrame:
-    """Anomaly score turned so that larger means more typical."""
-    packed = {t: {int(r.node): (int(r.feature), r.at, r.path) for r in g.itertuples()} for t, g in forest.groupby("tree")}
-    shared = rows.sparkSession.sparkContext.broadcast(list(packed.values()))
-
-    def run(batches):
-        for batch in batches:
-            batch["score"] = forest_scores(batch[list(features)].to_numpy(float), shared.value, sample)
-            yield batch
-
-    clean = rows.dropna(subset=list(features))
-    return clean.mapInPandas(run, T.StructType([*clean.schema.fields, T.StructField("score", T.DoubleType())]))
-
-
-def recall_threshold(train_scores: DataFrame, recall: float) -> float:
-    """Score above which ``recall`` of the training positives lie."""
-    return exact_quantiles(train_scores, "score", [1.0 - recall], names=["t"]).first()["t"]

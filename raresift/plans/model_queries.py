@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from raresift.functions import hashing, photometry as ph
-from raresift.operators import fitted_scoring, importance, learning, model_review as review, ranking, sampling, scoring, second_layer, training
+from raresift.functions import hashing
+from raresift.operators import fitted_scoring, importance, learning, model_review as review, sampling, scoring, second_layer, training
 from raresift.operators.ordered import global_rank
 from raresift.plans.registry import query
 from raresift.plans.sample_queries import _MODEL, _STRATA, _TRAIN, labelled, training_rows
