@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from raresift.operators import sampling
+from raresift.operators import neighbours, sampling
+from raresift.operators.neighbours import with_nearest
 
 SCHEMA = "source_id long, target int, a double, b double"
 
@@ -121,6 +122,54 @@ def test_neighbours_do_not_depend_on_the_blocks(rows):
     assert key(one) == key(many) and len(one) == 660
 
 
+def _brute_force(data, columns, k):
+    points, ids, out = data[columns].to_numpy(), data["source_id"].to_numpy(), {}
+    for i, p in zip(ids, points):
+        d = np.sqrt(((points - p) ** 2).sum(1))
+        out[i] = [int(j) for _, j in sorted((x, j) for x, j in zip(d, ids) if j != i)[:k]]
+    return out
+
+
+def test_neighbours_at_equal_distances_and_copies(spark):
+    # A coarse lattice with many copies: ties go to the smaller id, whatever the cells are.
+    rng = np.random.default_rng(5)
+    data = [(i, i % 2, float(a), float(b)) for i, (a, b) in enumerate(rng.integers(0, 6, (300, 2)))]
+    df = spark.createDataFrame(data + [(900 + i, 0, 2.0, 2.0) for i in range(100)], SCHEMA)
+    got = {r.source_id: [n.neighbour_id for n in r.near] for r in with_nearest(df, df, ["a", "b"], 3, block_rows=20).collect()}
+    assert got == _brute_force(df.toPandas(), ["a", "b"], 3)
+
+
+def test_neighbours_are_sought_near_by_only(spark, monkeypatch):
+    # All pairs of 20,000 rows are 4e8 distances; cells need a small part of them.
+    seen = spark.sparkContext.accumulator(0)
+    plain = neighbours._row_gap
+
+    def counted(a, b):
+        seen.add(len(a) * len(b))
+        return plain(a, b)
+
+    monkeypatch.setattr(neighbours, "_row_gap", counted)
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, 0, *map(float, p)) for i, p in enumerate(rng.normal(size=(20_000, 2)))], SCHEMA)
+    assert sampling.nearest_neighbours(df, df, ["a", "b"], 3, block_rows=2_000).count() == 60_000
+    assert 0 < seen.value < 4e7
+
+
+def test_rows_that_lack_a_feature_have_no_neighbours_and_are_none(spark):
+    df = spark.createDataFrame([(1, 0, 0.0, 0.0), (2, 1, 1.0, 0.0), (3, 1, None, 0.0), (4, 0, float("nan"), 0.0)], SCHEMA)
+    got = {r.source_id: r.near and [n.neighbour_id for n in r.near] for r in with_nearest(df, df, ["a", "b"], 3).collect()}
+    assert got == {1: [2], 2: [1], 3: None, 4: None}
+    assert {r.source_id for r in sampling.drop_edited(df, ["a", "b"]).collect()} == {3, 4}
+
+
+def test_synthetic_rows_at_one_position_have_ids_of_their_own(spark):
+    df = spark.createDataFrame([(i, int(i < 4), float(i >= 4) * i, 0.0) for i in range(24)], SCHEMA)
+    ids = [r.source_id for r in sampling.smote(df, ["a", "b"], named=True).collect()]
+    assert len(ids) == 40 and len(set(ids)) == 40
+    # The minority and its synthetic rows share one position and no row of the other class is nearer.
+    assert sampling.resample(df, "smote_enn", ["a", "b"]).where("target = 1").count() == 20
+
+
 def test_bootstrap_weights_reach_the_tail(spark):
     weights = sampling.bootstrap_weights(spark.range(300_000).withColumnRenamed("id", "source_id"), 8, 3)
     top, mean = weights.agg(F.max("w"), F.sum("w") / F.lit(2_400_000.0)).first()
