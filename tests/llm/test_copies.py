@@ -246,3 +246,29 @@ def test_both_ways_of_comparing_phrases_agree(repetitive):
         }
 
     assert gone(1024) == gone(0)  # 0: every key is too large for one task
+
+
+def test_few_pairs_of_a_large_group_are_compared_and_no_link_is_lost(spark, monkeypatch):
+    """800 lines, each further from the common original than near copies are, and one family of near copies among them."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(40)]
+
+    def edited(words, n):
+        at = set(rnd.sample(range(len(words)), n))
+        return [word() if k in at else w for k, w in enumerate(words)]
+
+    family = edited(base, 5)
+    lines = [" ".join(base)] + [" ".join(edited(base, 4)) for _ in range(800)] + [" ".join(edited(family, 1)) for _ in range(30)]
+    tried, verified = [], fuzzy_lines._verified
+
+    def counted(pairs, *more):
+        tried.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(fuzzy_lines, "_verified", counted)
+    docs = [(k, x) for k, x in enumerate([*lines, *[lines[0]] * 5])]
+    gone = {r.doc_id for r in fuzzy_lines.copied_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = {doc for doc, _ in plain_lines(docs)}
+    assert gone <= want and len(want - gone) <= 0.01 * len(want)
+    assert sum(tried) < 20 * len(lines)  # all pairs: 344,865
