@@ -117,11 +117,14 @@ def tl_06_manifest(t):
     return jobs.finalise_pool(t.spark, plan, root).select("n_tiles", "n_rows")
 
 
+def _landed_pool(t):
+    """The landed rows with their tile, joined once for all builds, and the plan of their tiles."""
+    rows = cut_lineage(t.pool.withColumn("tile_id", F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string"))))
+    return rows, cut_lineage(rows.select("tile_id").distinct().withColumn("query_hash", F.lit("q1")))
+
+
 def _built(t):
-    tile = F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string"))
-    rows = t.pool.withColumn("tile_id", tile)
-    plan = rows.select("tile_id").distinct().withColumn("query_hash", F.lit("q1"))
-    root = scratch(t, "pool")
+    (rows, plan), root = _landed_pool(t), scratch(t, "pool")
     jobs.build_pool(rows, plan, t.known, LOCI, SCHEMA, root, confirm_full_build=True)
     changed = plan.withColumn("query_hash", F.when(F.col("tile_id") == "t3", "q2").otherwise("q1"))
     return jobs.build_pool(rows, changed, t.known, LOCI, SCHEMA, root, confirm_full_build=True), changed, root
@@ -134,8 +137,7 @@ def _built(t):
 )
 def tl_06_bounded(t):
     """Three tiles, then four, then the rest; after each build the rows of all published tiles are counted from the files."""
-    rows = t.pool.withColumn("tile_id", F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string")))
-    plan = rows.select("tile_id").distinct().withColumn("query_hash", F.lit("q1"))
+    rows, plan = _landed_pool(t)
     root, table, counts = scratch(t, "pool"), None, None
     for number, bound in enumerate((3, 4, None), 1):
         jobs.build_pool(rows, plan, t.known, LOCI, SCHEMA, root, max_tiles=bound, confirm_full_build=bound is None)
@@ -151,8 +153,7 @@ def tl_06_bounded(t):
 )
 def tl_06_failed(t):
     """A rebuild whose rows are not those planned (a source comes twice) is refused; readers still see the tiles of the first build."""
-    rows = t.pool.withColumn("tile_id", F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string")))
-    plan = rows.select("tile_id").distinct().withColumn("query_hash", F.lit("q1"))
+    rows, plan = _landed_pool(t)
     root = scratch(t, "pool")
     jobs.build_pool(rows, plan, t.known, LOCI, SCHEMA, root, confirm_full_build=True)
     twice = rows.unionByName(rows.where("source_id % 50 = 1"))

@@ -140,7 +140,7 @@ def build_pool(
         return table.registry().select(*columns).withColumn("redone", F.lit(False))
     labels = joins.label_map(known).withColumnRenamed("label", "known_source_exclusion")
     todo = landing_rows.join(pending.select("tile_id"), "tile_id", "left_semi")
-    attempt = table.stage(locus.evaluate_union(todo, loci, schema).join(labels, "source_id", "left"))
+    attempt = table.stage(todo.join(labels, "source_id", "left"), then=lambda rows: locus.evaluate_union(rows, loci, schema))
     written = landing.tile_counts(table.staged(attempt))
     checked = cut_lineage(landing.write_check(todo.select("tile_id", "source_id"), written))
     wrong = [r["tile_id"] for r in checked.where("not write_ok").select("tile_id").collect()]  # a row per faulty tile

@@ -8,7 +8,7 @@ once all of its entries can be read, so a half-written one is passed over, and t
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -65,12 +65,17 @@ class StagedTable:
             return units.select(*self.keys, F.lit(0).cast("long").alias("measured_rows"))
         return units.join(held, ["attempt", "unit"], "left").select(*self.keys, F.coalesce("n", F.lit(0)).alias("measured_rows"))
 
-    def stage(self, rows: DataFrame, *, spread: str = "source_id", compression: str = "zstd") -> str:
-        """Write the rows of some units to a new attempt; range partitioning cuts a dense unit over several tasks."""
+    def stage(
+        self, rows: DataFrame, *, spread: str = "source_id", compression: str = "zstd", then: Callable[[DataFrame], DataFrame] | None = None
+    ) -> str:
+        """Write the rows of some units to a new attempt; range partitioning cuts a dense unit over several tasks.
+
+        ``then`` adds columns to the rows once they are dealt: what is dealt is computed twice, the first time for the ranges.
+        """
         attempt = f"a{uuid.uuid4().hex}"
-        (
-            rows.withColumn("unit", self._unit()).repartitionByRange(F.col("unit"), F.xxhash64(spread))
-            .write.partitionBy("unit").option("compression", compression).parquet(f"{self.root}/data/attempt={attempt}")
+        dealt = rows.withColumn("unit", self._unit()).repartitionByRange(F.col("unit"), F.xxhash64(spread))
+        (then(dealt) if then else dealt).write.partitionBy("unit").option("compression", compression).parquet(
+            f"{self.root}/data/attempt={attempt}"
         )
         return attempt
 

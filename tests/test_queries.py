@@ -135,3 +135,18 @@ def test_short_write_fails_the_build(spark, tables, monkeypatch):
     assert jobs.finalise_pool(spark, plan, root).first().n_tiles == plan.count()
     with pytest.raises(ValueError, match="t99"):
         jobs.finalise_pool(spark, plan.unionByName(spark.sql("select 't99' tile_id, 'q1' query_hash")), root)
+
+
+def test_builds_join_their_rows_once_and_judge_them_after_dealing(spark, monkeypatch, tmp_path):
+    from raresift.operators import locus
+    from raresift.plans import job_queries, jobs
+    from raresift.plans.analogues import Tables
+
+    judged, evaluate = [], locus.evaluate_union
+    monkeypatch.setattr(locus, "evaluate_union", lambda rows, *more, **named: judged.append(rows) or evaluate(rows, *more, **named))
+    job_queries.tl_06_bounded(Tables(spark, SF)).collect()
+    assert len(judged) == 3
+    for rows in judged:
+        text = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in text and "lineitem" not in rows.inputFiles()[0]
+        assert not any("lineitem" in f for f in rows.inputFiles())
