@@ -13,10 +13,15 @@ from raresift.plans.tile_queries import scratch
 from raresift.streaming import flows, rates, stale
 
 
-def _land(t, df, name, files=3):
+ROWS_A_FILE = 500_000
+
+
+def _land(t, df, name, of, batches=3):
+    """Land ``df`` in files of bounded size, as table ``of`` has at least its rows; returns the folder and the files of a batch."""
     folder = scratch(t, name)
-    df.repartition(files).write.parquet(folder)
-    return folder
+    each = max(1, -(-of.count() // (ROWS_A_FILE * batches)))  # counted from file footers
+    df.repartition(each * batches).write.parquet(folder)
+    return folder, each
 
 
 @query(
@@ -25,8 +30,8 @@ def _land(t, df, name, files=3):
 )
 def str_01(t):
     pool = t.pool
-    folder, sink = _land(t, pool, "land"), scratch(t, "sink")
-    stream = flows.landed(t.spark, folder, pool.schema, files_per_trigger=1)
+    (folder, each), sink = _land(t, pool, "land", t.lineitem), scratch(t, "sink")
+    stream = flows.landed(t.spark, folder, pool.schema, files_per_trigger=each)
     annotated = flows.annotate(stream, LOCI, SCHEMA).select("source_id", "compatible_variant_mask")
     flows.run_available(annotated, sink, scratch(t, "ckpt"))
     return t.spark.read.parquet(sink).groupBy("compatible_variant_mask").agg(
@@ -49,8 +54,8 @@ def str_02(t):
 @query("str_03_exclude_stream", "select source_id, G from v_core where source_id not in (select source_id from v_known)")
 def str_03(t):
     core = t.core.select("source_id", "G")
-    folder, sink = _land(t, core, "land"), scratch(t, "sink")
-    stream = flows.landed(t.spark, folder, core.schema, files_per_trigger=1)
+    (folder, each), sink = _land(t, core, "land", t.lineitem), scratch(t, "sink")
+    stream = flows.landed(t.spark, folder, core.schema, files_per_trigger=each)
     flows.run_available(flows.exclude_static(stream, t.known), sink, scratch(t, "ckpt"))
     return t.spark.read.schema(core.schema).parquet(sink)
 
@@ -143,8 +148,8 @@ def str_05(t):
 )
 def str_05_timers(t):
     log = t.tilelog.withColumn("ts", F.col("ts").cast("timestamp")).drop("bytes")
-    folder, sink = _land(t, log, "land", files=1), scratch(t, "sink")
-    stream = flows.event_time(flows.landed(t.spark, folder, log.schema), "ts", "1 hour").withColumn("ms", F.unix_millis("ts"))
+    (folder, each), sink = _land(t, log, "land", t.events, batches=1), scratch(t, "sink")
+    stream = flows.event_time(flows.landed(t.spark, folder, log.schema, files_per_trigger=each), "ts", "1 hour").withColumn("ms", F.unix_millis("ts"))
     with stale.rocksdb_state(t.spark):
         flows.run_available(stale.stale_tiles(stream, quiet_minutes=30), sink, scratch(t, "ckpt"))
     return t.spark.read.schema(stale.OUTPUT).parquet(sink)
@@ -156,8 +161,8 @@ def str_05_timers(t):
 )
 def str_06(t):
     pool = t.sql(POOL)
-    folder, sink = _land(t, pool, "land"), scratch(t, "sink")
-    stream = flows.landed(t.spark, folder, pool.schema, files_per_trigger=1)
+    (folder, each), sink = _land(t, pool, "land", t.lineitem), scratch(t, "sink")
+    stream = flows.landed(t.spark, folder, pool.schema, files_per_trigger=each)
     scored = scoring.score_rows(scoring.eligible_rows(stream, LINEAR))
     running = scored.groupBy("result_id").agg(
         F.count(F.lit(1)).alias("rows_scored"), F.sum(F.col("predicted").cast("long")).alias("rows_positive")
