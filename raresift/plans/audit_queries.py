@@ -546,12 +546,12 @@ def ag_14l(t):
     ),
 )
 def ag_14m(t):
-    rows = sources(t).where("exact_not_aggregate")
+    rows, hit = sources(t), F.col("exact_not_aggregate")  # counted, not filtered: a filter would repeat the masks' whole expression
     outside = {b.name: F.coalesce(F.col(f"aggregated_margin__{b.name}") < 0, F.lit(False)) for b in WIDE}
     wide = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(rule).alias(f"o_{p}") for p, rule in outside.items()],
-        *[F.count_if(rule & (F.col(f"best_exact_margin__{p}") >= 0)).alias(f"r_{p}") for p, rule in outside.items()],
+        F.count_if(hit).alias("n"),
+        *[F.count_if(hit & rule).alias(f"o_{p}") for p, rule in outside.items()],
+        *[F.count_if(hit & rule & (F.col(f"best_exact_margin__{p}") >= 0)).alias(f"r_{p}") for p, rule in outside.items()],
     )
     return wide.select(F.inline(F.array(*[
         F.struct(
@@ -571,10 +571,11 @@ def ag_14m(t):
     order by round(least({', '.join(f'abs(am{i})' for i in range(len(WIDE)))}), 9), source_id limit 100""",
 )
 def ag_14n(t):
-    rows = sources(t).where("exact_not_aggregate")
-    return rows.orderBy(F.round("aggregated_boundary_distance", 9), "source_id").limit(100).select(
-        "region", "source_id", "G", "BP_RP", "aggregated_outlier_plane_count"
-    )
+    hit = F.coalesce("exact_not_aggregate", F.lit(False))  # sorted first, not filtered: a filter would repeat the masks' whole expression
+    first = sources(t).select(
+        "region", "source_id", "G", "BP_RP", "aggregated_outlier_plane_count", hit.alias("hit"), F.round("aggregated_boundary_distance", 9).alias("distance")
+    ).orderBy(F.desc("hit"), "distance", "source_id").limit(100)
+    return first.where("hit").drop("hit", "distance")
 
 
 @query(
