@@ -177,6 +177,7 @@ def finalise_pool(spark, plan: DataFrame, root: str, *, contract: Sequence[str]
 
 def audit_policies(pool: DataFrame, loci, schema: locus.MaskSchema, feature_sets, root: str, *, region: str = "region") -> DataFrame:
     """Filter audit: judge all rows once, write the comparison, derive the tables from the files."""
+    pool = cut_lineage(pool)
     repeated = pool.groupBy(region, "source_id").count().where("count > 1")
     if not repeated.isEmpty():
         raise ValueError("a source appears twice in one region")

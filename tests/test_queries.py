@@ -150,3 +150,45 @@ def test_builds_join_their_rows_once_and_judge_them_after_dealing(spark, monkeyp
         text = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression" in text and "lineitem" not in rows.inputFiles()[0]
         assert not any("lineitem" in f for f in rows.inputFiles())
+
+
+def _reads_lineitem(df):
+    return any("lineitem" in f for f in df.inputFiles())
+
+
+def test_landed_files_hold_a_bounded_number_of_rows(spark, tables, monkeypatch):
+    from raresift.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "ROWS_A_FILE", 500)
+    folder, each = stream_queries._land(tables, tables.core.select("source_id"), "land", tables.lineitem)
+    files = spark.read.parquet(folder).inputFiles()
+    assert len(files) == 3 * each and len(files) >= tables.lineitem.count() / 500
+
+
+@pytest.mark.parametrize("name", ["ag_22_residual_summary", "loc_05_fit_and_annotate"])
+def test_many_passes_read_settled_rows(spark, name):
+    assert not _reads_lineitem(entry.queries()[name](spark, SF))
+
+
+def test_rows_are_joined_once_before_tiles_are_dealt(spark, monkeypatch):
+    from raresift.plans import tile_queries
+
+    seen, write = [], tile_queries.landing.write_tiles
+    monkeypatch.setattr(tile_queries.landing, "write_tiles", lambda df, path: seen.append(df) or write(df, path))
+    entry.queries()["src_02_pool_views"](spark, SF)
+    assert len(seen) == 1 and not _reads_lineitem(seen[0])
+
+
+def test_filter_audit_judges_settled_rows(spark, monkeypatch):
+    from raresift.operators import locus
+
+    seen, compare_policies = [], locus.compare_policies
+    monkeypatch.setattr(locus, "compare_policies", lambda df, *more, **named: seen.append(df) or compare_policies(df, *more, **named))
+    entry.queries()["job_03_filter_audit"](spark, SF)
+    assert len(seen) == 1 and not _reads_lineitem(seen[0])
+
+
+@pytest.mark.parametrize("name", ["ag_14m_plane_discrepancy", "ag_14n_boundary_samples"])
+def test_verdicts_are_not_repeated_in_a_filter(spark, name):
+    text = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert max([len(line) for line in text.splitlines() if "Filter" in line], default=0) < 1500
