@@ -95,22 +95,34 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator, sample: int) -> list
     return nodes
 
 
-def forest_scores(x: np.ndarray, trees: Sequence[dict], sample: int) -> np.ndarray:
-    """Anomaly scores of rows under trees (node -> feature, split, path), turned so that larger means more typical."""
-    total = np.zeros(len(x))
-    for tree in trees:
-        stack = [(0, np.arange(len(x)))]
-        while stack:
-            node, idx = stack.pop()
-            if not len(idx):
-                continue
-            f, at, path = tree[node]
-            if f < 0:
-                total[idx] += path
-                continue
-            low = x[idx, f] < at
-            stack += [(2 * node + 1, idx[low]), (2 * node + 2, idx[~low])]
-    return -(2.0 ** (-total / len(trees) / path_length(sample)))
+def flat_trees(trees: Sequence[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature, split and path of the nodes of all trees (node -> feature, split, path), a row a tree and a column a heap place.
+
+    What lies below a leaf repeats its path, so all trees have one depth and rows walk down side by side.
+    """
+    depth = max(int(np.log2(node + 1)) for tree in trees for node in tree)
+    shape = len(trees), 2 ** (depth + 1) - 1
+    feature, at, path = np.zeros(shape, np.int64), np.full(shape, np.inf), np.zeros(shape)
+    for k, tree in enumerate(trees):
+        for node in range(shape[1]):
+            if node in tree and tree[node][0] >= 0:
+                feature[k, node], at[k, node] = tree[node][:2]
+            else:
+                path[k, node] = tree[node][2] if node in tree else path[k, (node - 1) // 2]
+    return feature, at, path
+
+
+def forest_scores(x: np.ndarray, trees: tuple[np.ndarray, np.ndarray, np.ndarray], sample: int) -> np.ndarray:
+    """Anomaly scores of rows under ``flat_trees``, turned so that larger means more typical."""
+    total, values, first = np.zeros(len(x)), np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    for feature, at, path in zip(*trees, strict=True):
+        node = np.zeros(len(x), np.int64)
+        for _ in range(int(np.log2(len(path) + 1)) - 1):
+            right = ~(values.take(first + feature.take(node)) < at.take(node))
+            node += node + 1
+            node += right
+        total += path.take(node)
+    return -(2.0 ** (-total / len(trees[0]) / path_length(sample)))
 
 
 def path_length(n: int) -> float:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -42,7 +42,7 @@ class Group:
     covariances: np.ndarray | None = None
     centre: np.ndarray | None = None
     scatter: np.ndarray | None = None
-    trees: list[dict] = field(default_factory=list)
+    trees: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def matrix(self, batch: pd.DataFrame) -> np.ndarray:
         raw = batch[self.features].to_numpy(float)
@@ -148,23 +148,21 @@ def _fit_mixtures(train: DataFrame, groups: Sequence[Group], *, components: int,
 
 def _fit_covariances(train: DataFrame, groups: Sequence[Group], *, support: float, passes: int) -> None:
     """Location and scatter of the ``support`` share of rows that lie nearest, trimmed again after each pass."""
-    limits: dict[tuple[str, str], float] = {}
+    limits: dict[int, float] = {}
+    numbers = {(g.feature_set, g.subtype): number for number, g in enumerate(groups)}
 
     def inside(group: Group, z: np.ndarray) -> np.ndarray:
         if group.centre is None:
             return np.ones((len(z), 1))
-        return (group.distance(z) <= limits[group.feature_set, group.subtype]).astype(float)[:, None]
+        return (group.distance(z) <= limits[numbers[group.feature_set, group.subtype]]).astype(float)[:, None]
 
     for step in range(passes + 1):
         totals = _moments(train, groups, inside)
         for number, g in enumerate(groups):
             _, g.centre, g.scatter = _mean_and_cov(totals[number, 0], len(g.features))
         if step < passes:
-            far = _scores(train, groups, {(g.feature_set, g.subtype): ["robust_covariance"] for g in groups}, own=True)
-            cuts = exact_quantiles(
-                far.withColumn("far", -F.col("score")), "far", [support], by=["feature_set", "subtype"], names=["cut"]
-            ).collect()
-            limits.update({(r["feature_set"], r["subtype"]): r["cut"] for r in cuts})
+            cuts = exact_quantiles(cut_lineage(_distances(train, groups)), "far", [support], by=["number"], names=["cut"]).collect()
+            limits.update({r["number"]: r["cut"] for r in cuts})
 
 
 def _grow_forests(train: DataFrame, groups: Sequence[Group], *, trees: int, seed: int) -> None:
@@ -186,27 +184,61 @@ def _grow_forests(train: DataFrame, groups: Sequence[Group], *, trees: int, seed
 
     found = drawn.groupBy("number", "tree").applyInPandas(grow, "number int, tree int, node long, feature int, at double, path double").toPandas()
     for number, part in found.groupby("number"):
-        groups[number].trees = [{int(r.node): (int(r.feature), r.at, r.path) for r in t.itertuples()} for _, t in part.groupby("tree")]
+        groups[number].trees = learning.flat_trees([{int(r.node): (int(r.feature), r.at, r.path) for r in t.itertuples()} for _, t in part.groupby("tree")])
 
 
-def _scores(rows: DataFrame, groups: Sequence[Group], methods: Mapping[tuple[str, str], Sequence[str]], *, own: bool = False) -> DataFrame:
-    """Long scores of every row under every fitted group; with ``own`` only of the group's subtype."""
-    shared = rows.sparkSession.sparkContext.broadcast([g for g in groups if methods.get((g.feature_set, g.subtype))])  # a few numbers a group
+def _distances(train: DataFrame, groups: Sequence[Group]) -> DataFrame:
+    """number, far: the distance of every row from the centre of each group it belongs to."""
+    shared = train.sparkSession.sparkContext.broadcast(list(groups))  # a few numbers a group
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for g in shared.value:
-                mine = batch[batch["subtype"] == g.subtype] if own else batch
-                if not len(mine):
-                    continue
-                z = g.matrix(mine)
-                for method in methods[g.feature_set, g.subtype]:
-                    yield pd.DataFrame({
-                        "feature_set": g.feature_set, "subtype": g.subtype, "method": method, "source_id": mine["source_id"], "target": mine["target"],
-                        "row_subtype": mine["subtype"], "modeling_split": mine["modeling_split"], "score": g.score(method, z),
-                    })
+            for number, g in enumerate(shared.value):
+                mine = batch[batch["subtype"] == g.subtype]
+                if len(mine):
+                    yield pd.DataFrame({"number": number, "far": g.distance(g.matrix(mine))})
+
+    return train.mapInPandas(run, "number int, far double")
+
+
+def _scores(rows: DataFrame, fitted: Sequence[tuple[Group, str]]) -> DataFrame:
+    """A column ``s<n>`` for each (group, method): the scores of negatives and of the subtype's own rows, NULL for others.
+
+    Rows stay as wide as they are; ``_unfolded`` makes a row a score of them, in Spark and only where it is asked for.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(list(fitted))  # a few numbers a group
+    wanted = sorted({g.subtype for g, _ in fitted})
+    features = sorted({f for g, _ in fitted for f in g.features})
+    of = functools.reduce(lambda rest, k: F.when(F.col("subtype") == wanted[k], F.lit(k)).otherwise(rest), range(len(wanted)), F.lit(-1))
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for target, number, *values in batches:
+            batch = pd.DataFrame(dict(zip(features, values, strict=True)))
+            out, matrices = {}, {}
+            for n, (g, method) in enumerate(shared.value):
+                mine = ((target == 0) | (number == wanted.index(g.subtype))).to_numpy()
+                key = g.feature_set, g.subtype
+                if key not in matrices:
+                    matrices[key] = g.matrix(batch[mine])
+                out[f"s{n}"] = np.full(len(batch), np.nan)
+                if mine.any():
+                    out[f"s{n}"][mine] = g.score(method, matrices[key])
+            yield pd.DataFrame(out)
+
+    # The call's type hints are the form of pandas functions that Spark reads.
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
+    judge = F.pandas_udf(run, ", ".join(f"s{n} double" for n in range(len(fitted))))
+    scored = rows.withColumn("s", judge("target", of, *features)).select(
+        "source_id", "target", F.col("subtype").alias("row_subtype"), "modeling_split", "s.*"
+    )
+    mine = [(F.col("target") == 0) | F.coalesce(F.col("row_subtype") == g.subtype, F.lit(False)) for g, _ in fitted]
+    return scored.withColumns({f"s{n}": F.when(own, F.col(f"s{n}")) for n, own in enumerate(mine)})
+
 
-    return rows.mapInPandas(run, _SCORES)
+def _unfolded(wide: DataFrame, fitted: int, *keep: str) -> DataFrame:
+    """``keep``, number, score: a row a score that is not NULL."""
+    held = F.array(*[F.struct(F.lit(n).alias("number"), F.col(f"s{n}").alias("score")) for n in range(fitted)])
+    return wide.select(*keep, F.inline(held)).where("score IS NOT NULL")
 
 
 def fit_validators(
@@ -226,7 +258,8 @@ def fit_validators(
     rows = cut_lineage(rows.select("source_id", F.col("target").cast("int").alias("target"), F.when(F.col("target") == 1, F.col("subtype")).alias("subtype"),
                                    "modeling_split", *[F.col(f).cast("double").alias(f) for f in every]))
     filled = rows.agg(*[F.count(F.when(~F.isnan(f), F.col(f))).alias(f) for f in every]).first().asDict() if every else {}
-    train = rows.where((F.col("modeling_split") == "train") & F.col("subtype").isin(list(subtypes)))
+    # Some twenty passes read these rows and no others.
+    train = cut_lineage(rows.where((F.col("modeling_split") == "train") & F.col("subtype").isin(list(subtypes))))
     sizes = {r["subtype"]: r["count"] for r in train.groupBy("subtype").count().collect()}
     facts, groups, fitted = [], [], {}
     for name, wanted in feature_sets.items():
@@ -256,17 +289,60 @@ def fit_validators(
             _fit_covariances(train, using("robust_covariance"), support=support, passes=passes)
         if "isolation_forest" in methods and using("isolation_forest"):
             _grow_forests(train, using("isolation_forest"), trees=trees, seed=seed)
-        judged = rows.where("target = 0 OR subtype IS NOT NULL")
-        scored = cut_lineage(_scores(judged, groups, fitted).where("target = 0 OR row_subtype = subtype"))
-    else:
-        scored = spark.createDataFrame([], _SCORES)
+        pairs = [(g, method) for g in groups for method in fitted[g.feature_set, g.subtype]]
+        judged = cut_lineage(_scores(rows.where("target = 0 OR subtype IS NOT NULL"), pairs))
+        own = judged.where("modeling_split = 'train' AND target = 1")
+        limits = {r["number"]: r["threshold"] for r in exact_quantiles(
+            cut_lineage(_unfolded(own, len(pairs))), "score", [1.0 - recall], by=["number"], names=["threshold"]
+        ).collect()}  # a row a validator
     keys = ["feature_set", "subtype", "method"]
-    limits = exact_quantiles(
-        scored.where("modeling_split = 'train' AND target = 1"), "score", [1.0 - recall], by=keys, names=["threshold"]
-    ).select(*keys, "threshold")
-    limits = cut_lineage(limits)
-    out = cut_lineage(scored.join(limits, keys).withColumn("passed", F.col("score") >= F.col("threshold")))
-    return table.join(limits, keys, "left").join(validator_metrics(out, keys), keys, "left"), out
+    if not groups or not limits:
+        none = spark.createDataFrame([], f"{_SCORES}, threshold double, passed boolean")
+        empty = none.groupBy(*keys).agg(F.max("threshold").alias("threshold"))
+        return table.join(empty, keys, "left").join(validator_metrics(none, keys), keys, "left"), none
+    found = spark.createDataFrame(
+        [(n, g.feature_set, g.subtype, method, limits[n]) for n, (g, method) in enumerate(pairs) if n in limits],
+        "number int, feature_set string, subtype string, method string, threshold double",
+    )
+    passed = functools.reduce(lambda rest, n: F.when(F.col("number") == n, F.col("score") >= F.lit(limits[n])).otherwise(rest), limits, F.lit(None).cast("boolean"))
+    scored = _unfolded(judged, len(pairs), "source_id", "target", "row_subtype", "modeling_split").withColumn("passed", passed).join(
+        found, "number"
+    ).select(*keys, "source_id", "target", "row_subtype", "modeling_split", "score", "threshold", "passed")
+    metrics = found.join(_rates(judged, limits), "number").join(_areas(judged, len(pairs)), "number", "left").drop("number")
+    return table.join(metrics, keys, "left"), scored
+
+
+def _rates(judged: DataFrame, limits: Mapping[int, float]) -> DataFrame:
+    """The counts and shares of ``validator_metrics`` for all columns ``s<n>`` at once: one row is aggregated, then unfolded."""
+    hold, calibration, positive = F.col("modeling_split") == "holdout", F.col("modeling_split") == "threshold_calibration", F.col("target") == 1
+    parts = {
+        "holdout_positive_count": hold & positive, "holdout_negative_count": hold & ~positive, "calibration_negative_count": calibration & ~positive
+    }
+    shares = {
+        "holdout_positive_retention": hold & positive, "holdout_negative_pass_rate": hold & ~positive,
+        "calibration_negative_pass_rate": calibration & ~positive,
+    }
+
+    def facts(n: int) -> Column:
+        score = F.col(f"s{n}")
+        held, passed = score.isNotNull(), (score >= F.lit(limits[n])).cast("double")
+        return F.struct(
+            F.lit(n).alias("number"), *[F.count_if(rule & held).alias(c) for c, rule in parts.items()],
+            *[F.avg(F.when(rule & held, passed)).alias(c) for c, rule in shares.items()],
+        )
+
+    return judged.agg(F.array(*[facts(n) for n in limits]).alias("facts")).select(F.inline("facts")).select(
+        "number", "holdout_positive_count", "holdout_negative_count", "holdout_positive_retention", "holdout_negative_pass_rate",
+        "calibration_negative_count", "calibration_negative_pass_rate",
+    )
+
+
+def _areas(judged: DataFrame, fitted: int) -> DataFrame:
+    """number, average precision and ROC area over holdout rows."""
+    steps = curves.score_steps(_unfolded(judged.where("modeling_split = 'holdout'"), fitted, "target"), ["number"])
+    return curves.area_metrics(steps, ["number"]).select(
+        "number", F.col("average_precision").alias("holdout_average_precision"), F.col("roc_auc").alias("holdout_roc_auc")
+    )
 
 
 def validator_metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:

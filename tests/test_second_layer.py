@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from raresift.operators import second_layer as sl
+import __spark_entry__ as entry
+from raresift.operators import learning, second_layer as sl
 
 SETS = {"pair": ["a", "b", "empty"], "wide": ["a", "b", "c"], "few": ["a", "empty"]}
 FIT = {"min_features": 2, "min_train": 15, "trees": 20, "rounds": 40, "passes": 2}
@@ -124,3 +125,36 @@ def test_pairs_are_one_to_one(spark):
     with pytest.raises(ValueError, match="one to one"):
         sl.validator_pairs(cases.unionByName(spark.createDataFrame([(77,)], "source_id long")), scores, names={"WN": "wn", "WC": "wc"})
     assert sl.validator_pairs(cases, scores.where("subtype = 'WN'"), names={"WN": "wn", "WC": "wc"}).count() == 0
+
+
+def test_rows_that_walk_side_by_side_end_in_the_leaves_of_their_trees():
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(64, 3))
+    trees = [{n: (f, at, path) for n, f, at, path in learning.grow_tree(points, np.random.default_rng(k), 64)} for k in range(7)]
+    x = np.vstack([points, rng.normal(scale=3.0, size=(50, 3))])
+
+    def walk(row, tree):
+        node = 0
+        while tree[node][0] >= 0:
+            node = 2 * node + (1 if row[tree[node][0]] < tree[node][1] else 2)
+        return tree[node][2]
+
+    total = np.array([sum(walk(row, tree) for tree in trees) for row in x])
+    assert np.allclose(learning.forest_scores(x, learning.flat_trees(trees), 64), -(2.0 ** (-total / 7 / learning.path_length(64))))
+
+
+def test_registered_validators_build_on_the_catalogue(spark):
+    """The queries hand the modelling rows over as a table of rows, and judge each by its own columns."""
+    rows = entry.queries()["ml_13_one_class_models"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 10 and {r["feature_set"] for r in rows} == {"colours", "few"}
+
+
+def test_scores_stay_as_wide_as_the_rows(spark, made):
+    """A row that three validators judge crosses to Python and back once: one output row for each input row."""
+    rows = spark.createDataFrame([(1, 0, None, "holdout", 0.1, 0.2), (2, 1, "WN", "train", 0.3, 0.1)],
+                                 "source_id long, target int, subtype string, modeling_split string, a double, b double")
+    group = lambda subtype: sl.Group("pair", subtype, ["a", "b"], 20, median=np.zeros(2), centre=np.zeros(2), scatter=np.eye(2))
+    wide = sl._scores(rows, [(group("WN"), "robust_covariance"), (group("WC"), "robust_covariance")])
+    found = {r["source_id"]: (r["s0"], r["s1"]) for r in wide.collect()}
+    assert found[1][0] == found[1][1] < 0 and found[2][0] < 0 and found[2][1] is None
+    assert {(r["source_id"], r["number"]) for r in sl._unfolded(wide, 2, "source_id").collect()} == {(1, 0), (1, 1), (2, 0)}
