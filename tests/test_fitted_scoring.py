@@ -90,3 +90,24 @@ def test_half_written_versions_are_passed_over(spark, tmp_path):
     assert table.version() == 2 and table.rows().count() == 22
     with pytest.raises(ValueError, match="twice"):
         table.publish(table.stage(more), entries(more).unionByName(entries(more)))
+
+
+def test_the_pool_is_made_of_one_pass_over_its_base_rows(tables):
+    """The same rows as the joined views; the base rows, written once, are read without being grouped again."""
+    from raresift.plans import model_queries as mq
+
+    settled = tables.settled("v_base")
+    found = mq._pool_rows(settled)
+    assert found.exceptAll(tables.sql(mq.POOL)).isEmpty() and tables.sql(mq.POOL).exceptAll(found).isEmpty()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and plan.count("Join") == 2  # the infrared rows and the labels
+
+
+def test_a_pickled_model_is_sent_features_only(spark, tmp_path):
+    root = str(tmp_path / "m")
+    sha = fs.store_artefact(spark, root, cloudpickle.dumps(Sum(0.5)))
+    model = fs.FittedModel("m", "r", "v", 0, ("a", "b"), 0.5, root, sha, "pickle")
+    rows = spark.createDataFrame([(1, "x", 2.0, 4), (2, "y", 1.0, 1)], "source_id long, tile_id string, a double, b int")
+    scored = fs._by_pickle(spark, model, rows)
+    assert {(r["source_id"], r["tile_id"], r["score"]) for r in scored.collect()} == {(1, "x", 3.0), (2, "y", 1.0)}
+    assert "MapInPandas" not in scored._jdf.queryExecution().executedPlan().toString()
