@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from raresift.llm import components, covering_simhash, fuzzy_lines, prefix_free
+from raresift.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -272,3 +274,13 @@ def test_few_pairs_of_a_large_group_are_compared_and_no_link_is_lost(spark, monk
     want = {doc for doc, _ in plain_lines(docs)}
     assert gone <= want and len(want - gone) <= 0.01 * len(want)
     assert sum(tried) < 20 * len(lines)  # all pairs: 344,865
+
+
+def test_line_removal_keeps_no_step_on_disk(spark):
+    """Each step is deleted when no later one reads it; the rule of what goes is all that the result needs."""
+    folder = Path(re.sub("^file:", "", shared_dir(spark)))
+    steps = lambda: {p.name for p in folder.iterdir() if p.name.startswith("raresift")}
+    before = steps()
+    lines = [f"{w} fox jumps over the lazy dog number {n} of the whole field" for n in range(12) for w in ("quick", "quicker")]
+    gone = fuzzy_lines.copied_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert len(steps() - before) == 1 and gone.count() > 0
