@@ -119,7 +119,7 @@ def tl_06_manifest(t):
 
 def _landed_pool(t):
     """The landed rows with their tile, joined once for all builds, and the plan of their tiles."""
-    rows = cut_lineage(t.pool.withColumn("tile_id", F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string"))))
+    rows = t.landed_pool().withColumn("tile_id", F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string")))
     return rows, cut_lineage(rows.select("tile_id").distinct().withColumn("query_hash", F.lit("q1")))
 
 

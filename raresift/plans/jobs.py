@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from raresift.functions import photometry as ph, text
 from raresift.operators import audits, dedup, filters, joins, locus, tiles, zone_join
 from raresift.operators.joins import pairwise_overlap
-from raresift.session import cut_lineage
+from raresift.session import cut_lineage, settle, turns_of
 from raresift.sources import landing, store
 from raresift.sources.staged import StagedTable
 
@@ -140,9 +140,12 @@ def build_pool(
         return table.registry().select(*columns).withColumn("redone", F.lit(False))
     labels = joins.label_map(known).withColumnRenamed("label", "known_source_exclusion")
     todo = landing_rows.join(pending.select("tile_id"), "tile_id", "left_semi")
-    attempt = table.stage(todo.join(labels, "source_id", "left"), then=lambda rows: locus.evaluate_union(rows, loci, schema))
+    attempt = table.stage(
+        todo.join(settle(labels), "source_id", "left"), then=lambda rows: locus.evaluate_union(rows, loci, schema),
+        turns=turns_of(todo.select("tile_id").count()),
+    )
     written = landing.tile_counts(table.staged(attempt))
-    checked = cut_lineage(landing.write_check(todo.select("tile_id", "source_id"), written))
+    checked = settle(landing.write_check(todo.select("tile_id", "source_id"), written))
     wrong = [r["tile_id"] for r in checked.where("not write_ok").select("tile_id").collect()]  # a row per faulty tile
     if wrong:
         raise ValueError(f"files do not hold the planned rows of tiles {sorted(wrong)}")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from raresift.session import cut_lineage
+from raresift.session import cut_lineage, part, shuffles_deleted
 
 
 class StagedTable:
@@ -66,17 +66,21 @@ class StagedTable:
         return units.join(held, ["attempt", "unit"], "left").select(*self.keys, F.coalesce("n", F.lit(0)).alias("measured_rows"))
 
     def stage(
-        self, rows: DataFrame, *, spread: str = "source_id", compression: str = "zstd", then: Callable[[DataFrame], DataFrame] | None = None
+        self, rows: DataFrame, *, spread: str = "source_id", compression: str = "zstd", then: Callable[[DataFrame], DataFrame] | None = None,
+        turns: int = 1,
     ) -> str:
         """Write the rows of some units to a new attempt; range partitioning cuts a dense unit over several tasks.
 
         ``then`` adds columns to the rows once they are dealt: what is dealt is computed twice, the first time for the ranges.
+        The rows are dealt in ``turns`` parts by a hash of ``spread``, and the shuffle files of a part are deleted before the next one.
         """
         attempt = f"a{uuid.uuid4().hex}"
-        dealt = rows.withColumn("unit", self._unit()).repartitionByRange(F.col("unit"), F.xxhash64(spread))
-        (then(dealt) if then else dealt).write.partitionBy("unit").option("compression", compression).parquet(
-            f"{self.root}/data/attempt={attempt}"
-        )
+        with shuffles_deleted(self.spark):
+            for turn in range(turns):
+                dealt = part(rows, spread, turn, turns).withColumn("unit", self._unit()).repartitionByRange(F.col("unit"), F.xxhash64(spread))
+                (then(dealt) if then else dealt).write.mode("append").partitionBy("unit").option("compression", compression).parquet(
+                    f"{self.root}/data/attempt={attempt}"
+                )
         return attempt
 
     def staged(self, attempt: str) -> DataFrame:
