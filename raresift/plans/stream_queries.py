@@ -10,6 +10,7 @@ from raresift.plans.locus_queries import LOCI, SCHEMA, UNION_SQL
 from raresift.plans.model_queries import _OFFERS_SQL, LINEAR, POOL
 from raresift.plans.registry import query
 from raresift.plans.tile_queries import scratch
+from raresift.session import release, settle, shuffles_deleted
 from raresift.streaming import flows, rates, stale
 
 
@@ -17,10 +18,19 @@ ROWS_A_FILE = 500_000
 
 
 def _land(t, df, name, of, batches=3):
-    """Land ``df`` in files of bounded size, as table ``of`` has at least its rows; returns the folder and the files of a batch."""
+    """Land ``df`` in files of bounded size, as table ``of`` has at least its rows; returns the folder and the files of a batch.
+
+    The rows are written first and then dealt a batch at a time, by their place in the written files, so that the shuffle of all rows
+    never lies on disk at once, nor beside the shuffles that made them.
+    """
     folder = scratch(t, name)
     each = max(1, -(-of.count() // (ROWS_A_FILE * batches)))  # counted from file footers
-    df.repartition(each * batches).write.parquet(folder)
+    rows = settle(df)
+    with shuffles_deleted(t.spark):
+        for batch in range(batches):
+            mine = rows.where(F.col("_metadata.row_index") % batches == batch) if batches > 1 else rows
+            mine.repartition(each).write.mode("append").option("compression", "zstd").parquet(folder)
+    release(rows)
     return folder, each
 
 
@@ -29,7 +39,7 @@ def _land(t, df, name, of, batches=3):
     f"""with {UNION_SQL} select compatible_variant_mask, count(*) n, cast(sum(source_id) as bigint) ids from u group by 1""",
 )
 def str_01(t):
-    pool = t.pool
+    pool = t.landed_pool()
     (folder, each), sink = _land(t, pool, "land", t.lineitem), scratch(t, "sink")
     stream = flows.landed(t.spark, folder, pool.schema, files_per_trigger=each)
     annotated = flows.annotate(stream, LOCI, SCHEMA).select("source_id", "compatible_variant_mask")

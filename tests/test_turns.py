@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from raresift import session
-from raresift.plans import analogues
+from raresift.plans import analogues, stream_queries
 from raresift.sources.staged import StagedTable
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,12 @@ def test_builds_deal_their_rows_in_turns(spark, monkeypatch):
     whole = analogues.Tables(spark, SF).pool.groupBy(F.concat(F.lit("t"), F.floor(F.col("ra") / 30.0).cast("string")).alias("tile")).count().collect()
     assert {r.tile: r["count"] for r in whole} == {k: r.row_count for k, r in rows.items()}
     assert turns == [3, 1] and spark.conf.get(session._CLEANUP) == before  # the second call redoes one tile
+
+
+def test_landed_batches_are_dealt_one_at_a_time(spark, tables, monkeypatch):
+    settled, settle = [], session.settle
+    monkeypatch.setattr(stream_queries, "settle", lambda df: settled.append(settle(df)) or settled[-1])
+    core = tables.core.select("source_id", "G")
+    folder, each = stream_queries._land(tables, core, "land", tables.lineitem)
+    landed = spark.read.parquet(folder)
+    assert len(settled) == 1 and len(landed.inputFiles()) == 3 * each and same(landed, core)
